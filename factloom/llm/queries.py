@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import linededup, quality, tokenbin
+from . import linededup, pii, quality, tokenbin, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_token_binary": tokenbin.op3_token_binary,
         "op5_quality": quality.op5_quality,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op10_pii": pii.op10_pii,
         "op9_line_dedup": linededup.op9_line_dedup,
     }
 
