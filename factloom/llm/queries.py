@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import linededup, pii, quality, tokenbin, toxicity
+from . import licenses, linededup, pieces, pii, quality, tokenbin, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_pieces": pieces.op2_pieces,
+        "op6_licenses": licenses.op6_licenses,
         "op3_token_binary": tokenbin.op3_token_binary,
         "op5_quality": quality.op5_quality,
         "op8_toxicity": toxicity.op8_toxicity,
