@@ -64,7 +64,7 @@ def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4096)
 def multipliers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n odd multipliers and n addends of 64 bits, the same in every process."""
     g = np.random.Generator(np.random.Philox(seed))

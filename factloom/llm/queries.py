@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, linededup, pieces, pii, quality, tokenbin, toxicity
+from . import decontaminate, licenses, linededup, pieces, pii, quality, tokenbin, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_pieces": pieces.op2_pieces,
         "op6_licenses": licenses.op6_licenses,
         "op3_token_binary": tokenbin.op3_token_binary,
