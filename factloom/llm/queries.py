@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, linededup, pieces, pii, quality, tokenbin, toxicity
+from . import decontaminate, jaccard, licenses, linededup, pieces, pii, quality, tokenbin, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_pieces": pieces.op2_pieces,
         "op6_licenses": licenses.op6_licenses,
         "op3_token_binary": tokenbin.op3_token_binary,
+        "op4_jaccard_join": jaccard.op4_jaccard_join,
         "op5_quality": quality.op5_quality,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_pii": pii.op10_pii,
