@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licenses, linededup, pieces, pii, quality, tokenbin, toxicity
+from . import decontaminate, jaccard, licenses, linededup, passages, pieces, pii, quality, tokenbin, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_token_binary": tokenbin.op3_token_binary,
         "op4_jaccard_join": jaccard.op4_jaccard_join,
         "op5_quality": quality.op5_quality,
+        "op7_passages": passages.op7_passages,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_pii": pii.op10_pii,
         "op9_line_dedup": linededup.op9_line_dedup,
