@@ -1 +1 @@
-"""See the module docstrings."""
+"""Column functions: sets, names, edits."""

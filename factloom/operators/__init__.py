@@ -1 +1 @@
-"""See the module docstrings."""
+"""Operators: DataFrame in, DataFrame out, lazy."""

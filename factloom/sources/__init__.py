@@ -1 +1 @@
-"""See the module docstrings."""
+"""Sources and sinks: clone reports, versions, dictionaries, line positions, result tables."""

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Structured Streaming: change events applied to a table."""
