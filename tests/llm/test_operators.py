@@ -1,0 +1,615 @@
+"""Each operator against a brute-force version, an exact round trip, or held-out labels; and on awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import decontaminate, jaccard, licenses, linededup, passages, pieces, pii, quality, queries, shingles, tokenbin, toxicity
+from factloom.llm.components import components
+from factloom.llm.wordmemo import ByteBpe
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, th long, keep string, p string"
+LONG = " ".join(f"w{k}" for k in range(40_000))
+
+
+def awkward(spark, texts):
+    """Nulls in every column, repeated rows, equal ids, and columns whose names operators might use themselves."""
+    rows = [(k, t, "en", "s", len(t or ""), 1, "x", "y") for k, t in enumerate(texts)]
+    rows += [(None, "null id", None, None, None, None, None, None), (0, None, None, "s", None, 3, None, None), (1, texts[1], "en", "s", 0, 1, "x", "y"), (1, texts[1], "en", "s", 0, 1, "x", "y")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+TEXTS = ["", "one", " \n\t\n ", "a b c d e f g h\na b c d e f g h\n", "Ünïcode wörds ñ 日本 \U0001d11e\n\nx", LONG, "mail me at a.b@c.org or +1 (222) 333-4444 now"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return awkward(spark, TEXTS).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- lines
+
+def lines_by_hand(rows, least, keep_first=False, chars=1):
+    """rows: (doc_id, text); documents are told apart by id and text."""
+    where = defaultdict(set)
+    first = {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], r[1])):
+        for k, line in enumerate(t.split("\n")):
+            key = line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            where[key].add((d, t))
+    gone = {k for k, v in where.items() if len(v) >= least and len(k) >= chars}
+    return gone, first
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_lines(spark, keep_first):
+    r = random.Random(1)
+    rows = [(k, "\n".join(r.choice(["Hot", " hot ", "x%d" % r.randint(0, 60), "", "É"]) for _ in range(r.randint(0, 8)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df, 10, keep_first).collect()}
+    gone, _ = lines_by_hand(rows, 10)
+    norm = lambda line: line.strip().lower() if line.isascii() else line
+    left = Counter(norm(x) for t in got.values() for x in t.split("\n"))
+    for d, t in rows:
+        kept = [x for x in t.split("\n") if norm(x) not in gone]
+        if not keep_first:
+            assert got[d] == "\n".join(kept)
+    if keep_first:
+        assert gone and all(left[k] == 1 for k in gone)
+        assert sum(left.values()) - left[""] == sum(1 for _, t in rows for x in t.split("\n") if norm(x) not in gone and norm(x)) + len(gone)
+
+
+def test_lines_awkward(docs, none):
+    out = linededup.dedup_lines(docs, 2)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert linededup.dedup_lines(none, 2).count() == 0
+    texts = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert (0, None) in texts and (5, LONG) in texts
+
+
+def test_bitmap():
+    keep = np.random.default_rng(0).random(1001) < 0.5
+    assert (linededup.unpack(linededup.pack(keep), 1001) == keep).all()
+
+
+def test_streamed_runs_over_partitions(spark):
+    """A hash with a third of all lines, over many partitions, is decided like any other."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("l"), F.col("id"))).alias("text"))
+        out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, 10).collect()}
+        assert all((t == "") == (d % 3 == 0) for d, t in out.items())
+        first = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, 10, keep_first=True).collect()}
+        assert [d for d, t in first.items() if t == "hot"] == [0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+# --- token files
+
+ODD = ["", " ", "  a", "a  ", "a   b", " \n a", "a \n  b", "\n\n x", "x \n", "<|endoftext|> a", "it's  'll", "\x1c \x1c a", "​ a", "日本 語", "a  b"]
+
+
+def test_word_by_word_equals_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, r = Tokenizer.from_file(path), random.Random(3)
+    texts = ODD + ["".join(r.choice([" ", "  ", "\n", "ab", "Ü9", "'s", "\t", "é", ".", "ç"]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    got = ByteBpe(path, most=50)(texts)
+    assert got == [np.asarray(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_shards(tmp_path, bits):
+    import io
+
+    from pyarrow import fs
+
+    g = np.random.default_rng(1)
+    docs = [g.integers(0, 50_000, n).astype("<u4") for n in (0, 1, 100, 9000, 0, 3)]
+    with open(tmp_path / "s", "wb") as f:
+        w = tokenbin.ShardWriter(f, bits, 256)
+        for d in docs:
+            w.add(d.tobytes(), [len(d)])
+        assert w.close() == (6, 9104)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "s")) as f:
+        r = tokenbin.ShardReader(f, 256)
+        assert [x for x in r.documents()] == [d.tobytes() for d in docs]
+        assert (r.ids(3) == np.concatenate(docs)[768:1024]).all()
+    with pytest.raises(ValueError), fs.LocalFileSystem().open_input_file(__file__) as f:
+        tokenbin.ShardReader(f)
+    assert io is not None
+
+
+def test_token_files(docs, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    got = tokenbin.read_tokens(tokenbin.write_tokens(docs, path)).orderBy("start").collect()
+    assert len(got) == docs.count()
+    start = 0
+    want = Counter()
+    for r in docs.collect():
+        ids = np.asarray([*lib.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        want[r["doc_id"], len(ids) // 4, zlib.crc32(ids)] += 1
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    ids = [r["doc_id"] for r in got]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    assert tokenbin.read_tokens(tokenbin.write_tokens(none, path)).count() == 0
+
+
+# --- pieces
+
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_pieces_equal_the_library_without_dropout():
+    import sentencepiece
+
+    lib, r = sentencepiece.SentencePieceProcessor(model_file=PIECE), random.Random(2)
+    e = pieces.Encoder(PIECE, 0.0, 2)
+    texts = ["", " ", "  a", "a  b", "é日本\n\t", "a" * 200] + ["".join(r.choice(["a", " ", "  ", "the", "\n", "é", "ing", "0", "\U0001d11e"]) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    for t, ids in zip(texts, e(texts, [0] * len(texts)), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == lib.encode(t)
+        assert e.decode(ids) == t
+
+
+def test_dropout_is_lossless_varied_and_repeatable():
+    e, again, other = pieces.Encoder(PIECE, 0.3, 2), pieces.Encoder(PIECE, 0.3, 2, most=10), pieces.Encoder(PIECE, 0.3, 3)
+    text = " ".join(["tokenization ▁ of words"] * 200)
+    a, b = e([text, text], [1, 2])
+    assert a != b and e.decode(a) == e.decode(b) == text
+    assert again([text], [1]) == [a] and other([text], [1]) != [a]
+    plain = pieces.Encoder(PIECE, 0.0, 2)([text], [1])[0]
+    assert len(a) > len(plain)
+    every = pieces.Encoder(PIECE, 1.0, 2)(["abc"], [1])[0]
+    assert len(every) // 4 == 4
+
+
+def test_matrix_equals_heap():
+    import xxhash
+
+    e = pieces.Encoder(PIECE, 0.2, 7)
+    r = random.Random(4)
+    todo = [(r.randint(0, 3), " " + "".join(r.choice("aeinrstlthé.") for _ in range(r.randint(1, 60)))) for _ in range(800)]
+    todo = list(dict.fromkeys(todo))
+    from array import array
+
+    want = [array("i", pieces.agenda(e.model, e.model.symbols(c), 7, v, xxhash.xxh3_64_intdigest(c), 0.2)).tobytes() for v, c in todo]
+    assert e.fill(todo) == want
+
+
+def test_pieces_awkward(docs, none):
+    x = docs.withColumn("ids", pieces.encode(F.col("text"), F.col("doc_id"), PIECE))
+    back = x.withColumn("back", pieces.decode(F.col("ids"), PIECE))
+    assert back.filter(~F.col("back").eqNullSafe(F.col("text"))).count() == 0
+    assert back.filter("text = '' AND size(ids) <> 0").count() == 0
+    assert none.withColumn("ids", pieces.encode(F.col("text"), F.col("doc_id"), PIECE)).count() == 0
+
+
+# --- quality
+
+def base_by_hand(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    at = defaultdict(list)
+    for k in range(len(w) - 7):
+        at[tuple(w[k : k + 8])].append(k)
+    rep = {p + j for v in at.values() if len(v) > 1 for p in v for j in range(8)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), len(w) < 20 or 100 * len(rep) > 30 * len(w)
+
+
+def test_quality_base(spark, docs, none):
+    r = random.Random(5)
+    texts = TEXTS + [" ".join(r.choice(["a", "b", "#", "c|d", "\n", "é"]) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    for row in quality.measures(df).collect():
+        assert tuple(row[c] for c in cols) == base_by_hand(texts[row["doc_id"]]), texts[row["doc_id"]][:80]
+    labels = spark.createDataFrame([(1, 1, None), (None, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality.judge(docs, labels)
+    assert out.count() == docs.count() and out.filter("kept AND base_failed").count() == 0
+    assert quality.judge(none, labels).count() == 0
+
+
+def test_binomial_bound(spark):
+    from math import comb, log
+
+    df = spark.createDataFrame([(n, k) for n in (1, 50, 700, 3000) for k in (0, 1, 5, 20) if k <= n], "n long, k long")
+    for r in df.select("n", "k", quality.log_binomial_cdf(F.col("n"), F.col("k"), 0.02).alias("x")).collect():
+        if r["k"] < r["n"] * 0.02:
+            assert r["x"] == pytest.approx(log(sum(comb(r["n"], j) * 0.02**j * 0.98 ** (r["n"] - j) for j in range(r["k"] + 1))), abs=1e-9)
+        else:
+            assert r["x"] == 0
+
+
+def test_quality_cutoffs_keep_the_risk(spark):
+    """Junk full of symbols goes where labels suffice; good texts stay within the risk; a small stratum has no rule."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for k in range(3000):
+        junk = k % 5 == 0
+        rows.append((k, " ".join(word() + ("***" if junk else "") for _ in range(40)), "fr" if k % 100 == 7 else "en", int(not junk)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    out = quality.judge(df.drop("quality"), df.select("doc_id", "quality")).join(df.select("doc_id", "quality"), "doc_id").collect()
+    good = [x for x in out if x["quality"] == 1]
+    assert sum(not x["kept"] for x in good) <= quality.ALPHA * len(good)
+    assert not any(x["kept"] for x in out if x["quality"] == 0 and x["lang"] == "en")
+    assert all(x["kept"] for x in out if x["lang"] == "fr")
+
+
+# --- toxicity
+
+def test_toxicity(spark, docs, none):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7)))
+    rows = []
+    for k in range(500):
+        toxic = k % 5 == 0
+        ws = [word() for _ in range(r.randint(20, 80))]
+        if toxic:
+            ws[r.randrange(len(ws))] = r.choice(["Scumbag", "wretch", "vermin"])
+            ws[r.randrange(len(ws))] = r.choice(["scumbags", "Wretched", "vermins"])
+        rows.append((k, " ".join(ws), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").filter(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(df.select("doc_id", "text"), labels)
+    out = df.select("toxic", toxicity.held_out(F.col("doc_id")).alias("h"), toxicity.score(F.col("text"), model).alias("s")).filter("h").collect()
+    assert len(out) > 80
+    right = sum((x["s"] >= toxicity.THRESHOLD) == bool(x["toxic"]) for x in out)
+    assert right >= 0.95 * len(out)
+    scored = docs.withColumn("score", toxicity.score(F.col("text"), model)).collect()
+    assert all(0 <= x["score"] <= 1 for x in scored) and scored[0]["score"] == scored[len(TEXTS) + 1]["score"]
+    assert toxicity.train(docs, labels.limit(0)).scores(["x"])[0] < 1e-9
+    assert none.withColumn("score", toxicity.score(F.col("text"), model)).count() == 0
+    again = toxicity.train(df.select("doc_id", "text").orderBy(F.desc("doc_id")), labels)
+    assert (again.buckets == model.buckets).all() and np.allclose(again.weights, model.weights)
+
+
+# --- personal data
+
+def base_spans_by_hand(t):
+    out = [(m.start(), 0, m.end()) for m in pii.EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in pii.IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in pii.CARD.finditer(t) if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+    out += [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_spans():
+    r = random.Random(8)
+    for _ in range(20_000):
+        t = "".join(r.choice("a1@.b2-+ ()3%é") for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(t) == base_spans_by_hand(t), t
+    assert pii.base_spans("x" * 1000 + "@y.z") == [(0, 0, 1004)]
+
+
+def test_added_spans(spark, docs, none):
+    model = pii.train()
+    found = missed = wrong = 0
+    for text, spans in pii.examples(1500, seed=77):
+        base = pii.base_spans(text)
+        got = set(base) | set(model.added(text, base))
+        found += len(set(spans) & got)
+        missed += len(set(spans) - got)
+        wrong += len(got - set(spans) - set(base))
+    assert found > 0.95 * (found + missed) and wrong < 0.02 * found
+    text = "see +1 (314) 555-6532 4663622617512349 there"
+    assert pii.base_spans(text) == [] and [text[a:b] for a, _, b in model.added(text, [])] == ["+1 (314) 555-6532", "4663622617512349"]
+    assert pii.redact("call a@b.cd now", pii.base_spans("call a@b.cd now")) == "call <EMAIL> now"
+    out = docs.select("doc_id", "text", pii.find(F.col("text"), model).alias("f")).collect()
+    for x in out:
+        base = pii.base_spans(x["text"] or "")
+        assert [(s["start"], s["kind"], s["end"]) for s in x["f"]["base"]] == base
+        named = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert x["f"]["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+    assert none.select(pii.find(F.col("text"), model)).count() == 0
+
+
+# --- licenses
+
+MIT = """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ *
+ * The above copyright notice and this permission notice shall be included in all
+ * copies or substantial portions of the Software.
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+ * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+ * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+
+
+def test_licenses(docs, none):
+    name = lambda t: licenses.apply_rules(licenses.recognise(t))
+    assert name(MIT) == ["MIT"] and name("text\nReleased under the MIT Licence.\nmore") == ["MIT"]
+    assert name("Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.") == ["CC-BY-NC-4.0", "Apache-2.0"]
+    assert name("the license of the zoo. all rights were reserved. not released under the mit license at all") == []
+    assert name("Copyright (c) 2001 Jane Doe. All rights reserved.") == ["proprietary"]
+    bsd = ". ".join(licenses.SENTENCES[x][0].replace("*", "Acme Corp") for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"))
+    assert name(bsd) == ["BSD-3-Clause"] and name(bsd[: bsd.index("Neither")]) == ["BSD-2-Clause"]
+    # Every known sentence stands for itself.
+    for ident, texts in licenses.SENTENCES.items():
+        for t in texts:
+            assert ident in [x[0] for x in licenses.recognise(t.replace("*", "some name"))], t
+    out = docs.select("doc_id", licenses.scan(F.col("text")).alias("s")).collect()
+    assert all(x["s"]["n_known"] == 0 for x in out)
+    assert none.select(licenses.scan(F.col("text"))).count() == 0
+
+
+# --- decontamination
+
+def test_edit_distances():
+    r = random.Random(9)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for n in (1, 5, 12):
+        item = np.asarray([r.randint(0, 4) for _ in range(n)])
+        rows = np.asarray([[r.randint(0, 4) for _ in range(n)] for _ in range(50)])
+        assert decontaminate.edit_distances(rows, item).tolist() == [plain(x.tolist(), item.tolist()) for x in rows]
+
+
+def test_decontamination(spark, small, docs, none):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    index = decontaminate.Index(items)
+    r = random.Random(10)
+    noise = [f"n{k}" for k in range(500)]
+    texts, want = [], []
+    for _ in range(400):
+        k = r.randrange(len(items))
+        w = [x.decode() for x in decontaminate.words(items[k][1])]
+        for _ in range(r.randint(0, decontaminate.allowed(len(w), 0.9))):
+            w[r.randrange(len(w))] = r.choice(noise)
+        texts.append(" ".join(r.choices(noise, k=30) + w + r.choices(noise, k=30)))
+        want.append(items[k][0])
+    hits = index.hits(texts)
+    assert sum(i in {h[0] for h in hs} for i, hs in zip(want, hits, strict=True)) >= 0.97 * len(texts)
+    # Whatever is reported is near, exactly.
+    seqs = dict(zip(index.ids, index.seqs, strict=True))
+    for t, hs in zip(texts, hits, strict=True):
+        ids = [index.vocabulary.get(x, 0) for x in decontaminate.words(t)]
+        for i, s, n, d in hs:
+            assert d == decontaminate.edit_distances(np.asarray([ids[s : s + n]]), seqs[i])[0] <= decontaminate.allowed(n, 0.8)
+    assert index.hits([" ".join(r.choices(noise, k=500)), ""]) == [[], []]
+    b = spark.createDataFrame([(1, None), (None, ""), (2, "one"), (3, "w7 w8 w9 w10 w11 w12 w13"), (3, "w7 w8 w9 w10 w11 w12 w13")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, b).filter("size(passages) > 0").collect()
+    assert [x["doc_id"] for x in got] == [5] and {(p["item_id"], p["start"]) for p in got[0]["passages"]} == {(3, 7)}
+    assert decontaminate.contaminated(none, b).count() == 0 and decontaminate.contaminated(docs, b.limit(0)).filter("size(passages) > 0").count() == 0
+    blocks = decontaminate.indexes(spark.createDataFrame(items, "item_id long, text string"), block=7)
+    assert len(blocks) > 1 and sorted(x for i in blocks for x in i.ids) == sorted(index.ids)
+
+
+# --- Jaccard join
+
+def classes_by_hand(ids, texts):
+    words, bounds = shingles.word_hashes(texts)
+    s, sb = shingles.shingle_hashes(words, bounds)
+    sets = [set(s[a:b].tolist()) for a, b in zip(sb[:-1], sb[1:], strict=True)]
+    link = [[i != j and bool(x) and bool(y) and len(x & y) >= 0.8 * len(x | y) - 1e-9 for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    label = list(range(len(ids)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(ids)):
+            best = min([label[i], *(label[j] for j in range(len(ids)) if link[i][j])])
+            changed |= best != label[i]
+            label[i] = best
+    members = defaultdict(list)
+    for i, x in enumerate(label):
+        members[x].append(ids[i])
+    return {ids[i]: (min(members[label[i]]), sum(link[i])) for i in range(len(ids))}
+
+
+def test_shingles():
+    texts = ["", "One two", "a b c d e f", "a-b c. d\ne  f", "É é", "x" * 9000]
+    words, bounds = shingles.word_hashes(texts)
+    assert np.diff(bounds).tolist() == [0, 2, 6, 6, 2, 1]
+    assert (words[bounds[2] : bounds[3]] == words[bounds[3] : bounds[4]]).all() and words[bounds[4]] == words[bounds[4] + 1]
+    s, sb = shingles.shingle_hashes(words, bounds)
+    assert np.diff(sb).tolist() == [0, 1, 2, 2, 1, 1] and s[sb[2]] != s[sb[2] + 1]
+    f = shingles.fingerprints(words, bounds)
+    assert (f[2] == f[3]).all() and not (f[1] == f[2]).all()
+    assert (shingles.word_hashes(["b a"])[0][::-1] == shingles.word_hashes(["a b"])[0]).all()
+
+
+def test_jaccard_classes(spark, small):
+    r = random.Random(11)
+    rows = [(x["doc_id"], x["text"] or "") for x in spark.read.parquet(f"{small}/documents.parquet").collect()][:120]
+    base = "the quick brown fox jumps over a lazy dog " * 4
+    for k in range(60):
+        w = (base + " ".join(f"t{j}" for j in range(60))).split()
+        for _ in range(k % 3):
+            w[r.randrange(len(w))] = f"z{k}"
+        rows.append((10_000 + k, " ".join(w)))
+    rows += [(20_000, "three words only"), (20_001, "Three words, only!"), (20_002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.near_duplicates(df).collect()}
+    want = classes_by_hand([d for d, _ in rows], [t for _, t in rows])
+    assert got == want and want[20_001] == (20_000, 1)
+    kept = [x["doc_id"] for x in jaccard.keep_one(df).collect()]
+    assert sorted(kept) == sorted({c for c, _ in want.values()})
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """A component dealt into many blocks has the same links and classes."""
+    r = random.Random(12)
+    rows = []
+    for k in range(60):
+        w = [f"t{j}" for j in range(100)]
+        w[r.randrange(100)] = f"z{k}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 7)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.near_duplicates(df).collect()}
+    assert got == classes_by_hand([d for d, _ in rows], [t for _, t in rows])
+
+
+def test_jaccard_awkward(docs, none):
+    out = jaccard.near_duplicates(docs)
+    assert out.count() == docs.count()
+    by = defaultdict(list)
+    for x in out.collect():
+        by[x["doc_id"]].append((x["class_id"], x["n_links"]))
+    assert sorted(by[1]) == [(1, 2)] * 3 and sorted(by[0]) == [(0, 0)] * 2 and by[None] == [(None, 0)]
+    assert jaccard.keep_one(docs).columns == docs.columns and jaccard.near_duplicates(none).count() == 0
+
+
+def test_intersections():
+    g = np.random.default_rng(2)
+    sets = [np.unique(g.integers(0, 80, g.integers(0, 60)).astype(np.uint64)) for _ in range(70)]
+    got = jaccard.intersections(sets)
+    for i in range(70):
+        for j in range(70):
+            if i != j:
+                assert got[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+
+
+def test_prefix_reaches_recall():
+    k = jaccard.prefix_length()
+    assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
+
+
+def test_components(spark):
+    r = random.Random(13)
+    edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in label.items() if k in got} and all(a in got for a, b in edges if a != b)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- passages
+
+def test_compact_windows():
+    g = np.random.default_rng(3)
+    for _ in range(50):
+        n = g.integers(0, 40, 4).tolist()
+        b = np.concatenate([[0], np.cumsum(n)])
+        t = g.integers(0, 2**63, b[-1], np.uint64)
+        l, c, r, v = passages.compact_windows(t, b, 1, 5)
+        # Each passage of at least 5 tokens lies in the one window whose minimum it has.
+        for d in range(4):
+            for i in range(b[d], b[d + 1]):
+                for j in range(i + 5, b[d + 1] + 1):
+                    inside = (l <= i) & (j <= r) & (i <= c) & (c < j)
+                    assert inside.sum() == 1
+
+
+def test_passages(spark, docs, none):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    shared = [[word() for _ in range(n)] for n in (60, 80, 51, 40)]
+    rows = []
+    for k in range(80):
+        w = [word() for _ in range(r.randint(100, 300))]
+        if k % 4 != 3:
+            p = list(shared[k % 4])
+            if k % 4 == 1 and k > 40:
+                p[5] = word()
+            at = r.randrange(len(w))
+            w[at:at] = p
+        elif k % 8 == 3:
+            at = r.randrange(len(w))
+            w[at:at] = shared[3]
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    docs_found = {x["doc_id"] for x in got} | {x["other_id"] for x in got}
+    assert docs_found == {k for k in range(80) if k % 4 != 3}
+    texts = {d: t.split() for d, t in rows}
+    for x in got:
+        a = texts[x["doc_id"]][x["start_word"] : x["start_word"] + x["n_words"]]
+        b = texts[x["other_id"]][x["other_start"] : x["other_start"] + x["other_words"]]
+        s, q = ({tuple(v[k : k + 5]) for k in range(len(v) - 4)} for v in (a, b))
+        assert len(a) >= passages.MIN_WORDS and len(s & q) / len(s | q) >= 0.8 - 1e-9 and x["similarity"] == pytest.approx(len(s & q) / len(s | q))
+    out = passages.repeated_passages(docs).collect()
+    assert out == [] and passages.repeated_passages(none).count() == 0
+
+
+def test_hot_passage_over_partitions(spark):
+    """A passage that all documents share ties them together, through the first document of each partition."""
+    shared = " ".join(f"p{k}" for k in range(70))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda k: F.concat(F.lit("u"), F.col("id"), F.lit("x"), k)), F.lit(shared)).alias("text"))
+        got = passages.repeated_passages(df).collect()
+        label = list(range(300))
+        for _ in range(8):
+            for x in got:
+                label[x["doc_id"]] = label[x["other_id"]] = min(label[x["doc_id"]], label[x["other_id"]])
+        assert set(label) == {0} and len(got) < 10 * 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+# --- queries and pipeline
+
+def test_queries(spark, small):
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    for name, f in queries.queries().items():
+        if name not in ("op1_decontaminate", "op7_passages"):
+            out = f(spark, small)
+            assert out.count() == n and "doc_id" in out.columns, name
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline as p
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    state = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet").filter(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(state, labels)
+    scores = dict(zip(docs, model.scores(list(docs.values())), strict=True))
+    left = {d: t for d, t in docs.items() if scores[d] < toxicity.THRESHOLD}
+    gone, _ = lines_by_hand(list(left.items()), 10)
+    norm = lambda line: line.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
+    left = {d: "\n".join(x for x in t.split("\n") if norm(x) not in gone) for d, t in left.items()}
+    classes = classes_by_hand(list(left), list(left.values()))
+    left = {d: t for d, t in left.items() if classes[d][0] == d}
+    index = decontaminate.Index([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()])
+    left = {d: t for (d, t), h in zip(left.items(), index.hits(list(left.values())), strict=True) if not h}
+    got = {r["doc_id"]: r["text_sha256"] for r in p.run(spark, small).collect()}
+    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in left.items()}
+    assert [k for k, _ in p.STAGES][0] == "toxicity" and len(p.STAGES) == 5
+
+
+def test_pipeline_stages_awkward(spark, small, docs, none):
+    import corpus_pipeline as p
+
+    plain = docs.select(*p.COLUMNS)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, plain, small)
+        assert out.columns == p.COLUMNS, name
+        assert stage(spark, none.select(*p.COLUMNS), small).count() == 0
+    assert p.STAGES[-1][1](spark, plain, small).count() == plain.count()
