@@ -133,7 +133,7 @@ def read_flat_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Fixed value: the form of a record in text reports.
-TEXT_RECORD = r"dist:\d+\.\d+\s+FILE\s+(\S+)\s+LINE:(\d+):(\d+)"
+TEXT_RECORD = r"^\d+\sdist:\d+\.\d+\sFILE\s(.+)\sLINE:(\d+):(\d+)"
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +141,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
     A report is one file; its lines are numbered within it, so that groups of several reports stay apart.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("report"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     record = F.col("text").rlike(TEXT_RECORD)
     w = W.partitionBy("report").orderBy("line")
     rows = whole.withColumn("group_id", F.sum((~record).cast("long")).over(w)).filter(record)
@@ -151,16 +151,22 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return _groups(rows)
 
 
+#: The marks of a clone and of the common prefix in HTML reports.
+HTML_CLONE = r"(?s)<td>Line Count<br/>(\d+)</td><td>Source Line<br/>(\d+).*?Source File</div><pre>(.*?)</pre>"
+HTML_PREFIX = r"<h2>Common Path Prefix: <tt>(.+?)</tt></h2>"
+
+
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
     """A folder with a page xCloneSet<id>.html for each group, and jFilesAnalyzed.html with the files' common prefix."""
-    pages = spark.read.option("wholetext", True).text(f"{folder}/xCloneSet*.html").select(F.regexp_extract(F.input_file_name(), r"xCloneSet(\d+)\.html", 1).cast("long").alias("group_id"), "value")
-    index = spark.read.option("wholetext", True).text(f"{folder}/jFilesAnalyzed.html")
-    prefix = index.select(F.regexp_extract("value", r"(?i)common prefix[^<]*<[^>]*>\s*([^<\s]+)", 1).alias("prefix"))
-    found = F.regexp_extract_all("value", F.lit(r"(?is)Line Count\D*(\d+)\D*?Source Line\D*(\d+)[^<]*?Source File[^\w/.]*([^\s<]+)"), F.lit(0))
-    rows = pages.select("group_id", F.explode(found).alias("r")).join(F.broadcast(prefix))  # one row
-    part = lambda p: F.regexp_extract("r", p, 1)
-    start = part(r"(?i)Source Line\D*(\d+)").cast("int")
-    return _groups(rows.select("group_id", F.concat("prefix", part(r"(?i)Source File[^\w/.]*([^\s<]+)")).alias("file"), start.alias("start_line"), (start + part(r"(?i)Line Count\D*(\d+)").cast("int") - 1).alias("end_line")))
+    pages = spark.read.text(f"{folder}/xCloneSet*.html", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"xCloneSet(\d+)\.html", 1).cast("long").alias("group_id"), "value")
+    index = spark.read.text(f"{folder}/jFilesAnalyzed.html", wholetext=True)
+    prefix = index.select(F.regexp_extract("value", HTML_PREFIX, 1).alias("prefix"))
+    found = F.explode(F.regexp_extract_all("value", F.lit(HTML_CLONE), F.lit(0)))
+    rows = pages.select("group_id", found.alias("r")).join(F.broadcast(prefix))  # one row
+    part = lambda k: F.regexp_extract("r", HTML_CLONE, k)
+    start = part(2).cast("int")
+    file = F.when(F.col("prefix") == "", part(3)).otherwise(F.concat("prefix", F.lit("/"), part(3)))
+    return _groups(rows.select("group_id", file.alias("file"), start.alias("start_line"), (start + part(1).cast("int") - 1).alias("end_line")))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
