@@ -135,3 +135,45 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = judge(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def _sql() -> str:
+    """The same in SQL: windows as joined words, and the bound from the gamma function."""
+    grid = ", ".join(f"({i}, '{r}', {c})" for i, (r, g) in enumerate(GRID.items()) for c in g)
+    pick = lambda alias: " ".join(f"WHEN '{r}' THEN {alias}.{r}" for r in GRID)
+    tests, p = (len(LANGS) + 1) * (len(LENGTHS) + 1) * len(GRID), ALPHA / len(GRID)
+    langs = ", ".join(f"'{x}'" for x in LANGS)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS n FROM w),
+v AS (SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS win FROM u),
+rep AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS c FROM v WHERE pos + {WINDOW} <= n) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT pos + j) AS n_repeat_words FROM rep CROSS JOIN range({WINDOW}) AS r(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^!]', '', 'g')) AS bang
+  FROM d JOIN w ON w.doc_id = d.doc_id LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN cover ON cover.doc_id = d.doc_id),
+m AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         n_symbols * 1000 // greatest(1, word_chars) AS symbols, upper * 1000 // greatest(1, word_chars) AS uppercase, bang * 1000 // greatest(1, word_chars) AS exclaims,
+         n_dup_lines * 1000 // greatest(1, n_lines) AS dup_lines, n_repeat_words * 1000 // greatest(1, n_words) AS repeats,
+         CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END || CASE WHEN n_words < {LENGTHS[0]} THEN '/short' WHEN n_words < {LENGTHS[1]} THEN '/middle' ELSE '/long' END AS stratum
+  FROM b),
+grid(i, rule, cutoff) AS (VALUES {grid}),
+c AS (
+  SELECT stratum, i, rule, cutoff, count(*) AS n, sum(CASE WHEN CASE rule {pick("m")} END > cutoff THEN 1 ELSE 0 END)::BIGINT AS k
+  FROM m CROSS JOIN grid WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+x AS (SELECT *, CASE WHEN k >= n * {p} THEN 0 ELSE ln(list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))) END <= ln({DELTA} / {tests}) AS ok FROM c),
+y AS (SELECT *, min(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC ROWS UNBOUNDED PRECEDING) AS so_far FROM x),
+z AS (SELECT stratum, i, rule, min(cutoff) AS cutoff FROM y WHERE so_far = 1 GROUP BY ALL),
+f AS (SELECT m.doc_id, string_agg(rule, ',' ORDER BY i) AS rejected_by FROM m JOIN z ON z.stratum = m.stratum WHERE CASE rule {pick("m")} END > cutoff GROUP BY m.doc_id)
+SELECT m.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM m LEFT JOIN f ON f.doc_id = m.doc_id
+"""
+
+
+OP5_SQL = _sql()

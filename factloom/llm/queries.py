@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": linededup.OP9_SQL}
+    return {"op4_jaccard_join": jaccard.OP4_SQL, "op5_quality": quality.OP5_SQL, "op9_line_dedup": linededup.OP9_SQL}
