@@ -197,3 +197,33 @@ def associations(fields: DataFrame, classes: DataFrame) -> DataFrame:
     names = F.explode(F.array_distinct(F.regexp_extract_all(F.col("type"), F.lit(r"([\w.$]+)"), F.lit(1))))
     f = fields.select(F.col("class").alias("from_class"), F.col("member").alias("field"), "type", names.alias("to_class"))
     return f.join(classes.select(F.col("class").alias("to_class")), "to_class", "left_semi").select("from_class", "to_class", "field", F.col("type").rlike(r"[<\[]").alias("is_container"))
+
+
+def adder_associations(fields: DataFrame, adders: DataFrame, classes: DataFrame) -> DataFrame:
+    """from_class, to_class, field of untyped collections whose adder method (class, field, element_type) takes a class of the system."""
+    known = classes.select(F.col("class").alias("to_class"))
+    pairs = fields.select(F.col("class").alias("from_class"), F.col("member").alias("field")).join(adders.select(F.col("class").alias("from_class"), "field", F.col("element_type").alias("to_class")), ["from_class", "field"])
+    return pairs.join(known, "to_class", "left_semi").groupBy("from_class", "field").agg(F.min("to_class").alias("to_class")).select("from_class", "to_class", "field", F.lit(True).alias("is_container"))
+
+
+def constants_of_subclasses(constants: DataFrame, subclasses: DataFrame) -> DataFrame:
+    """constant, class: constants of a type check and subclasses with the same name but for case and underscores."""
+    plain = lambda c: F.lower(F.regexp_replace(F.substring_index(c, ".", -1), "_", ""))
+    return constants.select("constant", plain(F.col("constant")).alias("k")).join(subclasses.select("class", plain(F.col("class")).alias("k")), "k").select("constant", "class")
+
+
+def friends(accesses: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """class, friend: classes that use a member of the class or of one of its superclasses (type, ancestor)."""
+    used = accesses.filter("src_class <> dst_class").select(F.col("src_class").alias("friend"), F.col("dst_class").alias("class")).distinct()
+    up = used.join(ancestors.select(F.col("ancestor").alias("class"), F.col("type").alias("sub")), "class").select("friend", F.col("sub").alias("class"))
+    return used.unionByName(up).filter("friend <> class").select("class", "friend").distinct()
+
+
+def comments_of_types(comments: DataFrame, types: DataFrame) -> DataFrame:
+    """comment, type: comments (comment, file, start, end) inside a type (type, file, start, end), or in the file named as it."""
+    from .joins import contained
+
+    inside = contained(comments, types, ["file"]).select(F.col("i_comment").alias("comment"), F.col("o_type").alias("type"))
+    simple = F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1)
+    named = comments.select("comment", "file", simple.alias("name")).join(types.select("type", "file", F.substring_index("type", ".", -1).alias("name")), ["file", "name"]).select("comment", "type")
+    return inside.unionByName(named).distinct()

@@ -290,3 +290,16 @@ def slice_passes(sizes: DataFrame, method_size: DataFrame, t) -> DataFrame:
     """Slices within the thresholds of size and duplication."""
     x = sizes.join(method_size, "g")
     return x.filter((F.col("extracted") >= t.min_slice) & (F.col("extracted") <= F.col("size") - t.max_slice_slack) & (F.col("duplicated") <= t.max_duplication) & (F.col("ratio") <= t.max_duplication_ratio) & (F.col("size") >= t.min_method_size))
+
+
+def slice_criteria(statements: DataFrame) -> DataFrame:
+    """g, var, node: assignments of a variable, without its declaration."""
+    d = statements.select("g", F.col("id").alias("node"), F.explode("defs").alias("var"), F.coalesce("declares", F.array().cast("array<string>")).alias("declares"))
+    return d.filter(~F.array_contains("declares", F.col("var"))).select("g", "var", "node")
+
+
+def common_boundaries(boundaries: DataFrame) -> DataFrame:
+    """g, var, block: blocks that are a boundary of every criterion (g, var, node, block) of a variable."""
+    need = boundaries.select("g", "var", "node").distinct().groupBy("g", "var").agg(F.count(F.lit(1)).alias("need"))
+    met = boundaries.select("g", "var", "node", "block").distinct().groupBy("g", "var", "block").agg(F.count(F.lit(1)).alias("met"))
+    return met.join(need, ["g", "var"]).filter("met = need").select("g", "var", "block")

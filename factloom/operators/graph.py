@@ -142,3 +142,31 @@ def reachable_blocks(flow: DataFrame) -> DataFrame:
 def boundary_blocks(reachable: DataFrame, dominated: DataFrame) -> DataFrame:
     """node_block, boundary: blocks from which a block is reachable and which dominate it."""
     return reachable.join(dominated, ["src", "dst"]).select(F.col("dst").alias("node_block"), F.col("src").alias("boundary")).distinct()
+
+
+def dominated(control: DataFrame) -> DataFrame:
+    """src, dst: what runs only under a node, by control dependences (src, dst), each node under itself."""
+    every = control.select(F.explode(F.array("src", "dst")).alias("src")).distinct().select("src", F.col("src").alias("dst"))
+    return closure(control).select("src", "dst").unionByName(every).distinct()
+
+
+def block_region(blocks_of: DataFrame, reachable: DataFrame, boundary: DataFrame) -> DataFrame:
+    """boundary, node: nodes of the blocks reachable from a boundary block. blocks_of: block, node; boundary: boundary."""
+    return boundary.join(reachable, F.col("boundary") == F.col("src")).join(blocks_of, F.col("dst") == F.col("block")).select("boundary", "node").distinct()
+
+
+def container_paths(associations: DataFrame, most: int) -> DataFrame:
+    """path, container: chains of associations (from_class, to_class, is_container) and whether one of them holds many."""
+    edges = associations.groupBy(F.col("from_class").alias("src"), F.col("to_class").alias("dst")).agg(F.bool_or("is_container").alias("many"))
+    now = _settle(edges.select(F.array("src", "dst").alias("path"), F.col("many").alias("container")))
+    out = now
+    for _ in range(most - 2):
+        now = _settle(now.join(edges, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), (F.col("container") | F.col("many")).alias("container")))
+        out = out.unionByName(now)
+    return out
+
+
+def sub_types(extends: DataFrame, abstract: DataFrame) -> DataFrame:
+    """type, sub: sub-types of a type (extends: sub, super); abstract ones are followed to theirs and stay out themselves."""
+    down = closure(extends.select(F.col("super").alias("src"), F.col("sub").alias("dst")))
+    return down.join(abstract.select(F.col("type").alias("dst")), "dst", "left_anti").select(F.col("src").alias("type"), F.col("dst").alias("sub"))

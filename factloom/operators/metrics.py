@@ -107,3 +107,9 @@ def weighted_differences(rows: DataFrame, by: list[str]) -> DataFrame:
     )
     once = rows.select(*by, "difference", "kind", "weight").distinct().groupBy(*by).agg(F.sum("weight").alias("distinct_weight"), F.sum(F.when(plain, F.col("weight")).otherwise(0)).alias("distinct_plain_weight"))
     return every.join(once, by)
+
+
+def access_buckets(accesses: DataFrame) -> DataFrame:
+    """entity, n, owners: the classes that an entity uses n members of."""
+    n = accesses.select("entity", "owner", "member").distinct().groupBy("entity", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("entity", "n").agg(F.array_sort(F.collect_list("owner")).alias("owners"))

@@ -347,3 +347,37 @@ def test_evolution(spark):
     assert list(x) == [0.75, None, 0.75]
     p = spark.createDataFrame([("tool-1.10",), ("tool-1.9",), ("plain",)], "name string")
     assert [r["name"] for r in evolution.discover(p, "name").orderBy("family", "version_key").collect()] == ["tool-1.9", "tool-1.10"]
+
+
+# --- smaller operators
+
+def test_more_facts(spark):
+    f = spark.createDataFrame([("A", "A::items"), ("A", "A::n")], "class string, member string")
+    add = spark.createDataFrame([("A", "A::items", "B"), ("A", "A::n", "int")], "class string, field string, element_type string")
+    c = spark.createDataFrame([("A",), ("B",)], "class string")
+    assert rows(facts.adder_associations(f, add, c), "from_class", "to_class", "field") == [("A", "B", "A::items")]
+    k = spark.createDataFrame([("RED_CAR",), ("BUS",)], "constant string")
+    assert rows(facts.constants_of_subclasses(k, spark.createDataFrame([("p.RedCar",), ("p.Van",)], "class string"))) == [("RED_CAR", "p.RedCar")]
+    a = spark.createDataFrame([("X", "Base"), ("Base", "Base")], "src_class string, dst_class string")
+    assert rows(facts.friends(a, spark.createDataFrame([("Sub", "Base", 1)], "type string, ancestor string, depth int"))) == [("Base", "X"), ("Sub", "X")]
+    com = spark.createDataFrame([(1, "d/A.java", 5, 6), (2, "d/A.java", 0, 1), (3, "d/Z.java", 0, 1)], "comment int, file string, start int, end int")
+    ty = spark.createDataFrame([("p.A", "d/A.java", 3, 90), ("p.In", "d/A.java", 4, 8)], "type string, file string, start int, end int")
+    assert rows(facts.comments_of_types(com, ty)) == [(1, "p.A"), (1, "p.In"), (2, "p.A")]
+    acc = spark.createDataFrame([("m", "A", "x"), ("m", "A", "y"), ("m", "B", "z"), ("m", "C", "w"), ("m", "C", "w")], "entity string, owner string, member string")
+    assert rows(metrics.access_buckets(acc), "entity", "n", "owners") == [("m", 1, ["B", "C"]), ("m", 2, ["A"])]
+
+
+def test_more_graphs(spark):
+    ctl = spark.createDataFrame([(0, 1), (0, 2), (2, 3)], "src int, dst int")
+    assert rows(graph.dominated(ctl).filter("src = 2")) == [(2, 2), (2, 3)]
+    reach = spark.createDataFrame([(1, 1), (1, 2)], "src int, dst int")
+    bl = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "block int, node int")
+    assert rows(graph.block_region(bl, reach, spark.createDataFrame([(1,)], "boundary int"))) == [(1, 10), (1, 20)]
+    asc = spark.createDataFrame([("A", "B", False), ("B", "C", True)], "from_class string, to_class string, is_container boolean")
+    assert {(tuple(r["path"]), r["container"]) for r in graph.container_paths(asc, 3).collect()} == {(("A", "B"), False), (("B", "C"), True), (("A", "B", "C"), True)}
+    ext = spark.createDataFrame([("Mid", "Top"), ("Leaf", "Mid")], "sub string, super string")
+    assert rows(graph.sub_types(ext, spark.createDataFrame([("Mid",)], "type string"))) == [("Mid", "Leaf"), ("Top", "Leaf")]
+    st = spark.createDataFrame([("g", 1, ["x"], ["x"]), ("g", 2, ["x"], None), ("g", 3, ["x", "y"], [])], "g string, id int, defs array<string>, declares array<string>")
+    assert rows(flow.slice_criteria(st), "var", "node") == [("x", 2), ("x", 3), ("y", 3)]
+    b = spark.createDataFrame([("g", "x", 2, 1), ("g", "x", 3, 1), ("g", "x", 3, 4), ("g", "y", 3, 4)], "g string, var string, node int, block int")
+    assert rows(flow.common_boundaries(b), "var", "block") == [("x", 1), ("y", 4)]
