@@ -39,7 +39,16 @@ def written(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{tag}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._factloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table from `written` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._factloom_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def files_at(uri: str) -> tuple[pafs.FileSystem, str]:
