@@ -172,10 +172,10 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, encoder: Calla
     yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([0], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([part], pa.int32())], names=["shard", "first", "docs", "ids", "part"])
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: bool = False, folder: str | None = None, special: bool = False) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: bool = False, folder: str | None = None) -> DataFrame:
     """Encode whole texts and write shards in ascending doc_id order; returns their manifest, itself a written table.
 
-    tokenizer: file of the tokenizers library (byte-level BPE). special: whether strings of special tokens are such tokens.
+    tokenizer: file of the tokenizers library (byte-level BPE).
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark) + "-shards"
