@@ -557,6 +557,42 @@ def test_passages(spark, docs, none):
     assert out == [] and passages.repeated_passages(none).count() == 0
 
 
+def shares(a, b):
+    s, q = ({tuple(v[k : k + 5]) for k in range(len(v) - 4)} for v in (a, b))
+    return len(s & q) / len(s | q)
+
+
+def near_passages(a, b, least=passages.T):
+    """verify() of two lists of words, told all places where a token is common."""
+    s, q = (shingles.shingle_hashes(*shingles.word_hashes([" ".join(w)]))[0].view(np.int64) for w in (a, b))
+    x, y = np.nonzero(s[:, None] == q[None, :])
+    return passages.verify(s, 0, q, x, y, 0.8, least)
+
+
+@pytest.mark.parametrize(("n", "edits"), [(60, [30]), (80, [40]), (90, [45]), (100, [33, 66]), (200, [40, 80, 120, 160])])
+def test_passage_edits_in_the_middle(n, edits):
+    """A whole passage that brute force finds near is found whole, wherever words were replaced."""
+    a = [f"p{k}" for k in range(n)]
+    b = [f"x{k}" if k in edits else w for k, w in enumerate(a)]
+    assert shares(a, b) >= 0.8
+    left, right = ([f"{s}{k}" for k in range(70)] for s in "lr")
+    for one, two in ((a, b), (b, a)):
+        got = near_passages(left + one + right, right + two + left)
+        assert [x[4] for x in got if x[:4] == (70, n - 4, 70, n - 4)] == [pytest.approx(shares(a, b))]
+
+
+def test_stretches():
+    """The longest stretch is as long as the longest that brute force finds."""
+    g = np.random.default_rng(7)
+    for _ in range(200):
+        m = g.random(60) < 0.85
+        at = np.flatnonzero(m)
+        longest = max((y + 1 - x for x in at for y in at if y >= x and m[x : y + 1].sum() >= 4 * (~m[x : y + 1]).sum()), default=0)
+        got = passages.stretches(m, 4.0, 5)
+        assert max((y - x for x, y in got), default=0) == (longest if longest >= 5 else 0)
+        assert all(p[1] <= q[0] for p, q in zip(got, got[1:], strict=False))
+
+
 def test_hot_passage_over_partitions(spark):
     """A passage that all documents share ties them together, through the first document of each partition."""
     shared = " ".join(f"p{k}" for k in range(70))
