@@ -588,9 +588,37 @@ def test_stretches():
         m = g.random(60) < 0.85
         at = np.flatnonzero(m)
         longest = max((y + 1 - x for x in at for y in at if y >= x and m[x : y + 1].sum() >= 4 * (~m[x : y + 1]).sum()), default=0)
-        got = passages.stretches(m, 4.0, 5)
-        assert max((y - x for x, y in got), default=0) == (longest if longest >= 5 else 0)
-        assert all(p[1] <= q[0] for p, q in zip(got, got[1:], strict=False))
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(int), [0]])))
+        starts, ends = edges[::2], edges[1::2]
+        got = passages.stretches(starts, ends, starts - np.concatenate([starts[:1], ends[:-1]]), 4.0, 5)
+        assert max((ends[y] - starts[x] for x, y in got), default=0) == (longest if longest >= 5 else 0)
+        assert all(p[1] < q[0] for p, q in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize(("n", "lacks"), [(85, 4), (85, 5), (100, 6), (120, 12), (400, 30)])
+def test_passage_lacks_words_in_a_row(n, lacks):
+    a = [f"p{k}" for k in range(n)]
+    b = a[: n // 2 - lacks // 2] + a[n // 2 - lacks // 2 + lacks :]
+    assert shares(a, b) >= 0.8
+    left, right = ([f"{s}{k}" for k in range(70)] for s in "lr")
+    for one, two in ((a, b), (b, a)):
+        got = near_passages(left + one + right, right + two + left)
+        assert [x[4] for x in got if x[:4] == (70, len(one) - 4, 70, len(two) - 4)] == [pytest.approx(shares(a, b))]
+
+
+def test_passage_far_from_its_window():
+    """One joined window is enough for a passage that goes on further than 4 T tokens."""
+    s = np.arange(600, dtype=np.int64)
+    assert passages.verify(s, 0, s + 0, np.array([0]), np.array([0]), 0.8, passages.T) == [(0, 600, 0, 600, 1.0)]
+
+
+def test_rest_of_overlapping_passage():
+    """What a passage has beyond those found is reported if it is long enough, and later diagonals look at it again."""
+    doc = np.arange(200, dtype=np.int64)
+    hub = np.concatenate([doc[:120], np.arange(1000, 1100), doc[20:200]])
+    # Two windows on the first diagonal, one on that of the 180 tokens, 100 of which were found before.
+    got = passages.verify(doc, 0, hub, np.array([10, 50, 150]), np.array([10, 50, 350]), 0.8, passages.T)
+    assert set(range(200)) == {k for x in got for k in range(x[0], x[0] + x[1])}
 
 
 def test_hot_passage_over_partitions(spark):
