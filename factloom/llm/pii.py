@@ -9,8 +9,8 @@ No table labels spans, so the trees learn from sentences that `examples` writes
 addresses in the forms people use, and dates, versions, amounts, identifiers and broken checksums as counter-examples.
 
 Defined results: a null or empty text has no spans; offsets count code points; repeated rows get equal spans; extra
-columns stay; an empty table gives an empty result. Work is linear in the text: a candidate has at most GROUPS digit
-groups and each pattern has a bounded width or a trigger character.
+columns stay; an empty table gives an empty result. Work is linear in the text: a candidate has at most
+MOST_DIGITS digits and each pattern has a bounded width or a trigger character.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ DIGIT = re.compile(r"[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
-GROUPS, PRECISION = 6, 0.98
-RUN = re.compile(r"[+(]{0,2}[0-9](?:[0-9]|[\x20()./-]{1,3}(?=[0-9(+])){5,40}")
+MOST_DIGITS, PRECISION = 19, 0.98
+RUN = re.compile(r"[+(]{0,2}[0-9](?:[0-9]|[\x20()./-]{1,3}(?=[0-9(+])){5,}")
 SPLIT = re.compile(r"[+(]*[0-9]+\)?")
 TRIGGER = re.compile("@|＠|[(\\[] ?at ?[)\\]]|[\\s(\\[]dot[\\s)\\]]", re.IGNORECASE)
 WRITTEN = re.compile(r"[\w.%+-]{1,64}\s?(?:@|＠|[(\[] ?at ?[)\]]|\sat\s)\s?[\w-]{1,64}(?:(?:\.|\s?[(\[] ?dot ?[)\]]\s?|\sdot\s)[A-Za-z][\w-]{0,63}){1,6}", re.IGNORECASE)
@@ -100,10 +100,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
         for m in RUN.finditer(text):
             groups = [(g.start(), g.end()) for g in SPLIT.finditer(text, m.start(), m.end())]
             for i in range(len(groups)):
-                for j in range(i, min(len(groups), i + GROUPS)):
+                for j in range(i, len(groups)):
                     a, b = groups[i][0], groups[j][1]
                     n = len(_digits(text[a:b]))
-                    if n > 19:
+                    if n > MOST_DIGITS:
                         break
                     if 7 <= n <= 15:
                         yield a, 3, b

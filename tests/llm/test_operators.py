@@ -509,6 +509,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_numbers_in_long_runs():
+    """Each number of a long list is a candidate, wherever it stands, and so is one in seven groups."""
+    numbers = [f"01{70 + k} {1234567 + 11 * k}" for k in range(40)]
+    text = "tel " + " ".join(numbers)
+    found = {text[a:b] for a, kind, b in pii.candidates(text) if kind == 3}
+    assert set(numbers) <= found
+    text = "call 00 33 1 23 45 67 89 now"
+    assert (5, 3, 24) in set(pii.candidates(text))
+    assert list(pii.candidates("7" * 100)) == []
+
+
 # --- passages
 
 def test_compact_windows():
