@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding with seeded merge-dropout (operator 2).
 
 The encoder is the BPE agenda of a SentencePiece model: adjacent symbols whose concatenation is a piece are candidates,
-the best score goes first, the leftmost among equals. With dropout p, a candidate that comes to the top is skipped for good
-if a keyed hash of (seed, variant, chunk, left start, cut, right end) falls below p. So the same seed gives the same pieces on
-any cluster, at any retry and in any partitioning, and p = 0 gives the library's own result.
+the best score goes first, the leftmost among equals. With dropout p, the candidate that comes to the top is skipped for good
+if a keyed hash of (seed, document, place of the part in it, number of the step) falls below p: every occurrence of a word
+draws anew, and the same seed gives the same pieces on any cluster, at any retry and in any partitioning; p = 0 gives the
+library's own result. Each step has 16 bits of hash, so p is rounded to 1 / 65536.
 
 No piece goes on after a space sign, so merges never cross from a word to the next word's space, nor do they where no piece
-has two characters side by side. A text is encoded chunk by chunk between such places. Each BLOCK words in a row take one of
-VARIANTS variants, by a keyed hash of the document and the block's place; each (variant, chunk) is encoded once for a worker.
+has two characters side by side. A text is encoded part by part between such places.
 
-Many chunks are merged at once as rows of a matrix; chunks over WIDE characters go through the same agenda one by one.
+The result for a part depends on the steps skipped alone, so a worker memoises (part, steps skipped) in a trie: an edge is the
+next step skipped, a node knows the number of steps taken if no more are skipped. Occurrences walk it all at once; those
+that it doesn't hold go through the agenda together as rows of a matrix. Parts over NARROW characters or with characters
+outside the vocabulary aren't memoised. The memo is bounded by bytes (KEPT) and starts afresh when it is full.
 
 Decoding is lossless for every text: characters outside the vocabulary, and the space sign itself, become byte pieces.
 
@@ -24,10 +27,10 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -35,9 +38,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import crc32, mix64, table
 
 SPACE = "▁"
-VARIANTS = 4
-BLOCK = 64
-WIDE = 48
+#: A part of n characters takes 3 (n - 1) steps at most, since a merge makes two new candidates: 60 fit into a mask.
+NARROW, WIDE, STEPS = 21, 48, 64
+#: Bytes of the memo, by estimate, at which it starts afresh; UNKNOWN marks nodes whose steps aren't known.
+KEPT, UNKNOWN = 96 << 20, 255
 NONE = np.int32(2**31 - 1)
 CHUNK = re.compile(" *[^ ]+| +")
 
@@ -130,6 +134,13 @@ class Pieces:
             self._by_code = t
         return self._by_code
 
+    @property
+    def known(self) -> frozenset[str]:
+        """The characters that are one symbol."""
+        if "_known" not in self.__dict__:
+            self._known = frozenset(c for c in map(chr, np.flatnonzero(self.by_code > 0).tolist()))
+        return self._known
+
     @property
     def beside(self) -> set[str]:
         """The pairs of characters that some piece has side by side; others never merge. A space is written as itself."""
@@ -138,20 +149,30 @@ class Pieces:
         return self._beside
 
 
-def dropped(seed: int, variant: np.ndarray, chunk: np.ndarray, left: np.ndarray, cut: np.ndarray, right: np.ndarray, p: float) -> np.ndarray:
-    """Whether the keyed hash skips the candidate [left, cut) + [cut, right) of the chunk with this hash."""
-    x = chunk ^ mix64((np.asarray(variant, np.uint64) << np.uint64(32)) + np.uint64(seed))
-    x = x ^ ((np.asarray(left, np.uint64) * np.uint64(1 << 21) + np.asarray(cut, np.uint64)) * np.uint64(1 << 21) + np.asarray(right, np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return (mix64(x) >> np.uint64(11)).astype(np.float64) < p * 2.0**53
+def skips(occurrence: np.ndarray, step: int, p: float) -> np.ndarray:
+    """Whether the keyed hash of each occurrence skips the candidate of this step."""
+    x = mix64(occurrence + np.uint64((step >> 2) * (0x9E3779B97F4A7C15 >> 1) & 0xFFFFFFFFFFFFFFFF))
+    return (x >> np.uint64(16 * (step & 3)) & np.uint64(0xFFFF)) < np.uint64(round(p * 65536))
+
+
+def masks(occurrence: np.ndarray, p: float) -> np.ndarray:
+    """The first STEPS of `skips`, a bit for each."""
+    if not p:
+        return np.zeros(len(occurrence), np.uint64)
+    x = occurrence[:, None] + np.arange(STEPS // 4, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15 >> 1)
+    drawn = mix64(x).astype("<u8").view("<u2") < round(p * 65536)
+    return np.packbits(drawn, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def agenda(model: Pieces, symbols: list[int], seed: int, variant: int, chunk: int, p: float) -> list[int]:
-    """One chunk, with a heap; offsets count symbols."""
+def agenda(model: Pieces, symbols: list[int], occurrence: int, p: float) -> list[int]:
+    """One part, with a heap."""
     if model.as_dict is None:
         model.as_dict = {k: (t, r) for k, t, r in zip(model.merge_key.tolist(), model.merge_to.tolist(), model.merge_rank.tolist(), strict=True)}
     n = len(symbols)
     ids, start, nxt, prev = list(symbols), list(range(n)), [*range(1, n), -1], list(range(-1, n - 1))
     end, live, heap = list(range(1, n + 1)), [True] * n, []
+    drawn: list[bool] = []
+    step = 0
 
     def offer(i: int) -> None:
         j = nxt[i]
@@ -164,8 +185,14 @@ def agenda(model: Pieces, symbols: list[int], seed: int, variant: int, chunk: in
         _, _, i, j, cut, right, to = heapq.heappop(heap)
         if not live[i] or not live[j] or end[i] != cut or end[j] != right or nxt[i] != j:
             continue
-        if p and dropped(seed, np.asarray([variant]), np.asarray([chunk], np.uint64), np.asarray([start[i]]), np.asarray([cut]), np.asarray([right]), p)[0]:
-            continue
+        if p:
+            if step == len(drawn):
+                groups = np.arange(step >> 2, (step >> 2) + 64, dtype=np.uint64)
+                x = mix64(np.uint64(occurrence) + groups * np.uint64(0x9E3779B97F4A7C15 >> 1))
+                drawn += (x.astype("<u8").view("<u2") < round(p * 65536)).tolist()
+            step += 1
+            if drawn[step - 1]:
+                continue
         ids[i], end[i], nxt[i], live[j] = to, right, nxt[j], False
         if nxt[i] >= 0:
             prev[nxt[i]] = i
@@ -175,56 +202,51 @@ def agenda(model: Pieces, symbols: list[int], seed: int, variant: int, chunk: in
     return [x if x >= 0 else -1 - x for x, alive in zip(ids, live, strict=True) if alive]
 
 
-def merge_rows(model: Pieces, ids: np.ndarray, n: np.ndarray, seed: int, variant: np.ndarray, chunk: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
-    """The agenda on many chunks of like width: ids is (chunks, width), n their lengths. Returns both after merging.
+def merge_rows(model: Pieces, ids: np.ndarray, n: np.ndarray, occurrence: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The agenda on many parts of like width: ids is (parts, width), n their lengths. Returns both after merging, and the steps.
 
     rank[r, j] is the rank of the candidate of the symbols j and j + 1. A step takes each row's first best candidate.
     """
     rows, width = ids.shape
-    ends = np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), ids.shape).copy()
     rank = np.full(ids.shape, NONE, np.int32)
     cols = np.arange(width)
 
     def offer(r: np.ndarray, j: np.ndarray) -> None:
         ok = (j >= 0) & (j + 1 < n[r])
         r, j = r[ok], j[ok]
-        a, b = ids[r, j], ids[r, j + 1]
-        ok = (a >= 0) & (b >= 0)
-        rank[r[~ok], j[~ok]] = NONE
-        r, j = r[ok], j[ok]
         m = model.merges(ids[r, j], ids[r, j + 1])
-        value = np.where(m >= 0, model.merge_rank[m], NONE)
-        if p:
-            hit = np.flatnonzero(m >= 0)
-            left = np.where(j[hit] > 0, ends[r[hit], np.maximum(j[hit] - 1, 0)], 0)
-            skip = dropped(seed, variant[r[hit]], chunk[r[hit]], left, ends[r[hit], j[hit]], ends[r[hit], j[hit] + 1], p)
-            value[hit[skip]] = NONE
-        rank[r, j] = value
-
-    all_r, all_j = np.nonzero(cols[None, :] + 1 < n[:, None])
-    offer(all_r, all_j)
-    active = np.arange(rows)
+        rank[r, j] = np.where(m >= 0, model.merge_rank[m], NONE)
+
+    offer(*np.nonzero(cols[None, :] + 1 < n[:, None]))
     out_ids, out_n, place = ids, n, np.arange(rows)
+    steps = np.zeros(rows, np.int64)
+    step = 0
     while True:
         j = rank.argmin(1)
-        best = rank[np.arange(len(rank)), j]
-        go = best < NONE
+        go = rank[np.arange(len(rank)), j] < NONE
+        steps[place[go]] = step + 1
         if not go.any():
             out_ids[place] = ids
             out_n[place] = n
-            return out_ids, out_n
+            return out_ids, out_n, steps
         if go.mean() < 0.6 and len(go) > 64:  # finished rows leave
             done = ~go
             out_ids[place[done]], out_n[place[done]] = ids[done], n[done]
-            ids, n, ends, rank, variant, chunk, place, j = ids[go], n[go], ends[go], rank[go], variant[go], chunk[go], place[go], j[go]
+            ids, n, rank, occurrence, place, j = ids[go], n[go], rank[go], occurrence[go], place[go], j[go]
             go = np.ones(len(ids), bool)
+        if p:
+            skip = go & skips(occurrence, step, p)
+            rank[np.flatnonzero(skip), j[skip]] = NONE
+            go &= ~skip
+        step += 1
         r = np.flatnonzero(go)
+        if not len(r):
+            continue
         jr = j[r]
         m = model.merges(ids[r, jr], ids[r, jr + 1])
         ids[r, jr] = model.merge_to[m]
-        ends[r, jr] = ends[r, jr + 1]
         shift = (cols[None, :] > j[:, None]) & go[:, None]
-        for x, last in ((ids, 0), (ends, 0), (rank, NONE)):
+        for x, last in ((ids, 0), (rank, NONE)):
             moved = np.empty_like(x)
             moved[:, :-1], moved[:, -1] = x[:, 1:], last
             np.copyto(x, moved, where=shift)
@@ -235,31 +257,58 @@ def merge_rows(model: Pieces, ids: np.ndarray, n: np.ndarray, seed: int, variant
         offer(r, jr)
 
 
+def lowest_bit(x: np.ndarray) -> np.ndarray:
+    """The number of the lowest bit set, STEPS for none."""
+    low = x & (~x + np.uint64(1))
+    return np.where(x == 0, STEPS, np.frexp(low.astype(np.float64))[1] - 1)
+
+
 class Encoder:
-    """Ids of texts as little-endian i32 bytes, with a memo of (variant, chunk)."""
-
-    def __init__(self, path: str, p: float, seed: int, variants: int = VARIANTS, most: int = 600_000):
-        self.model, self.p, self.seed = Pieces(path), p, seed
-        self.variants = variants if p else 1
-        self.most = most // self.variants
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def fill(self, todo: list[tuple[int, str]]) -> list[bytes]:
-        """The ids of (variant, chunk) pairs."""
-        if not todo:
-            return []
-        chunks = [c for _, c in todo]
-        digest = np.asarray([xxhash.xxh3_64_intdigest(c) for c in chunks], np.uint64)
-        variant = np.asarray([v for v, _ in todo], np.int64)
-        size = np.asarray(list(map(len, chunks)))
-        flat = self.model.by_code[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+    """Ids of texts as little-endian i32 bytes, with a memo of parts by the steps that they skip."""
+
+    def __init__(self, path: str, p: float, seed: int, kept: int = KEPT):
+        self.model, self.p, self.seed, self.kept = Pieces(path), p, seed, kept
+        self._afresh()
+
+    def _afresh(self) -> None:
+        self.number: dict[str, int] = {}  # words, which are lists of parts
+        self.parts_at, self.parts_n = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.parts_of: array = array("q")
+        self.root: dict[str, int] = {}  # the nodes of parts
+        self.child: dict[int, int] = {}  # by node * STEPS + step
+        self.part: dict[int, str] = {}
+        self.nodes = self.used = self.held = 0
+        self.steps, self.at, self.size = np.full(1024, UNKNOWN, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.arena = np.zeros(4096, np.int32)
+
+    def _node(self) -> int:
+        self.nodes += 1
+        return self.nodes - 1
+
+    def _grow(self) -> None:
+        """Room for all nodes and words."""
+        if (more := self.nodes - len(self.steps)) > 0:
+            more = max(more, len(self.steps))
+            self.steps = np.concatenate([self.steps, np.full(more, UNKNOWN, np.uint8)])
+            self.at, self.size = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.at, self.size))
+        if (more := len(self.number) - len(self.parts_n)) > 0:
+            more = max(more, len(self.parts_n))
+            self.parts_at, self.parts_n = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.parts_at, self.parts_n))
+
+    def merged(self, parts: list[str], occurrence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of each part in this occurrence: all ids, where each part's start, their number, and the steps taken (0 for
+        parts that aren't memoised)."""
+        size = np.asarray(list(map(len, parts)))
+        flat = self.model.by_code[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
         at = np.concatenate([[0], np.cumsum(size)])
-        many = np.zeros(len(chunks), bool)
+        many = np.zeros(len(parts), bool)
         many[np.searchsorted(at, np.flatnonzero(flat == 0), "right") - 1] = True
-        out: list[bytes] = [b""] * len(todo)
+        out_at, out_n, out_steps = (np.zeros(len(parts), np.int64) for _ in range(3))
+        out, end = [np.zeros(0, np.int32)], 0
         for r in np.flatnonzero(many | (size > WIDE)).tolist():
-            out[r] = array("i", agenda(self.model, self.model.symbols(chunks[r]), self.seed, int(variant[r]), int(digest[r]), self.p)).tobytes()
+            ids = np.asarray(agenda(self.model, self.model.symbols(parts[r]), int(occurrence[r]), self.p), np.int32)
+            out.append(ids)
+            out_at[r], out_n[r], end = end, len(ids), end + len(ids)
         size[many] = WIDE + 1
         for lo, hi in ((1, 5), (6, 8), (9, 11), (12, 15), (16, 24), (25, WIDE)):
             rows = np.flatnonzero((size >= lo) & (size <= hi))
@@ -268,11 +317,11 @@ class Encoder:
                 n = size[rs].copy()
                 inside = np.arange(hi)[None, :] < n[:, None]
                 ids = np.where(inside, flat[np.minimum(at[rs][:, None] + np.arange(hi)[None, :], len(flat) - 1)], 0)
-                ids, n = merge_rows(self.model, ids, n, self.seed, variant[rs], digest[rs], self.p)
-                data, width = np.where(ids < 0, -1 - ids, ids).astype("<i4").tobytes(), 4 * hi
-                for j, (r, m) in enumerate(zip(rs.tolist(), n.tolist(), strict=True)):
-                    out[r] = data[j * width : j * width + 4 * m]
-        return out
+                ids, n, out_steps[rs] = merge_rows(self.model, ids, n, occurrence[rs], self.p)
+                ids = ids[np.arange(hi)[None, :] < n[:, None]]
+                out.append(np.where(ids < 0, -1 - ids, ids))
+                out_n[rs], out_at[rs], end = n, end + np.cumsum(n) - n, end + len(ids)
+        return np.concatenate(out), out_at, out_n, out_steps
 
     def parts(self, word: str) -> list[str]:
         """The word, cut where no piece has the characters side by side; a word of letters alone isn't cut."""
@@ -282,68 +331,165 @@ class Encoder:
         cuts += [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in beside]
         return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
 
-    def _learn(self, wanted: list[set[str]]) -> None:
-        todo: list[tuple[int, str]] = []
-        joined: list[tuple[int, str, list[str]]] = []
-        for v, words in enumerate(wanted):
-            if len(self.young[v]) > self.most:
-                self.old[v], self.young[v] = self.young[v], {}
-            young, old = self.young[v], self.old[v]
-            single = set()
-            for w in words.difference(young):
-                if w in old:
-                    young[w] = old[w]
-                elif len(cut := self.parts(w)) > 1:
-                    joined.append((v, w, cut))
-                    single.update(cut)
-                else:
-                    single.add(w)
-            for w in single:
-                if w not in young:
-                    if w in old:
-                        young[w] = old[w]
-                    else:
-                        todo.append((v, w))
-        for (v, w), ids in zip(todo, self.fill(todo), strict=True):
-            self.young[v][w] = ids
-        for v, w, cut in joined:
-            self.young[v][w] = b"".join(map(self.young[v].__getitem__, cut))
+    def _numbered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The node of each part of the words, the number of parts of each word, and the parts that aren't memoised: -1 - k."""
+        own = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(own < 0)
+        long: list[str] = []
+        whole: dict[int, list[int]] = {}  # words of which a part isn't memoised
+        known, number, root, part, of = self.model.known, self.number, self.root, self.part, self.parts_of
+        new: list[tuple[int, int, int]] = []
+        for i in missing.tolist():
+            w = words[i]
+            k = number.get(w)
+            if k is None:
+                numbers, kept = [], True
+                for x in (w,) if w[1:].isalpha() else self.parts(w):
+                    node = root.get(x)
+                    if node is None:
+                        if len(x) <= NARROW and known.issuperset(x):
+                            root[x] = node = self._node()
+                            part[node] = x
+                            self.held += 280 + len(x)
+                        else:
+                            long.append(x)
+                            node, kept = -len(long), False
+                    numbers.append(node)
+                if not kept:
+                    whole[i] = numbers
+                    continue
+                k = number[w] = len(number)
+                new.append((k, len(of), len(numbers)))
+                of.extend(numbers)
+            own[i] = k
+        self._grow()
+        if new:
+            k, at, n = np.asarray(new).T
+            self.parts_at[k], self.parts_n[k] = at, n
+            self.held += 160 * len(new)
+        count = np.where(own >= 0, self.parts_n[own], 0).astype(np.int64)
+        if whole:
+            rows = np.fromiter(whole, np.int64, len(whole))
+            count[rows] = list(map(len, whole.values()))
+        first = np.cumsum(count) - count
+        place = np.arange(count.sum())
+        all_parts = np.frombuffer(of, np.int64) if len(of) else np.zeros(1, np.int64)
+        take = np.repeat(np.where(own >= 0, self.parts_at[own], 0) - first, count) + place
+        out = all_parts[np.minimum(take, len(all_parts) - 1)]
+        if whole:
+            n = count[rows]
+            out[np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = [k for got in whole.values() for k in got]
+        del all_parts
+        return out, count, long
+
+    def _learn(self, rows: np.ndarray, root: np.ndarray, occurrence: np.ndarray, mask: np.ndarray) -> None:
+        node = root[rows].copy()
+        ids, at, n, steps = self.merged([self.part[k] for k in node.tolist()], occurrence[rows])
+        skipped = mask[rows] & ((np.uint64(1) << steps.astype(np.uint64)) - np.uint64(1))
+        child = self.child
+        for r in np.flatnonzero(skipped).tolist():
+            bits, k = int(skipped[r]), int(node[r])
+            while bits:
+                low = bits & -bits
+                key = k * STEPS + low.bit_length() - 1
+                k = child.get(key, -1)
+                if k < 0:
+                    k = child[key] = self._node()
+                    self.held += 190
+                bits ^= low
+            node[r] = k
+        self._grow()
+        if self.used + len(ids) > len(self.arena):
+            self.arena = np.concatenate([self.arena, np.zeros(max(len(ids), len(self.arena)), np.int32)])
+        self.arena[self.used : self.used + len(ids)] = ids
+        self.steps[node], self.at[node], self.size[node] = steps, at + self.used, n
+        self.used += len(ids)
+        self.held += 4 * len(ids)
+
+    def _walk(self, root: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        """The node of each occurrence of a memoised part."""
+        mask = masks(occurrence, self.p)
+        node, rest, active = root.copy(), mask.copy(), np.arange(len(root))
+        stuck: list[np.ndarray] = []
+        while len(active) or stuck:
+            if not len(active):
+                # Of each node that stops occurrences: where its steps are unknown, one that skips latest; else one for each step.
+                rows = np.concatenate(stuck)
+                b, unknown = lowest_bit(rest[rows]), self.steps[node[rows]] == UNKNOWN
+                order = np.lexsort((b, node[rows]))
+                nd, bit = node[rows][order], b[order]
+                last = np.append(nd[1:] != nd[:-1], True)
+                pick = np.where(unknown[order], last, last | np.append(bit[1:] != bit[:-1], True))
+                self._learn(rows[order][pick], root, occurrence, mask)
+                active, stuck = rows, []
+            nd, b = node[active], lowest_bit(rest[active])
+            on = self.steps[nd] > b  # UNKNOWN is above all steps
+            active, nd, b = active[on], nd[on], b[on]
+            key, back = np.unique(nd * STEPS + np.minimum(b, STEPS - 1), return_inverse=True)
+            child = np.fromiter(map(self.child.get, key.tolist(), repeat(-1)), np.int64, len(key))[back]
+            child[b == STEPS] = -1
+            ok = child >= 0
+            if not ok.all():
+                stuck.append(active[~ok])
+            active = active[ok]
+            node[active] = child[ok]
+            rest[active] &= rest[active] - np.uint64(1)
+        return node
 
     def __call__(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """A word is a run of spaces and what follows up to the next space. BLOCK words in a row share a variant."""
-        blocks: list[list[tuple[int, list[str]]]] = []
-        wanted: list[set[str]] = [set() for _ in range(self.variants)]
-        for t, key in zip(texts, keys, strict=True):
-            words = [] if not t else CHUNK.findall(" " + t) if "  " in t or t[0] == " " or t[-1] == " " else [" " + w for w in t.split(" ")]
-            if self.variants == 1:
-                own = [(0, words)]
-            else:
-                first = mix64(np.asarray([key & 0xFFFFFFFFFFFFFFFF], np.uint64) ^ np.uint64(self.seed))
-                v = (mix64(np.arange(-(-len(words) // BLOCK), dtype=np.uint64) + first) % np.uint64(self.variants)).tolist()
-                own = [(x, words[k * BLOCK : (k + 1) * BLOCK]) for k, x in enumerate(v)]
-            blocks.append(own)
-            for v, w in own:
-                wanted[v].update(w)
-        self._learn(wanted)
-        get = [y.__getitem__ for y in self.young]
-        return [b"".join([b"".join(map(get[v], w)) for v, w in own]) for own in blocks]
+        """A word is a run of spaces and what follows up to the next space."""
+        if self.held > self.kept:
+            self._afresh()
+        words: list[str] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                words += CHUNK.findall(" " + t) if "  " in t or t[0] == " " or t[-1] == " " else [" " + w for w in t.split(" ")]
+            ends.append(len(words))
+        if not words:
+            return [b""] * len(texts)
+        root, count, long = self._numbered(words)
+        bounds = np.concatenate([[0], np.cumsum(count)])[ends]
+        del words
+        first = mix64(np.asarray([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) ^ mix64(np.asarray([self.seed], np.uint64)))
+        own = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        occurrence = mix64(first[own] + (np.arange(len(root)) - bounds[own]).astype(np.uint64))
+        some = np.flatnonzero(root >= 0)
+        at, size = np.zeros(len(root), np.int64), np.zeros(len(root), np.int64)
+        node = self._walk(root[some], occurrence[some])
+        at[some], size[some] = self.at[node], self.size[node]
+        flat = self.arena[: self.used]
+        if long:
+            rows = np.flatnonzero(root < 0)
+            ids, start, size[rows], _ = self.merged([long[-1 - k] for k in root[rows].tolist()], occurrence[rows])
+            at[rows] = len(flat) + start
+            flat = np.concatenate([flat, ids])
+        after = np.cumsum(size)
+        data = flat[np.repeat(at - (after - size), size) + np.arange(after[-1])].astype("<i4")
+        cuts = np.concatenate([[0], after])[bounds].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: bytes) -> str:
         """The text of these ids."""
         return b"".join(map(self.model.text.__getitem__, array("i", ids))).decode()[1:]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _encoder(path: str, p: float, seed: int) -> Encoder:
     return Encoder(path, p, seed)
 
 
-def _batches(texts: list[str | None], keys: list[int | None], encoder: Encoder) -> Iterator[tuple[int, str | None, bytes | None]]:
-    """Texts with their ids, some 2^22 characters at a time."""
+@lru_cache(maxsize=1)
+def _decoder(path: str) -> Encoder:
+    return Encoder(path, 0.0, 0)
+
+
+def _batches(texts: list[str | None], keys: list[int | None], encoder: Encoder) -> Iterator[tuple[str | None, bytes | None]]:
+    """Texts with their ids, some 2^20 characters at a time."""
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size < 1 << 22):
+        while to < len(texts) and (to == at or size < 1 << 20):
             size += len(texts[to] or "")
             to += 1
         for t, ids in zip(texts[at:to], encoder([t or "" for t in texts[at:to]], [k or 0 for k in keys[at:to]]), strict=True):
@@ -369,7 +515,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf(StringType())
     def decoded(x: pa.Array) -> pa.Array:
-        e = _encoder(path, 0.0, 0)
+        e = _decoder(path)
         return pa.array([None if i is None else e.decode(array("i", i).tobytes()) for i in x.to_pylist()], pa.string())
 
     return decoded(ids)

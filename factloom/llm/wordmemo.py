@@ -15,23 +15,27 @@ if sys.byteorder != "little" or array("I").itemsize != 4:  # pragma: no cover
 
 
 class Memo(dict):
-    """Ids of words as bytes, in two generations of at most `most` words each; a word in use moves to the younger one."""
+    """Ids of words as bytes, in two generations of some `most` bytes each; a word in use moves to the younger one."""
+
+    #: What Python takes for a word beside its characters and ids: the two objects' heads and the place in the table.
+    EACH = 230
 
     def __init__(self, fill: Callable[[str], bytes], most: int):
         super().__init__()
-        self.fill, self.most, self.old = fill, most, {}
+        self.fill, self.most, self.old, self.held = fill, most, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.fill(word)
         self[word] = ids
+        self.held += self.EACH + len(word) + len(ids)
         return ids
 
     def turn(self) -> None:
         """To be called now and then: drops the older generation when the younger one is full."""
-        if len(self) > self.most:
-            self.old = dict(self)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
 
 
@@ -52,7 +56,7 @@ class ByteBpe:
     library. Texts for which that doesn't hold (TOGETHER, or a special token's string) are encoded whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 40 << 20):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -68,7 +72,7 @@ class ByteBpe:
             shown = plain.pre_tokenize_str(chr(i))[0][0]  # two bytes in UTF-8
             for byte, char in zip(chr(i).encode(), shown, strict=True):
                 self.stands[byte] = char
-        self.inner = Memo(self._piece, 100_000)
+        self.inner = Memo(self._piece, min(most, 8 << 20))
         self.memo = Memo(self._word, most)
 
     def whole(self, text: str) -> bytes:

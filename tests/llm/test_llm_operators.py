@@ -108,7 +108,7 @@ def test_word_by_word_equals_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib, r = Tokenizer.from_file(path), random.Random(3)
     texts = ODD + ["".join(r.choice([" ", "  ", "\n", "ab", "Ü9", "'s", "\t", "é", ".", "ç"]) for _ in range(r.randint(0, 14))) for _ in range(3000)]
-    got = ByteBpe(path, most=50)(texts)
+    got = ByteBpe(path, most=12_000)(texts)
     assert got == [np.asarray(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -172,28 +172,46 @@ def test_pieces_equal_the_library_without_dropout():
 
 
 def test_dropout_is_lossless_varied_and_repeatable():
-    e, again, other = pieces.Encoder(PIECE, 0.3, 2), pieces.Encoder(PIECE, 0.3, 2, most=10), pieces.Encoder(PIECE, 0.3, 3)
-    text = " ".join(["tokenization ▁ of words"] * 200)
+    e, again, other = pieces.Encoder(PIECE, 0.3, 2), pieces.Encoder(PIECE, 0.3, 2, kept=10), pieces.Encoder(PIECE, 0.3, 3)
+    text = " ".join(["tokenization ▁ of words, étudiées internationalization_of_everything \u4e00\u9fff"] * 200)
     a, b = e([text, text], [1, 2])
     assert a != b and e.decode(a) == e.decode(b) == text
-    assert again([text], [1]) == [a] and other([text], [1]) != [a]
+    assert again(["warm words"], [5]) and again([text], [1]) == [a] and other([text], [1]) != [a]
     plain = pieces.Encoder(PIECE, 0.0, 2)([text], [1])[0]
     assert len(a) > len(plain)
     every = pieces.Encoder(PIECE, 1.0, 2)(["abc"], [1])[0]
     assert len(every) // 4 == 4
 
 
-def test_matrix_equals_heap():
-    import xxhash
+def test_each_occurrence_draws_anew():
+    """A word of one merge is split in p of its occurrences, and a longer one takes as many forms as its merges allow."""
+    e = pieces.Encoder(PIECE, 0.1, 2)
+    one = next(p for p in (x.replace(pieces.SPACE, " ") for x in e.model.ids) if len(p) == 2 and p[0] == " " and p[1].isalpha())
+    n = 20_000
+    ids = np.frombuffer(e([one[1:] + one * (n - 1)], [1])[0], "<i4")
+    whole = int((ids == e.model.ids[pieces.SPACE + one[1:]]).sum())
+    assert abs(whole / n - 0.9) < 0.01 and len(ids) == 2 * n - whole
+    forms = {e([w], [k])[0] for k in range(3000) for w in ["international"]}
+    assert len(forms) > 30
 
-    e = pieces.Encoder(PIECE, 0.2, 7)
-    r = random.Random(4)
-    todo = [(r.randint(0, 3), " " + "".join(r.choice("aeinrstlthé.") for _ in range(r.randint(1, 60)))) for _ in range(800)]
-    todo = list(dict.fromkeys(todo))
-    from array import array
 
-    want = [array("i", pieces.agenda(e.model, e.model.symbols(c), 7, v, xxhash.xxh3_64_intdigest(c), 0.2)).tobytes() for v, c in todo]
-    assert e.fill(todo) == want
+def test_memo_equals_heap():
+    """The trie of skipped steps, the matrix and the heap agree, occurrence by occurrence."""
+    r = random.Random(4)
+    e = pieces.Encoder(PIECE, 0.2, 7)
+    parts = [" " + "".join(r.choice("aeinrstlthé.") for _ in range(r.randint(1, 60))) for _ in range(800)] + [" the", " token"] * 400
+    occurrence = np.arange(len(parts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    want = [pieces.agenda(e.model, e.model.symbols(x), o, 0.2) for x, o in zip(parts, occurrence.tolist(), strict=True)]
+    ids, at, n, steps = e.merged(parts, occurrence)
+    assert [ids[a : a + m].tolist() for a, m in zip(at, n, strict=True)] == want
+    assert all(len(x) > pieces.WIDE or t <= 3 * (len(x) - 1) for x, t in zip(parts, steps, strict=True))
+    short = [k for k, x in enumerate(parts) if len(x) <= pieces.NARROW]
+    root, count, long = e._numbered([parts[k] for k in short])
+    own = np.repeat(np.arange(len(short)), count)
+    assert not long
+    node = e._walk(root[count[own] == 1], occurrence[short][own][count[own] == 1])
+    got = [e.arena[e.at[k] : e.at[k] + e.size[k]].tolist() for k in node]
+    assert got == [want[short[i]] for i in own[count[own] == 1]]
 
 
 def test_pieces_awkward(docs, none):
