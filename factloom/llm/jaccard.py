@@ -1,19 +1,27 @@
 """N-gram Jaccard join (operator 4): MinHash LSH forest over 5-word shingles, then exact verification.
 
 1. Texts with the same words are copies; one stands for all, and counts for as many links.
-2. Each distinct text gets TREES signatures of DEPTH minima. The matched prefix is shortened from DEPTH until the chance that
-   a pair at the limit of similarity shares one of TREES prefixes, 1 - (1 - s^k)^TREES, reaches the target recall.
-3. For each tree the prefixes are range-partitioned and sorted: equal prefixes, the nodes of the trie at that level, are
-   runs. Each run makes a star about its least text. A run that ends with its partition is tied to its other parts by one
-   row a partition. Long runs spread over partitions, for the range also covers the text.
-4. The components of these stars are the units of verification. A component with many texts or shingles is dealt into
-   blocks, and each pair of blocks is one task's work: bounded memory, all pairs, none emitted. Intersections are counted
-   exactly by shingle, and only a text's number of links and one link to hold it come out.
+2. Each distinct text gets a signature of DEPTH minima in each of TREES trees, of 16 bits each, and four bits of every minimum
+   as a sketch.
+3. Each tree's signatures are range-partitioned and sorted, which is its trie in order: texts that share a prefix are side by
+   side. The least prefix is `prefix_length`: at that length the chance that a pair at the limit of similarity shares one of
+   TREES prefixes, 1 - (1 - s^k)^TREES, reaches the target recall. Within a run of texts that share it, prefixes are
+   shortened from DEPTH as far as a text needs: it is tied to the first text of the shortest prefix to which its sketch is
+   near; those that are near no first text are compared with all others of the run. Two sketches are near unless they differ
+   more than those of a pair at the limit do in one of a million cases (`least_agreeing`).
+4. The components of these ties are the units of verification; boilerplate that merely shares prefixes doesn't tie. A large
+   component is dealt into blocks; a text goes to those blocks that hold a text with a prefix of its own, so a chain of
+   texts costs work in proportion to its length. Intersections are counted exactly by shingle within a pair of blocks: bounded
+   memory, none emitted; only a text's number of links and one link to hold it come out.
 5. The components of the verified links are the classes.
 
+A run of more than MOST_RUN texts, or one that may go on in another partition, is tied to its first text without a look at
+sketches, and ends of partitions are tied by one row each: that may add candidates, never lose one.
+
 Two texts are linked if the Jaccard similarity of their sets of shingles is at least 0.8. A text of 1 to 4 words is one
 shingle. Defined results: null and empty texts and those without words have no links and are their own class; null doc_ids
-belong to classes, whose id is the least doc_id that isn't null; repeated rows are copies; empty tables give empty results.
+belong to classes, whose id is the least doc_id that isn't null; repeated rows and ties are copies; columns beside doc_id and
+text aren't looked at, so their names can't clash; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +39,10 @@ from .shingles import fingerprints, pieces, shingle_hashes, word_hashes
 
 SIMILARITY, RECALL, TREES, DEPTH = 0.8, 0.99, 10, 8
 #: A block of a component holds some so many texts and shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1_500_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 750_000
+MOST_RUN = 1 << 16
+#: Copies of a prefix's list of blocks, so that no task meets all texts of a hot prefix.
+SALT = 16
 
 
 def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -42,23 +53,32 @@ def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL) -> int
     return 1
 
 
-def tree_keys(shingles: np.ndarray, bounds: np.ndarray, k: int, seed: int = 4) -> np.ndarray:
-    """(texts with a shingle, TREES): a hash of each tree's prefix of k minima."""
+def least_agreeing(similarity: float = SIMILARITY) -> int:
+    """The agreeing fields of two sketches that a pair at the limit of similarity falls below once in a million times."""
+    n, p = TREES * DEPTH, similarity + (1 - similarity) / 16
+    below, term = 0.0, (1 - p) ** n
+    for k in range(n + 1):
+        below += term
+        if below > 1e-6:
+            return k
+        term *= (n - k) / (k + 1) * p / (1 - p) if p < 1 else 0.0
+    return n
+
+
+def signatures(shingles: np.ndarray, bounds: np.ndarray, seed: int = 4) -> np.ndarray:
+    """(texts with a shingle, TREES, DEPTH): each minimum, mixed to 64 bits."""
     mult, add = multipliers(seed, TREES * DEPTH)
-    out = np.zeros((len(bounds), TREES), np.uint64)
+    out = np.zeros((len(bounds), TREES * DEPTH), np.uint64)
     work = np.empty_like(shingles)
-    for t in range(TREES):
-        key = np.full(len(bounds), t + 1, np.uint64)
-        for j in range(k):
-            np.multiply(shingles, mult[t * DEPTH + j], out=work)
-            work += add[t * DEPTH + j]
-            work >>= np.uint64(20)  # the low bits of a product are the weak ones
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(work, bounds))
-        out[:, t] = key
-    return out
+    for j in range(TREES * DEPTH):
+        np.multiply(shingles, mult[j], out=work)
+        work += add[j]
+        work >>= np.uint64(20)  # the low bits of a product are the weak ones
+        out[:, j] = np.minimum.reduceat(work, bounds)
+    return mix64(out).reshape(-1, TREES, DEPTH)
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(2).to_pylist()
         for at, to in pieces(texts):
@@ -66,43 +86,153 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             s, sb = shingle_hashes(words, bounds)
             prints = fingerprints(words, bounds)
             some = np.flatnonzero(np.diff(sb))
-            keys = np.zeros((to - at, TREES), np.int64)
-            if len(some):
-                keys[some] = tree_keys(s, sb[:-1][some], k).view(np.int64)
             has = np.zeros(to - at, bool)
             has[some] = True
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(to - at + 1, dtype=np.int32) * TREES), pa.array(keys.ravel()))
+            sig, sketch = np.zeros((to - at, 2 * TREES * DEPTH), np.uint8), np.zeros((to - at, TREES * DEPTH // 2), np.uint8)
+            if len(some):
+                m = signatures(s, sb[:-1][some]).reshape(len(some), -1)
+                sig[some] = (m >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(len(some), -1)
+                low = (m & np.uint64(15)).astype(np.uint8)
+                sketch[some] = low[:, ::2] << 4 | low[:, 1::2]
+            binary = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array(np.diff(sb).astype(np.int64)), lists, pa.array(has)],
-                names=["doc", "th", "fp", "n", "keys", "has"],
+                [b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), binary(prints), pa.array(np.diff(sb).astype(np.int64)), binary(sig), binary(sketch), pa.array(has)],
+                names=["doc", "th", "fp", "n", "sig", "sketch", "has"],
             )
 
 
-SIGNED = "doc long, th long, fp binary, n long, keys array<long>, has boolean"
+SIGNED = "doc long, th long, fp binary, n long, sig binary, sketch binary, has boolean"
+
+
+def agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The number of fields (four bits each) in which rows of packed sketches agree."""
+    x = one ^ two
+    return ((x & 15) == 0).sum(-1) + ((x >> 4) == 0).sum(-1)
+
 
+def tie_runs(sig: np.ndarray, sketch: np.ndarray, k: int, least: int) -> np.ndarray:
+    """For rows sorted by sig (2 bytes a minimum), the row that each is tied to: itself or an earlier one.
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows k, fp sorted by both: (0, k, fp, first fp of its run) but for the first of a run; (1, k, first fp) of runs at the ends."""
+    From the shortest prefix, whose first row most are near, to the longest; what is left is compared with the whole run.
+    """
+    n = len(sig)
+    place = np.arange(n)
+    tied, left = place.copy(), np.ones(n, bool)
+    same = (sig[1:] == sig[:-1]).reshape(n - 1, -1, 2).all(2) if n > 1 else np.zeros((0, sig.shape[1] // 2), bool)
+    run = None
+    for depth in range(k, same.shape[1] + 1):
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same[:, :depth].all(1)]), place, 0))
+        run = head if run is None else run
+        rows = np.flatnonzero(left & (head < place))
+        if not len(rows):
+            continue
+        near = np.concatenate([np.zeros(0, bool), *(agreeing(sketch[r], sketch[head[r]]) >= least for r in np.array_split(rows, len(rows) // 65536 + 1))])
+        tied[rows[near]] = head[rows[near]]
+        left[rows[near]] = False
+    while True:  # heads may be tied themselves
+        far = tied[tied]
+        if (far == tied).all():
+            break
+        tied = far
+    roots = np.flatnonzero((tied == place) & (run < place))  # texts of a run that its first text isn't near to
+    ends = np.append(np.flatnonzero(np.diff(run)) + 1, n) if n else place
+    for start in np.unique(run[roots]).tolist():
+        end = int(ends[np.searchsorted(ends, start, "right")])
+        label = tied[start:end]
+        size = np.bincount(label - start, minlength=end - start)
+        size[int(size.argmax())] = 0  # the texts of all components but the largest meet all others
+        few = np.flatnonzero(size[label - start] > 0)
+        if len(few) * (end - start) > 1 << 24:
+            tied[start:end] = start
+            continue
+        for r in few.tolist():
+            near = np.flatnonzero(agreeing(sketch[start:end], sketch[start + r][None, :]) >= least)
+            joined = np.unique(label[near])
+            label[np.isin(label, joined)] = joined[0]
+    return tied
+
+
+def _ties(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows s (tree, then signature), fp, sketch sorted by s and fp: (0, null, fp, fp that it is tied to); (1, s, first fp) of the
+    runs of equal prefixes at the partition's ends."""
     names = ["kind", "k", "a", "b"]
-    last, head, first_run, pending = None, None, True, None
-    empty = pa.array([], pa.binary())
-    for batch in batches:
-        if not batch.num_rows:
+    cut = 1 + 2 * k
+    held: list[pa.RecordBatch] = []
+    size, opening, hot = 0, True, None  # hot: the prefix and the first fp of a run too long to be held
+
+    def ends(prefix: bytes, fp: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([prefix], pa.binary()), pa.array([fp], pa.binary()), pa.array([None], pa.binary())], names=names)
+
+    def star(fps: pa.Array, first: bytes) -> pa.RecordBatch:
+        n = len(fps)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), fps, pa.array([first] * n, pa.binary())], names=names)
+
+    def tied(b: pa.RecordBatch) -> pa.RecordBatch:
+        whole = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        sketch = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        # The tree's number takes a byte in front of the minima.
+        wide = np.concatenate([np.zeros((len(whole), 1), np.uint8), whole], axis=1)
+        to = tie_runs(wide, sketch, k + 1, least)
+        rows = np.flatnonzero(to != np.arange(len(to)))
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), b.column(1).take(pa.array(rows)), b.column(1).take(pa.array(to[rows]))], names=names)
+
+    def together() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        k = batch.column(0).to_numpy()
-        fp = pa.concat_arrays([pa.array([head], pa.binary()), batch.column(1).cast(pa.binary())])  # 0 is the run that goes on
-        new = np.concatenate([[last is None or k[0] != last], k[1:] != k[:-1]])
-        heads = np.maximum.accumulate(np.where(new, np.arange(1, len(k) + 1), 0))
-        rest = np.flatnonzero(~new)
-        if first_run and last is None:
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k[0]]), fp.slice(1, 1), pa.array([None], pa.binary())], names=names)
-        if len(rest):
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rest), np.int32)), pa.array(k[rest]), fp.take(pa.array(rest + 1)), fp.take(pa.array(heads[rest]))], names=names)
-        last, head = k[-1], fp[int(heads[-1])].as_py()
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([last]), pa.array([head], pa.binary()), pa.array([None], pa.binary())], names=names)
-    else:
-        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), empty, empty], names=names)
+        held.append(pa.RecordBatch.from_arrays([c.cast(pa.binary()) for c in b.columns], names=["s", "fp", "sketch"]))
+        size += b.num_rows
+        b = together()
+        s = b.column(0)
+        prefix = s[len(s) - 1].as_py()[:cut]
+        at = b.num_rows  # where the last run begins
+        lo, hi = 0, at
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if s[mid].as_py()[:cut] >= prefix else (mid + 1, hi)
+        at = lo
+        done = b.slice(0, at)
+        if done.num_rows and (opening or hot):
+            # The first run may have begun in another partition: a plain star.
+            first = s[0].as_py()[:cut]
+            lo, hi = 0, at
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if s[mid].as_py()[:cut] <= first else (lo, mid)
+            if opening:
+                head = b.column(1)[0].as_py()
+                yield ends(first, head)
+                yield star(b.column(1).slice(1, lo - 1), head)
+                opening, done = False, done.slice(lo)
+            elif hot and hot[0] == first:
+                yield star(b.column(1).slice(0, lo), hot[1])
+                done = done.slice(lo)
+            hot = None
+        if done.num_rows:
+            yield tied(done)
+        rest = b.slice(at)
+        if rest.num_rows > MOST_RUN or (hot and hot[0] == prefix):
+            if not hot:
+                hot = (prefix, rest.column(1)[0].as_py())
+                if opening:
+                    yield ends(*hot)
+                    opening = False
+            yield star(rest.column(1), hot[1])
+            rest = rest.slice(rest.num_rows)
+        held, size = ([rest] if rest.num_rows else []), rest.num_rows
+    if held or hot:
+        if held:
+            b = together()
+            prefix, head = b.column(0)[0].as_py()[:cut], b.column(1)[0].as_py()
+            if hot and hot[0] == prefix:
+                head = hot[1]
+            yield star(b.column(1), head)
+        else:
+            prefix, head = hot
+        yield ends(prefix, head)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +261,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     itself, a slice at a time.
     """
     m = len(sets)
-    out = np.zeros((m, m), np.int64)
+    out = np.zeros((m, m), np.int32)
     if m == 2:
         out[0, 1] = out[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return out
@@ -145,24 +275,32 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     wide = df[column] > 24
     few = ~wide & (df[column] > 1)
     c, o = column[few], owner[few]
+    flat_out = out.ravel()
     for d in range(1, 24):
         if d >= len(c):
             break
         same = c[d:] == c[:-d]
         if not same.any():
             break
-        out += np.bincount(o[:-d][same] * m + o[d:][same], minlength=m * m).reshape(m, m)
-    out += out.T
+        both, count = np.unique(o[:-d][same].astype(np.int64) * m + o[d:][same], return_counts=True)
+        flat_out[both] += count.astype(np.int32)
+    for lo in range(0, m, 256):  # by tiles: both halves, without a copy of the whole
+        for to in range(lo, m, 256):
+            upper, lower = out[lo : lo + 256, to : to + 256], out[to : to + 256, lo : lo + 256]
+            if lo == to:
+                upper += upper.T.copy()
+            else:
+                lower += upper.T
+                upper[:] = lower.T
     c, o = column[wide], owner[wide]
     if len(c):
         c = np.unique(c, return_inverse=True)[1]
-        total = np.zeros((m, m), np.float32)
-        for lo in range(0, int(c[-1]) + 1, 2048):
-            part = slice(*np.searchsorted(c, [lo, lo + 2048]))
-            x = np.zeros((m, min(2048, int(c[-1]) + 1 - lo)), np.float32)
+        for lo in range(0, int(c[-1]) + 1, 1024):
+            part = slice(*np.searchsorted(c, [lo, lo + 1024]))
+            x = np.zeros((m, min(1024, int(c[-1]) + 1 - lo)), np.float32)
             x[o[part], c[part] - lo] = 1
-            total += x @ x.T
-        out += total.astype(np.int64)
+            for t in range(0, m, 256):
+                out[t : t + 256] += (x[t : t + 256] @ x.T).astype(np.int32)
     return out
 
 
@@ -170,16 +308,22 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The symmetric matrix of pairs whose Jaccard similarity reaches the limit; a set isn't its own partner."""
     both = intersections(sets)
     n = np.asarray([len(s) for s in sets])
-    out = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9
+    out = np.zeros(both.shape, bool)
+    for t in range(0, len(sets), 256):
+        part = both[t : t + 256]
+        out[t : t + 256] = part >= similarity * (n[t : t + 256, None] + n[None, :] - part) - 1e-9
     np.fill_diagonal(out, False)
     return out
 
 
 def _hubs(link: np.ndarray) -> np.ndarray:
     """The first member of each text's component."""
-    label = np.arange(len(link))
+    m = len(link)
+    label = np.arange(m)
     while True:
-        new = np.minimum(label, np.where(link, label[None, :], len(link)).min(1))
+        new = label.copy()
+        for t in range(0, m, 256):
+            new[t : t + 256] = np.minimum(new[t : t + 256], np.where(link[t : t + 256], label[None, :], m).min(1))
         new = new[new]
         if (new == label).all():
             return label
@@ -234,28 +378,38 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     class_id is the least doc_id of the class; n_links counts the other rows linked to this one; first marks the class's
     first text, by doc_id and th.
     """
-    k = prefix_length(similarity, recall)
+    k, least = prefix_length(similarity, recall), least_agreeing(similarity)
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
-    signed = written(base.mapInArrow(lambda it: _signed(it, k), SIGNED), "signed")
+    signed = written(base.mapInArrow(_signed, SIGNED), "signed")
     texts = written(
         signed.filter("has").groupBy("fp")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")),
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th")).alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("sketch").alias("sketch")),
         "texts",
     )
-    # The forest: a run of equal prefixes is a node of a trie.
-    prefixes = texts.select(F.explode("keys").alias("k"), "fp")
-    runs = written(prefixes.repartitionByRange(partitions(docs), "k", "fp").sortWithinPartitions("k", "fp").mapInArrow(_stars, "kind int, k long, a binary, b binary"), "runs")
+    # The forest: a tree's number and its minima, as one sortable key.
+    trees = [F.concat(F.lit(bytes([t])), F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH)) for t in range(TREES)]
+    sorted_ = texts.select(F.explode(F.array(*trees)).alias("s"), "fp", "sketch").repartitionByRange(partitions(docs), "s", "fp").sortWithinPartitions("s", "fp")
+    runs = written(sorted_.mapInArrow(lambda it: _ties(it, k, least), "kind int, k binary, a binary, b binary"), "runs")
     ends = runs.filter("kind = 1").select("k", F.col("a").alias("end"))
     ties = ends.join(ends.groupBy("k").agg(F.min("end").alias("first")), "k").filter("end <> first").select(F.col("end").alias("a"), F.col("first").alias("b"))
     candidates = components(runs.filter("kind = 0").select("a", "b").unionByName(ties))
     # Blocks of components, by their texts and shingles.
-    members = texts.select("fp", "copies", "n", "rep").join(candidates.select(F.col("node").alias("fp"), F.col("label").alias("comp")), "fp")
+    members = texts.select("fp", "copies", "n", "rep", "sig").join(candidates.select(F.col("node").alias("fp"), F.col("label").alias("comp")), "fp")
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "comp").select(F.col("rep.doc").alias("doc2"), F.col("rep.th").alias("th2"), "fp", "comp", "copies", "blocks")
+    dealt = members.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # A text of a large component goes to the blocks that hold a text with one of its prefixes.
+    prefixes = F.array(*(F.concat(F.lit(bytes([t])), F.substring("sig", 1 + 2 * DEPTH * t, 2 * k)) for t in range(TREES)))
+    keyed = written(dealt.filter("blocks > 1").select("comp", "fp", "own", F.explode(prefixes).alias("key")), "keyed")
+    held = keyed.select("comp", "key", F.col("own").alias("j")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    goes = keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(held, ["comp", "key", "salt"]).filter("own <> j")
+    goes = goes.groupBy(F.col("fp").alias("fp3")).agg(F.collect_set("j").alias("others"))
+    wanted = dealt.join(goes, F.col("fp") == F.col("fp3"), "left").select(
+        F.col("rep.doc").alias("doc2"), F.col("rep.th").alias("th2"), "fp", "comp", "copies", F.struct("own", F.coalesce("others", F.array().cast("array<int>")).alias("others")).alias("blocks")
+    )
     same = base["doc"].eqNullSafe(F.col("doc2")) & (base["th"] == F.col("th2"))
-    sets = base.join(wanted, same).select("text", "fp", "comp", "copies", "blocks").mapInArrow(_sets, "fp binary, comp binary, copies long, blocks int, s array<long>")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = sets.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "fp", "copies", "s")
+    sets = base.join(wanted, same).select("text", "fp", "comp", "copies", "blocks").mapInArrow(_sets, "fp binary, comp binary, copies long, blocks struct<own:int,others:array<int>>, s array<long>")
+    pairs = sets.select("fp", "comp", "copies", "s", F.col("blocks.own").alias("own"), F.explode(F.concat(F.array("blocks.own"), F.col("blocks.others"))).alias("j"))
+    pairs = pairs.select("comp", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "fp", "copies", "s")
     by = ["comp", "lo", "hi"]
     found = written(pairs.repartition(partitions(docs), *by).sortWithinPartitions(*by, "fp").mapInArrow(lambda it: _verified(it, similarity), "fp binary, links long, hub binary"), "links")
     classes = components(found.select(F.col("fp").alias("a"), F.col("hub").alias("b")))
