@@ -4,27 +4,37 @@ The CGK embedding is a random walk over a sequence: at step j it writes the symb
 bit of (j, symbol). Sequences at a small edit distance get walks that soon meet again, so the embeddings are at a small
 Hamming distance, for which sampling of positions is a locality-sensitive hash. Here symbols are words. Items fall in size
 classes; every item-sized window of a document is hashed in TABLES tables, each with its own walk and SAMPLED positions of it,
-and windows that share a key with an item are verified by the exact edit distance of words. A walk makes no more steps than
-the class's shortest item has words, so a window of any size in the class has the same key.
+and windows that share a key with an item are verified by the exact edit distance of words.
 
-TABLES comes from the target recall: a table misses a window at the limit of similarity with 1 - AGREE^SAMPLED, AGREE being the
-share of equal positions that such walks have at least on average, so TABLES = ln(1 - RECALL) / ln(1 - AGREE^SAMPLED).
+A walk of as many steps as the class's shortest item has words crosses about half of a window, so one half of the tables walk
+from a window's first word on and the other half from its last word back: the embedding covers the whole window, needs no
+padding, and a window of any size in the class has the same key. Edits that crowd one half leave the other half's walks
+alone, so edits spread evenly are the hardest case.
+
+TABLES comes from the target recall: a table misses a window at the limit of similarity with 1 - HIT, HIT being the share of
+tables in which SAMPLED positions of the walks of a window at the limit, edits spread evenly, agree as measured (0.24), so
+TABLES = ln(1 - RECALL) / ln(1 - HIT), made even.
 
 Two lower bounds of the edit distance spare most windows the walk and lose none: each word that no item has costs an edit,
 and so does each rare word (in at most RARE of the items) by which the window has fewer than the item.
 
-Benchmark items are a stated set of queries: they go to all tasks in blocks of at most BLOCK items, whatever their number.
+Benchmark items are a stated set of queries: they go to all tasks in blocks of at most some BLOCK items. With several blocks,
+each makes its own pass over the documents and its hits are written before the next is read, so the driver and the tasks
+hold one block at a time.
 
 Words are lower-cased runs without ASCII blanks and punctuation. Defined results: items of fewer than LEAST words match
 nothing (null and empty ones among them); a text shorter than an item is compared as a whole; null and empty texts have no
 passages; of the windows near an item the one at the smallest distance, then the first, is reported, once for each
-document and item; repeated rows report each for itself; repeated item_ids are items each; empty tables give empty results.
+document and item; repeated rows report each for itself; repeated item_ids are items each; an input column with the name of
+the output is replaced, others stay; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -33,10 +43,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import mix64, multipliers, table, text_of
+from .common import P, mix64, multipliers, table, text_of, written
 
-SIMILARITY, RECALL, AGREE, SAMPLED, LEAST, BLOCK = 0.8, 0.97, 0.6, 3, 5, 20_000
-TABLES = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
+SIMILARITY, RECALL, HIT, SAMPLED, LEAST, BLOCK = 0.8, 0.985, 0.24, 3, 5, 20_000
+TABLES = 2 * math.ceil(math.log(1 - RECALL) / math.log(1 - HIT) / 2)
 #: Sizes in a class are within this factor.
 RATIO = 1.2
 #: Bytes of random bits that a worker keeps.
@@ -113,8 +123,8 @@ class Index:
 
     def _add(self, items: np.ndarray, sizes: np.ndarray, rare: int) -> None:
         c = Classes(int(sizes[0]), int(sizes[-1]), allowed(int(sizes[-1]), self.similarity), rare, items)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for key in self._walks(np.concatenate([self.seqs[k] for k in items]), first, c.least):
+        end = np.cumsum(sizes)
+        for _, key in self._walks(np.concatenate([self.seqs[k] for k in items]), end - sizes, end - 1, c.least):
             order = np.argsort(key, kind="stable")
             c.keys.append((key[order], items[order]))
         self.classes.append(c)
@@ -131,17 +141,22 @@ class Index:
             kept[t, j] = bits
         return bits
 
-    def _walks(self, seq: np.ndarray, first: np.ndarray, steps: int):
-        """For each table, the keys of the walks from these positions of seq."""
+    def _walks(self, seq: np.ndarray, first: np.ndarray, last: np.ndarray, steps: int):
+        """For each table, whether it walks back, and the keys of the walks from these first or last words of windows."""
         for t in range(self.tables):
+            back = t % 2 == 1
             taken = set(np.random.Generator(np.random.Philox([self.seed, t])).permutation(steps)[: self.sampled].tolist())
-            at, key = first.copy(), np.full(len(first), t + 1, np.uint64)
+            at = (last if back else first).copy()
+            key = np.full(len(at), t + 1, np.uint64)
             for j in range(max(taken) + 1):
                 symbol = seq.take(at)
                 if j in taken:
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(j) * np.uint64(1 << 40))
-                at += self._bits(t, j).take(symbol)
-            yield key
+                if back:
+                    at -= self._bits(t, j).take(symbol)
+                else:
+                    at += self._bits(t, j).take(symbol)
+            yield back, key
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_kept"}
@@ -174,20 +189,25 @@ class Index:
         foreign = np.concatenate([[0], np.cumsum(seq == 0, dtype=np.int32)])
         rare = np.concatenate([[0], np.cumsum(self.is_rare[seq], dtype=np.int32)])
         found: set[tuple[int, int]] = set()
+        sizes = np.asarray([len(x) for x in self.seqs])
         for c in self.classes:
+            # Windows by their first words, and by the words behind their last.
             near = foreign[c.least : pos + c.least] - foreign[:pos] <= c.most
+            back = foreign[c.least : pos + 1] - foreign[: pos + 1 - c.least] <= c.most
             if c.rare:
                 near &= rare[c.longest : pos + c.longest] - rare[:pos] >= c.rare
-            first = np.flatnonzero(near)
-            if not len(first):
+                back &= rare[c.least : pos + 1] - rare[np.maximum(np.arange(c.least, pos + 1) - c.longest, 0)] >= c.rare
+            first, last = np.flatnonzero(near), np.flatnonzero(back) + c.least - 1
+            if not len(first) and not len(last):
                 continue
-            for (keys, items), key in zip(c.keys, self._walks(seq, first, c.least), strict=True):
+            for (keys, items), (backward, key) in zip(c.keys, self._walks(seq, first, last, c.least), strict=True):
                 lo = np.searchsorted(keys, key, "left")
                 rows = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
                 lo = lo[rows]
                 n = np.searchsorted(keys, key[rows], "right") - lo
-                which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.update(zip(np.repeat(first[rows], n).tolist(), items[which].tolist(), strict=True))
+                which = items[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                start = np.repeat(last[rows], n) + 1 - sizes[which] if backward else np.repeat(first[rows], n)
+                found.update((s, i) for s, i in zip(start.tolist(), which.tolist(), strict=True) if s >= 0)
         if found:
             self._verify(seq, starts, np.asarray(sorted(found, key=lambda x: (x[1], x[0]))), base, out)
 
@@ -214,7 +234,6 @@ class Index:
             for doc, (d, s) in best.items():
                 out[base + doc].append((self.ids[item], s, n, d))
 
-
     @staticmethod
     def _near(seq: np.ndarray, at: np.ndarray, target: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The windows at these positions that are within so many edits, and their distances."""
@@ -251,18 +270,36 @@ def passages(text: Column, index: Index) -> Column:
     return found(text)
 
 
-def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> list[Index]:
+def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> Iterator[Index]:
     """An index for each block of at most some `block` items; one block is on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     n = max(1, -(-items.count() // block))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Index([(r["item_id"], r["text"]) for r in items.filter(part == k).collect()], similarity) for k in range(n)]
+    for k in range(n):
+        yield Index([(r["item_id"], r["text"]) for r in items.filter(part == k).collect()], similarity)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, out: str = "passages") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, out: str = "passages", block: int = BLOCK) -> DataFrame:
     """docs with the passages of each text that are near a benchmark item."""
-    found = [passages(text_of(), i) for i in indexes(benchmark, similarity)]
-    return docs.withColumn(out, found[0] if len(found) == 1 else F.flatten(F.array(*found)))
+    th, found, single = F.xxhash64(text_of()), [], None
+    for index in indexes(benchmark, similarity, block):
+        if single is None:
+            single = index
+            continue
+        if not found:
+            found.append(_hits(docs, th, single))
+        found.append(_hits(docs, th, index))
+    if not found:
+        return docs.withColumn(out, passages(text_of(), single))
+    hits = reduce(DataFrame.unionByName, found).groupBy(f"{P}t").agg(F.flatten(F.collect_list(f"{P}p")).alias(f"{P}p"))
+    joined = docs.withColumn(f"{P}h", th).join(hits, F.col(f"{P}h") == F.col(f"{P}t"), "left")
+    return joined.withColumn(out, F.coalesce(f"{P}p", F.array().cast(ArrayType(HIT)))).drop(f"{P}h", f"{P}t", f"{P}p")
+
+
+def _hits(docs: DataFrame, th: Column, index: Index) -> DataFrame:
+    """The hash and the passages of each text that has some, written."""
+    one = docs.select(th.alias(f"{P}t"), passages(text_of(), index).alias(f"{P}p")).filter(F.size(f"{P}p") > 0)
+    return written(one.dropDuplicates([f"{P}t"]), "hits")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,8 +421,57 @@ def test_decontamination(spark, small, docs, none):
     got = decontaminate.contaminated(docs, b).filter("size(passages) > 0").collect()
     assert [x["doc_id"] for x in got] == [5] and {(p["item_id"], p["start"]) for p in got[0]["passages"]} == {(3, 7)}
     assert decontaminate.contaminated(none, b).count() == 0 and decontaminate.contaminated(docs, b.limit(0)).filter("size(passages) > 0").count() == 0
-    blocks = decontaminate.indexes(spark.createDataFrame(items, "item_id long, text string"), block=7)
+    all_items = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate.indexes(all_items, block=7))
     assert len(blocks) > 1 and sorted(x for i in blocks for x in i.ids) == sorted(index.ids)
+    # Blocks one by one give what one block gives, but for what chance finds.
+    few = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:60])] + [(None, None), (3, texts[3])], "doc_id long, text string")
+    one, many = ({(x["doc_id"], p["item_id"], p["start"]) for x in decontaminate.contaminated(few, all_items, block=b).collect() for p in x["passages"]} for b in (1000, 15))
+    assert len(one & many) >= 0.97 * len(one | many) > 40
+
+
+def scanned(index, text):
+    """Every item that some window of the text is near to: all windows, exact distances."""
+    ids = [index.vocabulary.get(x, 0) for x in decontaminate.words(text)]
+    out = set()
+    for item, seq in zip(index.ids, index.seqs, strict=True):
+        n = len(seq)
+        windows = np.asarray([ids[k : k + n] for k in range(max(1, len(ids) - n + 1)) if len(ids[k : k + n]) == n]).reshape(-1, n)
+        if len(windows) and decontaminate.edit_distances(windows, seq).min() <= decontaminate.allowed(n, 0.8):
+            out.add(item)
+    return out
+
+
+@pytest.mark.parametrize("where", ["anywhere", "head", "tail", "middle", "indels"])
+def test_decontamination_recall(spark, small, where):
+    """Copies with as many edits as the limit allows, wherever they are, against a scan of all windows."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    index = decontaminate.Index(items)
+    r = random.Random(where)
+    noise = [f"n{k}" for k in range(500)]
+    found = wanted = 0
+    texts = []
+    for _ in range(120):
+        w = [x.decode() for x in decontaminate.words(r.choice(items)[1])]
+        n = len(w)
+        most = decontaminate.allowed(n, 0.8)
+        spans = {"anywhere": (0, n), "head": (0, n // 2), "tail": (n // 2, n), "middle": (n // 4, 3 * n // 4), "indels": (0, n)}
+        places = range(*spans[where])
+        if where == "indels":
+            for k in range(most // 2):
+                at = r.randrange(len(w))
+                w[at : at + (k % 2)] = [] if k % 2 else [r.choice(noise)]
+        else:
+            for at in r.sample(places, min(most, len(places))):
+                w[at] = r.choice(noise)
+        texts.append(" ".join(r.choices(noise, k=20) + w + r.choices(noise, k=20)))
+    for t, hs in zip(texts, index.hits(texts), strict=True):
+        want = scanned(index, t)
+        got = {h[0] for h in hs}
+        assert got <= want
+        wanted += len(want)
+        found += len(got & want)
+    assert wanted >= 100 and found >= 0.95 * wanted, (found, wanted)
 
 
 # --- Jaccard join
@@ -515,6 +564,55 @@ def test_prefix_reaches_recall():
     assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
 
 
+def test_tied_runs():
+    """Near texts of a run are tied whatever stands between them; those that only share a prefix aren't."""
+    g = np.random.default_rng(5)
+    n = jaccard.TREES * jaccard.DEPTH // 2
+    for _ in range(60):
+        groups = g.integers(0, 4, 12)
+        bases = g.integers(0, 256, (4, n)).astype(np.uint8)
+        sketch = bases[groups].copy()
+        for row in sketch:
+            row[g.integers(0, n, 6)] = g.integers(0, 256, 6)
+        sig = np.zeros((12, 16), np.uint8)
+        sig[:, 8:] = g.integers(0, 2, (12, 8))
+        sig[6:, 0] = 1  # two runs
+        order = np.lexsort([sig[:, j] for j in range(15, -1, -1)])
+        tied = jaccard.tie_runs(sig[order], sketch[order], 4, jaccard.least_agreeing())
+        for i in range(12):
+            for j in range(12):
+                same = groups[order][i] == groups[order][j] and (i < 6) == (j < 6)
+                assert (tied[i] == tied[j]) == same
+    assert 40 < jaccard.least_agreeing() < 55
+
+
+def test_jaccard_chain(spark, monkeypatch):
+    """In a chain of texts, each near the next only, a text meets a few blocks of many, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 20)
+    rows = [(k, " ".join(f"c{j}" for j in range(10 * k, 10 * k + 104))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.near_duplicates(df).collect()}
+    want = classes_by_hand([d for d, _ in rows], [t for _, t in rows])
+    assert want[5] == (0, 2) and 0.97 * 238 <= sum(n for _, n in got.values()) <= 238
+
+
+def test_jaccard_recall(spark):
+    """Pairs at 0.8 to 0.85, the hardest, among texts that share boilerplate."""
+    r = random.Random(21)
+    rows = []
+    for k in range(300):
+        w = [f"b{j}" for j in range(60)] + [f"u{k}x{j}" for j in range(60)]
+        other = list(w)
+        for j in r.sample(range(4, 116), 2):
+            other[j] = f"e{k}x{j}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["n_links"] for x in jaccard.near_duplicates(df).collect()}
+    want = classes_by_hand([d for d, _ in rows], [t for _, t in rows])
+    assert sum(n for _, n in want.values()) > 500
+    assert sum(got.values()) >= 0.98 * sum(n for _, n in want.values())
+
+
 def test_components(spark):
     r = random.Random(13)
     edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
