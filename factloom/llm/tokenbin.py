@@ -156,7 +156,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, encoder: Calla
         if b.num_rows:
             ids = [x + end for x in encoder(b.column(1).to_pylist())]
             writer.add(b"".join(ids), [len(x) // 4 for x in ids])
-            doc_ids.append(b.column(0).to_numpy(zero_copy_only=False))
+            doc_ids.append(b.column(0).cast(pa.int64()))
     if writer is None:
         return
     n_docs, n_ids = writer.close()
@@ -167,7 +167,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], folder: str, encoder: Calla
     with fs.open_output_stream(names) as f:
         import pyarrow.parquet as pq
 
-        pq.write_table(pa.table({"doc_id": pa.array(np.concatenate(doc_ids), from_pandas=True).cast(pa.int64())}), f)
+        pq.write_table(pa.table({"doc_id": pa.concat_arrays(doc_ids)}), f)
     fs.move(names, f"{path}.docs")
     yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([0], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([part], pa.int32())], names=["shard", "first", "docs", "ids", "part"])
 
