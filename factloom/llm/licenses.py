@@ -6,7 +6,8 @@ the sentence; the longest known sentence that ends with a segment gives its iden
 are then matched against the rules, the longest first. Unknown sentences may stand between two identifiers of a rule as
 long as they are at most GAP.
 
-Every known sentence holds one of TRIGGERS, so a text without any is left out without loss.
+Every known sentence has a word that holds one of TRIGGERS, and words are never broken, so a text without any trigger is left
+out without loss. An SPDX line gives the licenses that its expression names.
 
 Defined results: null and empty texts have no sentences and no license; overlapping notices are found once, from the left;
 repeated rows get equal results; extra columns stay; an empty table gives an empty result.
@@ -24,10 +25,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .common import table, text_of
 
-#: Normalised words that known sentences hold; each sentence has one at least.
-TRIGGERS = ("licen", "copyright", "warrant", "redistribut", "permission", "rights reserved", "spdx", "public domain", "misrepresented", "contributors may be used", "damages", "copy of this software", "anyone is free")
+#: Parts of words that known sentences hold; each sentence has one at least.
+TRIGGERS = ("licen", "copyright", "warrant", "redistribut", "permission", "reserved", "spdx", "domain", "contributors", "damages", "anyone")
 
-#: Known sentences by identifier, as published in the licenses; * stands for 1 to MOST_FREE words.
+#: Known sentences by identifier, as published in the licenses; * stands for one or more words: up to the line's
+#: end where it is the last, and over at most two line ends where a name stands in the middle of a sentence.
 SENTENCES = {
     "mit-notice": ["Released under the MIT License", "Licensed under the MIT License", "This work is licensed under the MIT License", "This project is licensed under the MIT License", "Distributed under the MIT License", "This software is released under the MIT License", "Use of this source code is governed by an MIT-style license"],
     "apache2-notice": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "This work is licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")", "Distributed under the Apache License, Version 2.0"],
@@ -66,6 +68,8 @@ SENTENCES = {
     "copyright": ["Copyright *", "(c) Copyright *"],
     "spdx": ["SPDX-License-Identifier: *"],
 }
+#: The license of this rule is what the sentence itself names.
+NAMED = "*"
 #: A license for each ordered sequence of identifiers; ? marks those that may be missing.
 RULES = [
     ("MIT", ["mit-grant", "mit-include", "mit-asis", "mit-liable?"]), ("MIT", ["mit-notice"]),
@@ -74,13 +78,15 @@ RULES = [
     ("GPL-3.0-only", ["gpl3-notice"]), ("GPL-2.0-only", ["gpl2-notice"]), ("LGPL-3.0-only", ["lgpl3-notice"]), ("AGPL-3.0-only", ["agpl3-notice"]), ("MPL-2.0", ["mpl2-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-notice"]), ("CC-BY-4.0", ["cc-by-4-notice"]), ("CC-BY-SA-4.0", ["cc-by-sa-4-notice"]), ("CC-BY-ND-4.0", ["cc-by-nd-4-notice"]), ("CC0-1.0", ["cc0-notice"]),
     ("ISC", ["isc-grant"]), ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]), ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]), ("BSD-style", ["bsd-notice"]),
-    ("Unlicense", ["unlicense-free", "unlicense-anyone?"]), ("proprietary", ["copyright?", "all-rights"]), ("SPDX", ["spdx"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone?"]), ("proprietary", ["copyright?", "all-rights"]), (NAMED, ["spdx"]),
 ]
-MOST_FREE, GAP = 12, 2
+GAP, LINES = 2, 2
 
 END = re.compile(r"[.!?;:](?=\s|\Z)|\n")
 MARKS = re.compile(r"^[\s/*#;%<>!|-]+")
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+EXPRESSION = re.compile(r"[Ii]dentifier\s*:[ \t]*([^\n]*)")
+OPERATORS = re.compile(r"[()\s]+(?:AND|OR|and|or)[()\s]+|[()]")
 
 
 def words(text: str) -> list[str]:
@@ -93,7 +99,7 @@ def _trie() -> dict:
     root: dict = {}
     for name, texts in SENTENCES.items():
         for t in texts:
-            if not any(x in t.lower() for x in TRIGGERS):
+            if not any(x in w for w in words(t) for x in TRIGGERS):
                 raise ValueError(f"without a trigger: {t}")
             node = root
             for part in t.split():
@@ -103,47 +109,63 @@ def _trie() -> dict:
     return root
 
 
-def segments(text: str) -> list[tuple[list[str], bool]]:
-    """(words, whether the sentence ends here) of each segment that has words."""
+def segments(text: str) -> list[tuple[list[str], bool, int]]:
+    """(words, whether the sentence ends here, place in the text) of each segment that has words."""
     out, at = [], 0
     for m in END.finditer(text):
-        out.append((words(MARKS.sub("", text[at : m.start()])), m[0] != "\n" or text[m.end() : m.end() + 1] == "\n"))
+        out.append((words(MARKS.sub("", text[at : m.start()])), m[0] != "\n" or text[m.end() : m.end() + 1] == "\n", at))
         at = m.end()
-    out.append((words(MARKS.sub("", text[at:])), True))
+    out.append((words(MARKS.sub("", text[at:])), True, at))
     return [x for x in out if x[0]]
 
 
-def _walk(segs: list[tuple[list[str], bool]], at: int) -> tuple[str, int] | None:
+def _walk(segs: list[tuple[list[str], bool, int]], at: int) -> tuple[str, int] | None:
     """The longest known sentence from segment at on: its name, and the segment after it."""
     best = None
-    todo = [(_trie(), at, 0, 0)]  # node, segment, word, words that a * has taken
+    todo = [(_trie(), at, 0, -1)]  # node, segment, word, the segment in which a * began (-1: none is open)
+    seen = set()
     while todo:
-        node, s, w, free = todo.pop()
+        state = todo.pop()
+        if (id(state[0]), *state[1:]) in seen:
+            continue
+        seen.add((id(state[0]), *state[1:]))
+        node, s, w, free = state
         if "" in node and (w == 0 and s > at) and (best is None or s > best[1]):
             best = (node[""], s)
         if s >= len(segs):
             continue
         token = segs[s][0][w]
         step = (s, w + 1) if w + 1 < len(segs[s][0]) else (s + 1, 0)
-        for key, taken in ((token, 0), ("*", 1)):
-            if key in node:
-                todo.append((node[key], *step, taken))
-        if 0 < free < MOST_FREE and w > 0:  # a * stays within its segment
-            todo.append((node, *step, free + 1))
+        if token in node:
+            todo.append((node[token], *step, -1))
+        if "*" in node:
+            todo.append((node["*"], *step, s))
+        # A * at a sentence's end stays within its line, another within its sentence and a few lines.
+        if free >= 0 and (w > 0 or ("" not in node and s - free <= LINES and not segs[s - 1][1])):
+            todo.append((node, *step, free))
     return best
 
 
-def recognise(text: str) -> list[tuple[str, int, int]]:
-    """(identifier, first segment, segment after the last) of the known sentences of a text, in order."""
-    low = text.lower()
-    if not any(t in low for t in TRIGGERS):
-        return []
+def named(text: str) -> list[str]:
+    """The licenses of an SPDX line, as written, without AND, OR and brackets."""
+    m = EXPRESSION.search(text)
+    expression = re.sub(r"\s*(\*/|-->).*", "", m[1]) if m else ""
+    return [x for x in (p.strip(" \t\r\"'`;,.") for p in OPERATORS.split(expression)) if x]
+
+
+def recognise(text: str, filtered: bool = True) -> list[tuple[str, int, int, list[str]]]:
+    """(identifier, first segment, segment after the last, licenses it names) of the known sentences of a text, in order."""
+    if filtered:
+        low = text.lower()
+        if not any(t in low for t in TRIGGERS):
+            return []
     segs, out, k = segments(text), [], 0
     root = _trie()
     while k < len(segs):
         hit = _walk(segs, k) if segs[k][0][0] in root else None
         if hit:
-            out.append((hit[0], k, hit[1]))
+            line = text[segs[k][2] : segs[hit[1]][2] if hit[1] < len(segs) else len(text)] if hit[0] == "spdx" else ""
+            out.append((hit[0], k, hit[1], named(line)))
             k = hit[1]
         else:
             k += 1
@@ -155,7 +177,7 @@ def _rules() -> list[tuple[str, list[tuple[str, bool]]]]:
     return [(name, [(x.rstrip("?"), x.endswith("?")) for x in seq]) for name, seq in sorted(RULES, key=lambda r: -len(r[1]))]
 
 
-def apply_rules(found: list[tuple[str, int, int]]) -> list[str]:
+def apply_rules(found: list[tuple[str, int, int, list[str]]]) -> list[str]:
     """The licenses of a sequence of identifiers; each identifier serves one rule."""
     out, k = [], 0
     while k < len(found):
@@ -172,7 +194,7 @@ def apply_rules(found: list[tuple[str, int, int]]) -> list[str]:
             if used > best[0]:
                 best = (used, name)
         if best[0]:
-            out.append(best[1])
+            out += found[k][3] if best[1] == NAMED else [best[1]]
         k += max(1, best[0])
     return out
 
