@@ -1,7 +1,7 @@
 """Personal data (operator 10): generators of high recall, boosted trees over their candidates, calibrated thresholds.
 
 Base spans (e-mail, IP address, card, phone) follow fixed patterns and checks and always stay. Beside them, generators
-propose overlapping candidates: sequences of digit groups in every split, and addresses written out. Boosted trees judge
+propose overlapping candidates: sequences of digit groups in every split, and mail and IP addresses written out or in six. Boosted trees judge
 each candidate of each kind from its format and its context; a kind's threshold is the lowest at which a held-out fold
 has PRECISION. Accepted candidates that touch no base span are added, the most probable first.
 
@@ -9,8 +9,9 @@ No table labels spans, so the trees learn from sentences that `examples` writes
 addresses in the forms people use, and dates, versions, amounts, identifiers and broken checksums as counter-examples.
 
 Defined results: a null or empty text has no spans; offsets count code points; repeated rows get equal spans; extra
-columns stay; an empty table gives an empty result. Work is linear in the text: a candidate has at most
-MOST_DIGITS digits and each pattern has a bounded width or a trigger character.
+columns stay; an empty table gives an empty result; of candidates as probable the first wins. Work is linear in the text:
+base patterns are matched over disjoint stretches, a number has at most MOST_DIGITS digits, and names in addresses have the
+lengths that mail and domain names allow (64 and 63 characters).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,16 +40,21 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+GROUP = re.compile(r"[0-9]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 MOST_DIGITS, PRECISION = 19, 0.98
 RUN = re.compile(r"[+(]{0,2}[0-9](?:[0-9]|[\x20()./-]{1,3}(?=[0-9(+])){5,}")
 SPLIT = re.compile(r"[+(]*[0-9]+\)?")
 TRIGGER = re.compile("@|＠|[(\\[] ?at ?[)\\]]|[\\s(\\[]dot[\\s)\\]]", re.IGNORECASE)
-WRITTEN = re.compile(r"[\w.%+-]{1,64}\s?(?:@|＠|[(\[] ?at ?[)\]]|\sat\s)\s?[\w-]{1,64}(?:(?:\.|\s?[(\[] ?dot ?[)\]]\s?|\sdot\s)[A-Za-z][\w-]{0,63}){1,6}", re.IGNORECASE)
+WRITTEN = re.compile(r"(?:[\w%+-]{1,64}(?:\s?[(\[] ?dot ?[)\]]\s?|\sdot\s)){0,3}[\w.%+-]{1,64}\s?(?:@|＠|[(\[] ?at ?[)\]]|\sat\s)\s?[\w-]{1,64}(?:(?:\.|\s?[(\[] ?dot ?[)\]]\s?|\sdot\s)[A-Za-z][\w-]{0,63}){1,6}", re.IGNORECASE)
 CONTEXT = {"phone": ("tel", "phone", "call", "fax", "mobile", "cell", "anruf", "llam"), "card": ("card", "visa", "master", "karte", "tarjeta", "carte"), "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address")}
 AROUND = 24
+#: IP addresses with their dots written out, and those of version 6.
+APART = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?(?:[(\[] ?(?:\.|dot) ?[)\]]|\sdot\s)\s?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+COLONS = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,7}(?:(?::?[0-9A-Fa-f]{1,4}){1,7}|:)(?![\w:])")
 
 
 def luhn(digits: str) -> bool:
@@ -62,15 +69,23 @@ def _digits(s: str) -> str:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """As EMAIL.finditer, started only at the characters before an @."""
-    done, at = 0, text.find("@")
+    """As EMAIL.finditer; neither part of an address holds an @, so the stretches between them are looked at once."""
+    free, at = 0, text.find("@")  # where the first part may begin
     while at >= 0:
-        m = DOMAIN.match(text, at)
-        start = at - (len(LOCAL.search(text[max(done, at - 256) : at])[0]) if at - done <= 256 else len(LOCAL.search(text[done:at])[0]))
-        if m and start < at:
+        start = at - LOCAL.match(text[free:at][::-1]).end()
+        m = DOMAIN.match(text, at) if start < at else None
+        if m:
             yield start, m.end()
-            done = m.end()
-        at = text.find("@", max(at + 1, done))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
+
+
+def _ips(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """As IP.finditer: groups in a row, four by four."""
+    for m in CHAIN.finditer(text, at):
+        groups = list(GROUP.finditer(text, m.start(), m.end()))
+        for k in range(0, len(groups) - 3, 4):
+            yield groups[k].start(), groups[k + 3].end()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,9 +96,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     first = DIGIT.search(text)
     if first:
         at = first.start()
-        for m in IP.finditer(text, at):
-            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")):
-                out.append((m.start(), 1, m.end()))
+        for a, b in _ips(text, at):
+            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in text[a:b].split(".")):
+                out.append((a, 1, b))
         for m in CARD.finditer(text, at):
             if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -111,10 +126,16 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
                         yield a, 2, b
                     if j - i == 3 and n <= 12 and "." in text[a:b]:
                         yield a, 1, b
+        for m in APART.finditer(text):
+            yield m.start(), 1, m.end()
+    if ":" in text:
+        for m in COLONS.finditer(text):
+            if "::" in m[0] or m[0].count(":") == 7:
+                yield m.start(), 1, m.end()
     seen = -1
     for t in TRIGGER.finditer(text):
-        lo = max(0, t.start() - 90)
-        for m in WRITTEN.finditer(text, lo, min(len(text), t.end() + 90)):
+        lo = max(0, t.start() - 210)
+        for m in WRITTEN.finditer(text, lo, min(len(text), t.end() + 210)):
             if m.start() > seen and m.start() <= t.end() and m.end() > t.start():
                 seen = m.start()
                 yield m.start(), 0, m.end()
@@ -171,11 +192,11 @@ def examples(n: int = 4000, seed: int = 10) -> Iterator[tuple[str, list[tuple[in
                 text += item
             yield text + r.choice(["", ".", " " + word()]), spans
             continue
-        kind, sep = r.choice([0, 2, 3, 3, None, None, None]), r.choice([" ", "-", ".", "/"])
+        kind, sep = r.choice([0, 1, 2, 3, 3, None, None, None]), r.choice([" ", "-", ".", "/"])
         clue = ""
         if kind == 3:
             clue = r.choice(say["phone"]) if r.random() < 0.6 else ""
-            item = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}){digits(3)}-{digits(4)}", _grouped(digits(10), (3, 3, 4), r.choice("-. ")), f"1-{_grouped(digits(10), (3, 3, 4), '-')}", f"00{digits(2)} {digits(3)} {digits(7)}", f"0{digits(3)} {digits(6)}", f"0{digits(2)}/{digits(7)}", f"+{digits(2)}/{digits(3)}/{digits(6)}"])
+            item = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}){digits(3)}-{digits(4)}", _grouped(digits(10), (3, 3, 4), r.choice("-. ")), f"1-{_grouped(digits(10), (3, 3, 4), '-')}", f"00{digits(2)} {digits(3)} {digits(7)}", f"0{digits(3)} {digits(6)}", f"0{digits(2)}/{digits(7)}", f"+{digits(2)}/{digits(3)}/{digits(6)}", f"00 {digits(2)} {digits(1)} {' '.join(digits(2) for _ in range(4))}"])
             if item[0] in "0123456789" and "-" not in item and "." not in item:
                 clue = r.choice(say["phone"])
         elif kind == 2:
@@ -184,7 +205,11 @@ def examples(n: int = 4000, seed: int = 10) -> Iterator[tuple[str, list[tuple[in
         elif kind == 0:
             clue = r.choice(say["email"]) if r.random() < 0.6 else ""
             a, d = r.choice([(" (at) ", "."), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", " dot "), (" @ ", "."), ("(at)", "(dot)"), ("＠", ".")])
-            item = f"{word()}{r.choice(['', '.' + word(), str(r.randint(1, 99))])}{a}{word()}{d}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
+            item = f"{word()}{r.choice(['', '.' + word(), str(r.randint(1, 99)), ' dot ' + word() if d.strip() == 'dot' else ''])}{a}{word()}{d}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
+        elif kind == 1:
+            clue = r.choice(say["ip"]) if r.random() < 0.6 else ""
+            part = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4)))
+            item = r.choice([r.choice(["[.]", "(.)", "[dot]", "(dot)", " dot ", " [.] "]).join(str(r.randint(0, 255)) for _ in range(4)), ":".join(part() for _ in range(8)), f"{part()}:{part()}::{part()}", f"fe80::{part()}:{part()}:{part()}:{part()}"])
         else:
             y = r.randint(1900, 2035)
             item = r.choice([
@@ -192,6 +217,7 @@ def examples(n: int = 4000, seed: int = 10) -> Iterator[tuple[str, list[tuple[in
                 ".".join(str(r.randint(0, 40)) for _ in range(r.randint(3, 6))), digits(r.randint(7, 12)), digits(r.randint(13, 22)), _fake_card(r, 16, False), _grouped(_fake_card(r, 16, False), (4, 4, 4, 4), sep), f"{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(1)} {digits(3)} {digits(3)} {digits(3)}", f"{digits(6)}.{digits(4)}",
                 f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", " ".join(digits(r.randint(1, 4)) for _ in range(r.randint(4, 9))), f"#{digits(9)}", f"${digits(3)}.{digits(3)}.{digits(3)}", "".join(r.choice("0123456789abcdef") for _ in range(40)), f"id={digits(10)}", f"{word()}_{digits(10)}",
                 f"@{word()}", f"{word()} @ {digits(2)}.{digits(2)}", f"{word()} at {word()}. {word()}", f"{word()} dot {word()} at {word()}", f"10.{digits(4)}/{digits(8)}", f"{digits(3)}-{digits(2)}", f"{r.choice(['AKIA', 'x', 'no'])}{digits(11)}", f"{digits(3)}/{digits(3)} {digits(3)}/{digits(4)}",
+                f"{digits(3)}-{digits(2)}-{digits(4)}", f"0{digits(2)}-{digits(2)}-{digits(4)}", "[.]".join(str(r.randint(256, 999)) for _ in range(4)), f"{r.choice(['std', 'map', word()])}::{word()}", f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", ":".join(f"{r.randint(16, 255):02x}" for _ in range(6)), f"{word()} dot {word()}",
             ])
             clue = r.choice([*sum(say.values(), []), *[""] * 30])
         left = " ".join([*(word() for _ in range(r.randint(0, 4))), *([clue] if clue else [])])
@@ -200,27 +226,41 @@ def examples(n: int = 4000, seed: int = 10) -> Iterator[tuple[str, list[tuple[in
         yield left + item + right, [] if kind is None else [(len(left), kind, len(left) + len(item))]
 
 
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _free(busy: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a..b touches none of these disjoint stretches."""
+    k = bisect_left(busy, (b, 0))
+    return k == 0 or busy[k - 1][1] <= a
+
+
 @dataclass
 class Model:
     trees: Boosted
     thresholds: tuple[float, ...]
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = [c for c in dict.fromkeys(candidates(text)) if not any(a < c[2] and c[0] < b for a, _, b in base)] if base or DIGIT.search(text) or TRIGGER.search(text) else []
+        busy = _joined(base)
+        found = [c for c in dict.fromkeys(candidates(text)) if _free(busy, c[0], c[2])]
         if not found:
             return []
         p = self.trees.probability(np.asarray([features(text, *c) for c in found], float))
         taken: list[tuple[int, int, int]] = []
-        busy = np.zeros(0, np.int64)
+        busy = []
         for k in sorted(range(len(found)), key=lambda k: (-p[k], found[k])):
             a, kind, b = found[k]
-            if p[k] < self.thresholds[kind]:
-                continue
-            at = np.searchsorted(busy, [a, b]) if len(busy) else (0, 0)
-            if len(busy) and (at[0] % 2 or at[0] != at[1]):
-                continue
-            taken.append((a, kind, b))
-            busy = np.sort(np.append(busy, [a, b - 1 if b - 1 > a else b]))
+            if p[k] >= self.thresholds[kind] and _free(busy, a, b):
+                taken.append((a, kind, b))
+                insort(busy, (a, b))
         return sorted(taken)
 
 
@@ -229,9 +269,9 @@ def train(n: int = 4000, seed: int = 10) -> Model:
     """Trees on three quarters of the sentences, thresholds on the rest."""
     x, y, fold = [], [], []
     for k, (text, spans) in enumerate(examples(n, seed)):
-        base = base_spans(text)
+        busy = _joined(base_spans(text))
         for c in dict.fromkeys(candidates(text)):
-            if not any(a < c[2] and c[0] < b for a, _, b in base):
+            if _free(busy, c[0], c[2]):
                 x.append(features(text, *c))
                 y.append(c in spans)
                 fold.append(k % 4 == 0)
