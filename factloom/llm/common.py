@@ -24,14 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder takes its place.
+    Only where that setting is absent and the session is local (tests, a laptop) a temporary folder takes its place. A path
+    without a scheme lies in Hadoop's default file system.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "factloom-shared")
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/factloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{base.rstrip('/')}/factloom-{sc.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str = "t") -> DataFrame:
