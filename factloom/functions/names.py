@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks of parser generators in comments.
-GENERATED = ("JavaCC", "JJTree", "generated by ANTLR", "generated by JFlex", "generated by CUP", "jay/yacc")
+#: Marks of parser generators in comments; a comment holds all strings of a mark.
+GENERATED = (("Generated By:JavaCC",), ("Generated By:JJTree",), ("Generated from", "by ANTLR"), ("generated by JFlex",), ("generated by CUP",), ("created by jay",))
 #: Methods whose shape is prescribed by the platform, as name(parameters): result.
 WELL_KNOWN = (
     "readObject(java.io.ObjectInputStream):void", "writeObject(java.io.ObjectOutputStream):void", "equals(java.lang.Object):boolean", "hashCode():int",
@@ -120,8 +122,10 @@ def shift_status(original: Column, updated: Column) -> Column:
 
 
 def is_generated(comments: Column) -> Column:
-    pattern = "|".join(x.replace("/", "\\/") for x in GENERATED)
-    return F.exists(F.coalesce(comments, F.array().cast("array<string>")), lambda c: c.rlike(pattern))
+    def marked(c: Column) -> Column:
+        return reduce(Column.__or__, (reduce(Column.__and__, (c.contains(x) for x in mark)) for mark in GENERATED))
+
+    return F.exists(F.coalesce(comments, F.array().cast("array<string>")), marked)
 
 
 def is_well_known(name: Column, params: Column, result: Column) -> Column:

@@ -97,10 +97,11 @@ def best_match(pairs: DataFrame, left: str, order: list) -> DataFrame:
     return pairs.withColumn("rn", F.row_number().over(W.partitionBy(left).orderBy(*order))).filter("rn = 1").drop("rn")
 
 
-def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]], kinds1: dict[int, str], kinds2: dict[int, str], most: int = 20_000) -> tuple[list[tuple[int, int]], bool]:
+def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]], kinds1: dict[int, str], kinds2: dict[int, str], most: int | None = None) -> tuple[list[tuple[int, int]], bool]:
     """A largest common sub-graph of two dependence graphs: pairs of nodes of like kind, grown edge by edge.
 
-    Branches whose mapping is part of one seen before are cut; after `most` states the best so far is returned, and False.
+    Branches whose mapping is part of one seen before are cut. With `most` the search ends after so many states with the best so
+    far, and False; without it the result is always a largest one.
     """
     out1: dict[tuple[int, str], list[int]] = {}
     out2: dict[tuple[int, str], list[int]] = {}
@@ -120,7 +121,7 @@ def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]],
             continue
         seen.add(m)
         states += 1
-        if states > most:
+        if most is not None and states > most:
             return best, False
         if len(m) > len(best) or (len(m) == len(best) and sorted(m) < best):
             best = sorted(m)
@@ -141,7 +142,7 @@ def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]],
     return best, True
 
 
-def mapped_pairs(pairs: DataFrame, most: int = 20_000) -> DataFrame:
+def mapped_pairs(pairs: DataFrame, most: int | None = None) -> DataFrame:
     """pairs (pair, nodes1, edges1, nodes2, edges2) -> pair, mapping, complete. nodes: (id, kind); edges: (src, dst, dep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +158,28 @@ def mapped_pairs(pairs: DataFrame, most: int = 20_000) -> DataFrame:
     return pairs.select(F.col("pair").cast("long"), "nodes1", "edges1", "nodes2", "edges2").mapInArrow(run, "pair long, mapping array<struct<a:int,b:int>>, complete boolean")
 
 
-def without_subsumed(solutions: DataFrame, key: str, elements: str) -> DataFrame:
+def without_subsumed(solutions: DataFrame, key: str, elements: str, wide: int = 64) -> DataFrame:
     """Solutions (key, elements: an array) that aren't part of a larger one, nor equal to one with a smaller key.
 
-    A larger one shares the solution's rarest element, so solutions meet there alone, not in pairs of all.
+    A larger one holds the solution's two rarest elements, so solutions meet at that pair, and are then compared as arrays.
+    Of a larger one with more than `wide` elements the pairs aren't listed: it is met at the single rarest element.
+    Solutions of one element need a look at that element alone. Empty solutions are part of any other.
     """
-    flat = solutions.select(F.col(key).alias("k"), F.size(F.array_distinct(elements)).alias("n"), F.explode(F.array_distinct(elements)).alias("e"))
-    df = flat.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
-    rare = flat.join(df, "e").withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy("df", "e"))).filter("rn = 1").select("k", "n", "e")
-    near = rare.join(flat.select(F.col("k").alias("k2"), F.col("n").alias("n2"), "e"), "e").filter((F.col("k") != F.col("k2")) & ((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("k2") < F.col("k"))))).select("k", "n", "k2")
-    common = near.join(flat.select("k", "e"), "k").join(flat.select(F.col("k").alias("k2"), F.col("e").alias("e2")), ["k2"]).filter("e = e2").groupBy("k", "k2", "n").agg(F.count(F.lit(1)).alias("c")).filter("c = n")
-    return solutions.join(common.select(F.col("k").alias(key)).distinct(), key, "left_anti")
+    sets = solutions.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(elements)).alias("s")).withColumn("n", F.size("s"))
+    flat = sets.select("k", "n", F.explode("s").alias("e"))
+    df = flat.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.max("n").alias("most"), F.min(F.when(F.col("n") == 1, F.col("k"))).alias("first"))
+    known = flat.join(df, "e")
+    single = known.filter("n = 1 AND (most > 1 OR first < k)").select("k")
+    two = known.filter("n > 1").groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "e"))), 1, 2)["e"].alias("r"))
+    small = sets.filter("n > 1").join(two, "k").select("k", "s", "n", F.array_sort("r").alias("r"), F.col("r")[0].alias("e"))
+    larger = sets.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+    places = F.sequence(F.lit(1), F.col("n2") - 1)
+    listed = larger.filter((F.col("n2") > 1) & (F.col("n2") <= wide)).withColumn("i", F.explode(places)).select("k2", "s2", "n2", F.col("s2")[F.col("i") - 1].alias("x"), F.explode(F.slice("s2", F.col("i") + 1, F.col("n2"))).alias("y"))
+    by_pair = small.join(listed, (F.col("r")[0] == F.col("x")) & (F.col("r")[1] == F.col("y"))).select("k", "s", "n", "k2", "s2", "n2")
+    by_one = small.join(larger.filter(F.col("n2") > wide).withColumn("x", F.explode("s2")), F.col("e") == F.col("x")).select("k", "s", "n", "k2", "s2", "n2")
+    before = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("k2") < F.col("k")))
+    inside = by_pair.unionByName(by_one).filter((F.col("k") != F.col("k2")) & before & (F.size(F.array_except("s", "s2")) == 0)).select("k")
+    gone = single.unionByName(inside).distinct().select(F.col("k").alias(key))
+    out = solutions.join(gone, key, "left_anti")
+    empty = sets.agg(F.max("n").alias("top"), F.min(F.when(F.col("n") == 0, F.col("k"))).alias("least"))
+    return out.join(F.broadcast(empty)).filter((F.size(elements) > 0) | ((F.col("top") == 0) & (F.col(key) == F.col("least")))).drop("top", "least")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import is_generated, owner_of
+from .graph import settled
 
 
 @dataclass(frozen=True)
@@ -57,13 +58,15 @@ class FactBase:
 
 
 def flatten_nested(types: DataFrame) -> DataFrame:
-    """Types (type, parent) with the path from their outermost type, by a recursive query."""
-    types.createOrReplaceTempView("__factloom_types")
-    return types.sparkSession.sql("""
-        WITH RECURSIVE t (type, path) AS (
-          SELECT type, array(type) FROM __factloom_types WHERE parent IS NULL
-          UNION ALL SELECT c.type, concat(t.path, array(c.type)) FROM __factloom_types c JOIN t ON c.parent = t.type)
-        SELECT * FROM t""")
+    """Types (type, parent) with the path from their outermost type: a join for each level of nesting, whatever their number."""
+    level = out = settled(types.filter("parent IS NULL").select("type", F.array("type").alias("path")))
+    inner = types.filter("parent IS NOT NULL").select("type", "parent")
+    while True:
+        above = level.select(F.col("type").alias("parent"), "path")
+        level = settled(inner.join(above, "parent").select("type", F.concat("path", F.array("type")).alias("path")))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
 
 
 def eligible_classes(classes: DataFrame) -> DataFrame:
@@ -90,11 +93,12 @@ def is_setter(statement: Column, params: Column, reads: Column, writes: Column,
 
 #: What adds to a collection, and the types of receivers that count as collections.
 ADDERS = ("add", "addElement", "addAll")
-COLLECTIONS = ("java.util.Collection", "java.util.AbstractCollection", "java.util.List", "java.util.AbstractList", "java.util.ArrayList", "java.util.LinkedList", "java.util.Set", "java.util.AbstractSet", "java.util.HashSet", "java.util.LinkedHashSet", "java.util.SortedSet", "java.util.TreeSet", "java.util.Vector", "java.util.Stack")
+COLLECTIONS = ("java.util.Collection", "java.util.AbstractCollection", "java.util.List", "java.util.AbstractList", "java.util.ArrayList", "java.util.LinkedList", "java.util.Set", "java.util.AbstractSet", "java.util.HashSet", "java.util.LinkedHashSet", "java.util.SortedSet", "java.util.TreeSet", "java.util.Vector")
 
 
-def is_collection_adder(params: Column, reads: Column, calls: Column, called: Column, receiver: Column) -> Column:
-    return (F.size(params) == 1) & (reads == 1) & (calls == 1) & called.isin(*ADDERS) & F.regexp_replace(receiver, "<.*>", "").isin(*COLLECTIONS)
+def is_collection_adder(params: Column, reads: Column, calls: Column, called: Column, receiver: Column, declared: Column, locals_used: Column) -> Column:
+    """A body of one statement that adds its one parameter to a field: no local declared, one local (the parameter) used."""
+    return (F.size(params) == 1) & (reads == 1) & (calls == 1) & (declared == 0) & (locals_used == 1) & called.isin(*ADDERS) & F.regexp_replace(receiver, "<.*>", "").isin(*COLLECTIONS)
 
 
 def is_delegate(statement: Column, calls: Column, receiver: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _settle(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """df without its lineage."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
@@ -30,16 +30,16 @@ def closure(edges: DataFrame, seed: DataFrame | None = None, most: int | None =
     """
     e = edges.select("src", "dst").distinct()
     first = e if seed is None else e.join(seed.select("src").distinct(), "src", "left_semi")
-    known = frontier = _settle(first.withColumn("depth", F.lit(1)))
+    known = frontier = settled(first.withColumn("depth", F.lit(1)))
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     depth = 1
     while most is None or depth < most:
         depth += 1
         new = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = _settle(new.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = settled(new.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        known = _settle(known.unionByName(frontier))
+        known = settled(known.unionByName(frontier))
     return known
 
 
@@ -49,15 +49,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Every node points to its least neighbour, pointers are followed, and the edges are carried along until none is left.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    graph = _settle(both.filter("a <> b").distinct())
-    label = _settle(both.select(F.col("a").alias("node")).unionByName(nodes.select("node") if nodes is not None else both.select(F.col("a").alias("node"))).distinct().withColumn("component", F.col("node")))
+    graph = settled(both.filter("a <> b").distinct())
+    label = settled(both.select(F.col("a").alias("node")).unionByName(nodes.select("node") if nodes is not None else both.select(F.col("a").alias("node"))).distinct().withColumn("component", F.col("node")))
     while not graph.isEmpty():
         least = graph.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("b")).select("n", F.least("n", "b").alias("to"))
         hop = least.select(F.col("n").alias("mid"), F.col("to").alias("far"))
-        point = _settle(least.join(hop, F.col("to") == F.col("mid")).select("n", F.col("far").alias("to")))
-        label = _settle(label.join(point, F.col("component") == F.col("n"), "left").select("node", F.coalesce("to", "component").alias("component")))
+        point = settled(least.join(hop, F.col("to") == F.col("mid")).select("n", F.col("far").alias("to")))
+        label = settled(label.join(point, F.col("component") == F.col("n"), "left").select("node", F.coalesce("to", "component").alias("component")))
         p, q = point.select(F.col("n").alias("n1"), F.col("to").alias("t1")), point.select(F.col("n").alias("n2"), F.col("to").alias("t2"))
-        graph = _settle(graph.join(p, F.col("a") == F.col("n1")).join(q, F.col("b") == F.col("n2")).filter("t1 <> t2").select(F.col("t1").alias("a"), F.col("t2").alias("b")).distinct())
+        graph = settled(graph.join(p, F.col("a") == F.col("n1")).join(q, F.col("b") == F.col("n2")).filter("t1 <> t2").select(F.col("t1").alias("a"), F.col("t2").alias("b")).distinct())
     return label
 
 
@@ -77,11 +77,11 @@ def paths(edges: DataFrame, most: int, seed: DataFrame | None = None) -> DataFra
     """path: arrays of 2 to `most` distinct nodes joined by edges: acyclic call paths."""
     e = edges.select("src", "dst").distinct()
     first = e if seed is None else e.join(seed.select("src").distinct(), "src", "left_semi")
-    now = _settle(first.select(F.array("src", "dst").alias("path")))
+    now = settled(first.select(F.array("src", "dst").alias("path")))
     out = now
     for _ in range(most - 2):
         now = now.join(e, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-        now = _settle(now)
+        now = settled(now)
         out = out.unionByName(now)
     return out
 
@@ -158,10 +158,10 @@ def block_region(blocks_of: DataFrame, reachable: DataFrame, boundary: DataFrame
 def container_paths(associations: DataFrame, most: int) -> DataFrame:
     """path, container: chains of associations (from_class, to_class, is_container) and whether one of them holds many."""
     edges = associations.groupBy(F.col("from_class").alias("src"), F.col("to_class").alias("dst")).agg(F.bool_or("is_container").alias("many"))
-    now = _settle(edges.select(F.array("src", "dst").alias("path"), F.col("many").alias("container")))
+    now = settled(edges.select(F.array("src", "dst").alias("path"), F.col("many").alias("container")))
     out = now
     for _ in range(most - 2):
-        now = _settle(now.join(edges, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), (F.col("container") | F.col("many")).alias("container")))
+        now = settled(now.join(edges, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), (F.col("container") | F.col("many")).alias("container")))
         out = out.unionByName(now)
     return out
 

@@ -113,3 +113,15 @@ def access_buckets(accesses: DataFrame) -> DataFrame:
     """entity, n, owners: the classes that an entity uses n members of."""
     n = accesses.select("entity", "owner", "member").distinct().groupBy("entity", "owner").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("entity", "n").agg(F.array_sort(F.collect_list("owner")).alias("owners"))
+
+
+def slice_group_measures(members: DataFrame) -> DataFrame:
+    """members (group, slice, element) -> group, slices, total (elements over all slices), common (elements of every slice) and
+    overlap (the mean share of a slice that is common): by counts, so that no group is gathered in a row."""
+    x = members.select("group", "slice", "element").distinct()
+    sizes = x.groupBy("group", "slice").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("slices"), F.sum("n").alias("total"), F.avg(1 / F.col("n")).alias("mean"))
+    shared = x.groupBy("group", "element").agg(F.count(F.lit(1)).alias("k")).join(groups.select("group", "slices"), "group").filter("k = slices")
+    common = shared.groupBy("group").agg(F.count(F.lit(1)).alias("common"))
+    out = groups.join(common, "group", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    return out.select("group", "slices", "total", "common", (F.col("common") * F.col("mean")).alias("overlap"))

@@ -233,10 +233,10 @@ def severity_buckets(spark, d):
 def slice_metrics(spark, d):
     """Suppliers of a nation as slices of the list of parts."""
     li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
-    x = li.join(s, li["l_suppkey"] == s["s_suppkey"]).groupBy(F.col("s_nationkey").alias("nation"), "s_suppkey").agg(F.collect_set("l_partkey").alias("parts"))
-    m = sets.slice_measures(F.col("slices"), F.col("length"))
+    x = li.join(s, li["l_suppkey"] == s["s_suppkey"]).select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("slice"), F.col("l_partkey").alias("element"))
     length = table(spark, d, "part").agg(F.count(F.lit(1)).alias("length"))
-    return x.groupBy("nation").agg(F.collect_list("parts").alias("slices")).join(F.broadcast(length)).select("nation", *(r6(c).alias(k) for k, c in m.items()))
+    m = metrics.slice_group_measures(x).join(F.broadcast(length))
+    return m.select(F.col("group").alias("nation"), r6(F.col("common") / F.col("length")).alias("tightness"), r6(F.col("total") / F.col("slices") / F.col("length")).alias("coverage"), r6(F.col("overlap")).alias("overlap"))
 
 
 # --- envy
@@ -494,43 +494,51 @@ def leaves_by_level(spark, d):
     return graph.leaves_by_level(_hierarchy(spark, d), roots)
 
 
-def _busy(spark, d, times: float):
-    """Pairs of nations that trade `times` as much as a pair does on average."""
-    t = _trade(spark, d)
-    n = t.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    total = t.agg(F.count(F.lit(1)).alias("total"))
-    return n.join(F.broadcast(total)).filter(F.col("n") * 625 >= F.col("total") * times).filter("src <> dst").select("src", "dst")
+def _partners(spark, d):
+    """Pairs of nations that trade."""
+    return _trade(spark, d).filter("src <> dst").select("src", "dst").distinct()
 
 
-def _busy_sql(times: float) -> str:
-    return f"{_TRADE}, e AS (SELECT src, dst FROM trade WHERE src <> dst GROUP BY 1, 2 HAVING count(*) * 625 >= (SELECT count(*) FROM trade) * {times})"
+_PARTNERS = f"{_TRADE}, e AS (SELECT DISTINCT src, dst FROM trade WHERE src <> dst)"
 
 
-@query(f"WITH RECURSIVE {_busy_sql(1.98)}, t AS (SELECT [src, dst] AS path FROM e UNION ALL SELECT list_append(t.path, e.dst) FROM t JOIN e ON e.src = t.path[len(t.path)] WHERE len(t.path) < 4 AND NOT list_contains(t.path, e.dst)) SELECT array_to_string(path, '>') AS path, len(path)::INTEGER AS n FROM t")
+def _net(spark, d):
+    """Pairs of nations of which the first takes more from the second than it gives."""
+    n = _trade(spark, d).filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    back = n.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("n").alias("m"))
+    return n.join(back, ["src", "dst"], "left").filter("n > coalesce(m, 0)").select("src", "dst")
+
+
+_NET = f"{_TRADE}, n AS (SELECT src, dst, count(*) AS n FROM trade WHERE src <> dst GROUP BY 1, 2), e AS (SELECT n.src, n.dst FROM n LEFT JOIN n m ON m.src = n.dst AND m.dst = n.src WHERE n.n > coalesce(m.n, 0))"
+
+
+@query(f"WITH RECURSIVE {_PARTNERS}, t AS (SELECT [src, dst] AS path FROM e UNION ALL SELECT list_append(t.path, e.dst) FROM t JOIN e ON e.src = t.path[len(t.path)] WHERE len(t.path) < 4 AND NOT list_contains(t.path, e.dst)) SELECT array_to_string(path, '>') AS path, len(path)::INTEGER AS n FROM t")
 def call_paths(spark, d):
-    return graph.paths(_busy(spark, d, 1.98), 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.size("path").alias("n"))
+    return graph.paths(_partners(spark, d), 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.size("path").alias("n"))
 
 
-@query(f"WITH RECURSIVE {_busy_sql(1.98)}, t AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT t.src, e.dst, t.depth + 1 FROM t JOIN e ON e.src = t.dst WHERE t.depth < 3), u AS (SELECT DISTINCT s_nationkey AS member, p_brand AS field FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey) SELECT member, field FROM u UNION SELECT t.src, u.field FROM t JOIN u ON u.member = t.dst")
+@query(f"WITH RECURSIVE {_NET}, t AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT t.src, e.dst, t.depth + 1 FROM t JOIN e ON e.src = t.dst WHERE t.depth < 3), u AS (SELECT DISTINCT s_nationkey AS member, p_brand AS field FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey) SELECT member, field FROM u UNION SELECT t.src, u.field FROM t JOIN u ON u.member = t.dst")
 def transitive_uses(spark, d):
     li, s, p = table(spark, d, "lineitem"), table(spark, d, "supplier"), table(spark, d, "part")
     u = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("s_nationkey").alias("member"), F.col("p_brand").alias("field")).distinct()
-    return graph.transitive_uses(_busy(spark, d, 1.98), u, 3)
+    return graph.transitive_uses(_net(spark, d), u, 3)
 
 
-@query(f"WITH RECURSIVE {_busy_sql(1.45)}, t AS (SELECT src, dst FROM e UNION SELECT t.src, e.dst FROM t JOIN e ON e.src = t.dst) SELECT n_nationkey AS node, least(n_nationkey, coalesce((SELECT min(a.dst) FROM t a JOIN t b ON a.dst = b.src AND b.dst = a.src WHERE a.src = n_nationkey), n_nationkey)) AS component FROM nation")
+@query(f"WITH RECURSIVE {_NET}, t AS (SELECT src, dst FROM e UNION SELECT t.src, e.dst FROM t JOIN e ON e.src = t.dst) SELECT n_nationkey AS node, least(n_nationkey, coalesce((SELECT min(a.dst) FROM t a JOIN t b ON a.dst = b.src AND b.dst = a.src WHERE a.src = n_nationkey), n_nationkey)) AS component FROM nation")
 def scc_groups(spark, d):
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
-    return graph.strong_components(_busy(spark, d, 1.45), nodes)
+    return graph.strong_components(_net(spark, d), nodes)
 
 
 def _brand_links(spark, d):
+    """The brands that a supplier deals in most."""
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
-    n = li.join(p, li["l_partkey"] == p["p_partkey"]).groupBy("l_suppkey", "p_brand").agg(F.count(F.lit(1)).alias("n")).filter("n >= 38")
-    return n.select(F.col("p_brand").alias("candidate"), F.col("l_suppkey").cast("string").alias("entity"))
+    n = li.join(p, li["l_partkey"] == p["p_partkey"]).groupBy("l_suppkey", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    top = n.withColumn("top", F.max("n").over(W.partitionBy("l_suppkey"))).filter("n = top")
+    return top.select(F.col("p_brand").alias("candidate"), F.col("l_suppkey").cast("string").alias("entity"))
 
 
-@query("WITH RECURSIVE x AS (SELECT p_brand AS b, l_suppkey AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(*) >= 38), e AS (SELECT DISTINCT x.b AS a, y.b AS c FROM x JOIN x y ON x.s = y.s), t AS (SELECT a, c FROM e UNION SELECT t.a, e.c FROM t JOIN e ON e.a = t.c) SELECT a AS candidate, min(c) AS concept FROM t GROUP BY a")
+@query("WITH RECURSIVE n AS (SELECT p_brand AS b, l_suppkey AS s, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), x AS (SELECT b, s FROM (SELECT *, max(n) OVER (PARTITION BY s) AS top FROM n) WHERE n = top), e AS (SELECT DISTINCT x.b AS a, y.b AS c FROM x JOIN x y ON x.s = y.s), t AS (SELECT a, c FROM e UNION SELECT t.a, e.c FROM t JOIN e ON e.a = t.c) SELECT a AS candidate, min(c) AS concept FROM t GROUP BY a")
 def concept_components(spark, d):
     """Brands that some supplier deals in alike belong to one concept."""
     return cluster.concepts(_brand_links(spark, d))

@@ -1,7 +1,7 @@
 """Clone reports of five formats, read through Spark's own readers, so from any store.
 
 All give group_id, file, start_line, end_line (and offsets where the format has them). A record that can't be read is
-dropped and counted by `problems`; a report without a group is an error. Groups of one instance are left out.
+dropped; a report without a group is an error. Groups of one instance are left out.
 """
 
 from __future__ import annotations

@@ -63,7 +63,7 @@ def test_small_functions(spark):
     assert list(r) == ["a/b/c", 31, 2, "tampered", "original", "shifted", "BProduct2", "BProduct"]
     rows = [x["s"] for x in spark.range(8).select(names.severity(F.col("id")).alias("s")).collect()]
     assert rows == [1, 1, 2, 3, 3, 4, 4, 5]
-    r = one(spark, names.is_generated(arr("/* generated by ANTLR 2 */")), names.is_generated(arr("hand made")), names.is_well_known(F.lit("hashCode"), arr(), F.lit("int")), names.is_well_known(F.lit("hashCode"), arr("int"), F.lit("int")))
+    r = one(spark, names.is_generated(arr("/* Generated from x.g by ANTLR 2 */")), names.is_generated(arr("hand made")), names.is_well_known(F.lit("hashCode"), arr(), F.lit("int")), names.is_well_known(F.lit("hashCode"), arr("int"), F.lit("int")))
     assert list(r) == [True, False, True, False]
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import names
 from factloom.operators import candidates, clones, cluster, evolution, facts, flow, graph, joins, metrics
 
 
@@ -243,7 +244,7 @@ def test_access_map_takes_in_superclass(spark):
 def test_fact_predicates(spark):
     c = spark.createDataFrame([("A", "class", []), ("E", "enum", []), ("I", "interface", []), ("G", "class", ["generated by JFlex"])], "class string, kind string, comments array<string>")
     assert rows(facts.eligible_classes(c), "class") == [("A",)]
-    x = spark.range(1).select(facts.is_getter(F.lit("return"), F.array(), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), facts.is_setter(F.lit("assignment"), F.array(F.lit("p")), F.lit(0), F.lit(1), F.lit(0)), facts.is_collection_adder(F.array(F.lit("p")), F.lit(1), F.lit(1), F.lit("add"), F.lit("java.util.List<x.Y>")), facts.is_delegate(F.lit("return"), F.lit(1), F.lit("field")), facts.is_test(F.lit("junit.framework.TestCase"), F.array().cast("array<string>"))).collect()[0]
+    x = spark.range(1).select(facts.is_getter(F.lit("return"), F.array(), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), facts.is_setter(F.lit("assignment"), F.array(F.lit("p")), F.lit(0), F.lit(1), F.lit(0)), facts.is_collection_adder(F.array(F.lit("p")), F.lit(1), F.lit(1), F.lit("add"), F.lit("java.util.List<x.Y>"), F.lit(0), F.lit(1)), facts.is_delegate(F.lit("return"), F.lit(1), F.lit("field")), facts.is_test(F.lit("junit.framework.TestCase"), F.array().cast("array<string>"))).collect()[0]
     assert list(x) == [True] * 5
     fields = spark.createDataFrame([("A", "A::x", "java.util.List<E>"), ("A", "A::y", "int"), ("A", "A::z", "G")], "class string, member string, type string")
     assert rows(facts.associations(fields, c), "to_class", "is_container") == [("E", True), ("G", False)]
@@ -381,3 +382,32 @@ def test_more_graphs(spark):
     assert rows(flow.slice_criteria(st), "var", "node") == [("x", 2), ("x", 3), ("y", 3)]
     b = spark.createDataFrame([("g", "x", 2, 1), ("g", "x", 3, 1), ("g", "x", 3, 4), ("g", "y", 3, 4)], "g string, var string, node int, block int")
     assert rows(flow.common_boundaries(b), "var", "block") == [("x", 1), ("y", 4)]
+
+
+def test_generated_marks(spark):
+    marks = ["Generated By:JavaCC: Do not edit", "Generated By:JJTree", "Generated from X.g by ANTLR", "generated by JFlex 1", "generated by CUP v0", "created by jay 0.7"]
+    other = ["uses JavaCC", "generated by ANTLR", "Generated from X.g", "jay/yacc"]
+    df = spark.createDataFrame([(c, [c]) for c in marks + other], "c string, comments array<string>")
+    assert {r["c"] for r in df.filter(names.is_generated(F.col("comments"))).collect()} == set(marks)
+    assert "java.util.Stack" not in facts.COLLECTIONS
+
+
+def test_without_subsumed_by_hand(spark):
+    """Against all pairs, with wide and empty sets, ties and repeated elements."""
+    import random
+
+    r = random.Random(3)
+    for wide in (64, 3):
+        solutions = {k: [r.randint(0, 9) for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4, 7]))] for k in range(60)}
+        sets_ = {k: set(v) for k, v in solutions.items()}
+        want = {k for k, v in sets_.items() if not any(j != k and (v < w or (v == w and j < k)) for j, w in sets_.items())}
+        df = spark.createDataFrame(list(solutions.items()), "k long, e array<int>")
+        assert {x["k"] for x in clones.without_subsumed(df, "k", "e", wide).collect()} == want
+
+
+def test_slice_groups(spark):
+    """The two slices of the survey's hand-computed case, and a group whose slices share nothing."""
+    rows = [("g", 1, e) for e in (1, 2, 3)] + [("g", 2, e) for e in (2, 3, 4, 5)] + [("h", 1, 1), ("h", 2, 2), ("g", 1, 1)]
+    got = {x["group"]: x for x in metrics.slice_group_measures(spark.createDataFrame(rows, "group string, slice int, element int")).collect()}
+    assert (got["g"]["slices"], got["g"]["total"], got["g"]["common"]) == (2, 7, 2) and abs(got["g"]["overlap"] - (2 / 3 + 2 / 4) / 2) < 1e-9
+    assert got["h"]["common"] == 0 and got["h"]["overlap"] == 0
