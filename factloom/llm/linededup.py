@@ -95,7 +95,16 @@ def _streamed(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool
         return batch
 
     for b in batches:
-        for h1, h2, doc, th, pos, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        if not b.num_rows:
+            continue
+        # A run that begins and ends in this batch with fewer lines than min_docs keeps them all; only the others are looked at.
+        h = [c.to_numpy() for c in b.columns[:2]]
+        new = np.flatnonzero(np.concatenate([[True], (h[0][1:] != h[0][:-1]) | (h[1][1:] != h[1][:-1])]))
+        size = np.diff(np.append(new, b.num_rows))
+        some = size >= min_docs
+        some[[0, -1]] = True
+        rows = pa.array(np.flatnonzero(np.repeat(some, size)))
+        for h1, h2, doc, th, pos, n in zip(*(c.take(rows).to_pylist() for c in b.columns), strict=True):
             row, first = (doc, th, pos, n), False
             if (h1, h2) != key:
                 close(False)
@@ -170,7 +179,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with the lines that their bitmap keeps, and n_dropped; only texts that lose lines reach Python."""
     maps = bitmaps.select(F.col("doc").alias(f"{P}doc"), F.col("th").alias(f"{P}th"), F.col("keep").alias(f"{P}keep"), F.col("n_dropped").alias(f"{P}dropped"))
     left = docs.withColumn(f"{P}h", F.xxhash64(text_of()))
-    joined = left.join(maps.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(f"{P}doc")) & (F.col(f"{P}h") == F.col(f"{P}th")), "left")
+    joined = left.join(maps, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{P}doc")) & (F.col(f"{P}h") == F.col(f"{P}th")), "left")
     hit = F.col(f"{P}keep").isNotNull()
     new = F.when(hit, _kept(F.when(hit, text_of()), F.col(f"{P}keep"))).otherwise(F.col("text"))
     return joined.withColumns({"text": new, f"{P}dropped": F.coalesce(f"{P}dropped", F.lit(0))}).drop(f"{P}h", f"{P}doc", f"{P}th", f"{P}keep")
