@@ -112,7 +112,7 @@ class Model:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of toxic and other texts that hold each bucket, for this task."""
-    df = np.zeros((2, BUCKETS), np.uint16)
+    df = np.zeros((2, BUCKETS), np.uint32)
     n = [0, 0]
     for b in batches:
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -121,6 +121,26 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]]), pa.array([df.tobytes()], pa.binary())], names=["n0", "n1", "df"])
 
 
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All tasks' counts -> the texts of each class, the buckets kept and their log-count ratios."""
+    n, df = np.zeros(2), np.zeros((2, BUCKETS))
+    for b in batches:
+        for n0, n1, one in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n += (n0, n1)
+            df += np.frombuffer(one, np.uint32).reshape(2, BUCKETS)
+    if not n.all():
+        return
+    # As if both classes were equally large; 1 is the prior count.
+    p, q = df[1] / n[1] * n.max() + 1, df[0] / n[0] * n.max() + 1
+    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    r -= np.log(q.sum() / p.sum())
+    seen = df.sum(0)
+    worth = np.where(seen >= 3, np.abs(r) * np.sqrt(seen), 0)
+    buckets = np.sort(np.lexsort((np.arange(BUCKETS), -worth))[:FEATURES])
+    buckets = buckets[worth[buckets] > 0]
+    yield pa.RecordBatch.from_arrays([pa.array([int(n[0])]), pa.array([int(n[1])]), pa.array([buckets.tolist()], pa.list_(pa.int32())), pa.array([r[buckets].tolist()], pa.list_(pa.float64()))], names=["n0", "n1", "buckets", "ratios"])
+
+
 def _rows(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
     slot = Model(buckets=buckets).slot()
     for b in batches:
@@ -129,6 +149,14 @@ def _rows(batches: Iterator[pa.RecordBatch], buckets: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feats, pa.int32()))], names=["y", "id", "feats"])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch], share: tuple[float, float], ratios: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The features of the whole sample, at most 2 * SAMPLE texts of FEATURES each -> the weights and the intercept."""
+    got = sorted((y, i, f) for b in batches for y, i, f in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    y = np.asarray([x[0] for x in got], float)
+    weights, intercept = fit_logistic([np.asarray(x[2], np.int64) for x in got], y, np.where(y == 1, share[1], share[0]), ratios)
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64())), pa.array([intercept])], names=["weights", "intercept"])
+
+
 def fit_logistic(feats: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights of the scaled features, by gradient steps with Adam; the same result for the same rows."""
     lengths = np.asarray([len(f) for f in feats])
@@ -152,7 +180,8 @@ def fit_logistic(feats: list[np.ndarray], y: np.ndarray, weight: np.ndarray, sca
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 8) -> Model:
     """Fit on rows of labels (doc_id, toxic 0/1): at most `sample` of each class, by the hash of doc_id.
 
-    To the driver come the sample's bucket counts, of fixed size for each of four tasks, and its features.
+    One task adds up the bucket counts, of fixed size for each of four tasks, and one fits the sample's features; to the
+    driver come FEATURES numbers.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -164,24 +193,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     picked = F.broadcast(picked.withColumnRenamed("doc_id", f"{P}id"))  # 2 * sample ids at most
     base = docs.select("doc_id", text_of().alias("text"))
     rows = written(base.join(picked, base["doc_id"] == F.col(f"{P}id")).select("text", "y", F.col("doc_id").alias("id")), "sample")
-    parts = rows.coalesce(4).mapInArrow(_counts, "n0 long, n1 long, df binary").collect()
-    n = np.asarray([sum(r["n0"] for r in parts), sum(r["n1"] for r in parts)], float)
-    if not n.all():
+    counts = rows.coalesce(4).mapInArrow(_counts, "n0 long, n1 long, df binary")
+    chosen = counts.repartition(1).mapInArrow(_chosen, "n0 long, n1 long, buckets array<int>, ratios array<double>").head()
+    if chosen is None:
         return Model()
-    df = sum(np.frombuffer(r["df"], np.uint16).reshape(2, BUCKETS).astype(np.float64) for r in parts)
-    # As if both classes were equally large; 1 is the prior count.
-    p, q = df[1] / n[1] * n.max() + 1, df[0] / n[0] * n.max() + 1
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
-    r -= np.log(q.sum() / p.sum())
-    seen = df.sum(0)
-    worth = np.where(seen >= 3, np.abs(r) * np.sqrt(seen), 0)
-    buckets = np.sort(np.lexsort((np.arange(BUCKETS), -worth))[:FEATURES])
-    buckets = buckets[worth[buckets] > 0].astype(np.uint32)
-    got = sorted(rows.mapInArrow(lambda it: _rows(it, buckets), "y int, id long, feats array<int>").collect(), key=lambda x: (x["id"], x["y"], x["feats"]))
-    y = np.asarray([x["y"] for x in got], float)
-    weight = np.where(y == 1, shares[1] / n[1], shares[0] / n[0])
-    weights, intercept = fit_logistic([np.asarray(x["feats"], np.int64) for x in got], y, weight, r[buckets])
-    return Model(buckets, weights.astype(np.float32), intercept)
+    buckets, ratios = np.asarray(chosen["buckets"], np.uint32), np.asarray(chosen["ratios"], float)
+    share = (shares[0] / chosen["n0"], shares[1] / chosen["n1"])
+    featured = rows.mapInArrow(lambda it: _rows(it, buckets), "y int, id long, feats array<int>")
+    fitted = featured.repartition(1).mapInArrow(lambda it: _fitted(it, share, ratios), "weights array<double>, intercept double").head()
+    return Model(buckets, np.asarray(fitted["weights"], np.float32), fitted["intercept"])
 
 
 def score(text: Column, model: Model) -> Column:
