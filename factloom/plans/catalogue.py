@@ -589,8 +589,11 @@ def incremental_upsert(spark, d):
 
 
 def queries() -> dict:
+    from . import rule_queries  # noqa: F401  (registers its queries here)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
