@@ -66,16 +66,42 @@ def clone_type(gaps: Column, differences: Column, kinds_beyond_names: Column) ->
     return F.when(gaps.isNull() | differences.isNull(), "unknown").when((gaps > 0) | (kinds_beyond_names > 0), "type 3").when(differences > 0, "type 2").otherwise("type 1")
 
 
-def refactoring_type(same_method: Column, same_class: Column, common_superclass: Column, superclass_in_system: Column, subtypes_of_parent: Column, external_superclass: Column) -> Column:
-    """Where the common code can go, by the place of the two fragments. Columns are booleans, subtypes_of_parent a count."""
-    return (
-        F.when(same_method | same_class, "extract local method")
-        .when(common_superclass & superclass_in_system & (subtypes_of_parent == 2), "pull up to common superclass, template method")
-        .when(common_superclass & superclass_in_system, "pull up to common superclass")
-        .when(common_superclass & external_superclass, "pull up to new intermediate superclass extending common external superclass")
-        .when(common_superclass, "pull up to new intermediate superclass extending common internal superclass")
-        .otherwise("extract static method to new utility class")
-    )
+#: Where the common code of two fragments can go.
+OUTCOMES = (
+    "EXTRACT_LOCAL_METHOD", "PULL_UP_TO_EXISTING_SUPERCLASS", "PULL_UP_TO_NEW_INTERMEDIATE_SUPERCLASS_EXTENDING_COMMON_INTERNAL_SUPERCLASS",
+    "PULL_UP_TO_NEW_INTERMEDIATE_SUPERCLASS_IMPLEMENTING_COMMON_INTERNAL_INTERFACE", "PULL_UP_TO_NEW_SUPERCLASS_EXTENDING_COMMON_EXTERNAL_SUPERCLASS",
+    "PULL_UP_TO_NEW_SUPERCLASS_IMPLEMENTING_COMMON_EXTERNAL_INTERFACE", "PULL_UP_TO_NEW_SUPERCLASS_EXTENDING_OBJECT", "EXTRACT_STATIC_METHOD_TO_NEW_UTILITY_CLASS", "INFEASIBLE",
+)
+
+
+def refactoring_type(pairs: DataFrame) -> DataFrame:
+    """pairs with `outcome`, one of OUTCOMES.
+
+    Columns: class_a, class_b, super_a, super_b (direct superclasses), supertype (common, or null), supertype_kind (class or
+    interface), is_internal (the supertype belongs to the system), is_tagging (an interface without members), subtypes (all
+    subtypes of the supertype), is_leaf (neither class has subtypes), uses_members (fragments use instance fields or methods),
+    signatures_match (all methods they call match), is_static (either method is static), is_mapped (something else than
+    predicates without their statements), is_anonymous (either class is). Null flags count as false.
+    """
+    flag = lambda n: F.coalesce(F.col(n), F.lit(False))
+    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    kind, internal = F.col("supertype_kind"), flag("is_internal")
+    is_class, is_interface = kind == "class", kind == "interface"
+    root = F.col("supertype") == "java.lang.Object"
+    below = same("super_a", "supertype") & same("super_b", "supertype")
+    rooted = F.coalesce(F.col("super_a") == "java.lang.Object", F.lit(False)) & F.coalesce(F.col("super_b") == "java.lang.Object", F.lit(False))
+    alone = ~root & (F.size("subtypes") == 2) & F.array_contains("subtypes", F.col("class_a")) & F.array_contains("subtypes", F.col("class_b")) & flag("is_leaf")
+    one_of_both = same("class_a", "supertype") | same("class_b", "supertype")
+    pull_up = internal & is_class & (~flag("uses_members") | F.coalesce(alone, F.lit(False)) | one_of_both | ~below)
+    utility = ~flag("uses_members") & (is_interface | flag("is_static"))
+    stuck = (is_interface & (~rooted | (flag("is_tagging") & ~flag("signatures_match")))) | (is_class & ~below)
+    local, existing, inner_class, inner_interface, outer_class, outer_interface, new_root, static, infeasible = (F.lit(o) for o in OUTCOMES)
+    outcome = (
+        F.when(~flag("is_mapped") | flag("is_anonymous"), infeasible).when(same("class_a", "class_b"), local).when(F.col("supertype").isNull(), infeasible)
+        .when(pull_up, existing).when(utility, static).when(stuck, infeasible).when(internal & is_class, inner_class).when(internal & is_interface, inner_interface)
+        .when(~internal & is_class & ~root, outer_class).when(~internal & is_interface, outer_interface).otherwise(new_root)
+    )
+    return pairs.withColumn("outcome", outcome)
 
 
 def common_supertype(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -319,9 +319,6 @@ def test_similar_sets(spark):
 def test_types_and_mappings(spark):
     t = spark.range(1).select(clones.clone_type(F.lit(0), F.lit(0), F.lit(0)), clones.clone_type(F.lit(0), F.lit(2), F.lit(0)), clones.clone_type(F.lit(1), F.lit(0), F.lit(0)), clones.clone_type(F.lit(None), F.lit(0), F.lit(0))).collect()[0]
     assert list(t) == ["type 1", "type 2", "type 3", "unknown"]
-    f, y = F.lit(False), F.lit(True)
-    r = spark.range(1).select(clones.refactoring_type(y, f, f, f, F.lit(0), f), clones.refactoring_type(f, f, y, y, F.lit(2), f), clones.refactoring_type(f, f, f, f, F.lit(0), f)).collect()[0]
-    assert r[0] == "extract local method" and "template" in r[1] and "utility" in r[2]
     one = [(1, 2, "data"), (2, 3, "data"), (1, 3, "control")]
     assert clones.map_graphs(one, [(x + 10, z + 10, k) for x, z, k in one], {1: "a", 2: "b", 3: "c"}, {11: "a", 12: "b", 13: "c"}) == ([(1, 11), (2, 12), (3, 13)], True)
     assert len(clones.map_graphs(one, [(11, 12, "data")], {1: "a", 2: "b", 3: "c"}, {11: "a", 12: "b"})[0]) == 2
@@ -411,3 +408,19 @@ def test_slice_groups(spark):
     got = {x["group"]: x for x in metrics.slice_group_measures(spark.createDataFrame(rows, "group string, slice int, element int")).collect()}
     assert (got["g"]["slices"], got["g"]["total"], got["g"]["common"]) == (2, 7, 2) and abs(got["g"]["overlap"] - (2 / 3 + 2 / 4) / 2) < 1e-9
     assert got["h"]["common"] == 0 and got["h"]["overlap"] == 0
+
+
+def test_refactoring_outcomes(spark):
+    base = {"class_a": "A", "class_b": "B", "super_a": "S", "super_b": "S", "supertype": "S", "supertype_kind": "class", "is_internal": True, "is_tagging": False, "subtypes": ["A", "B", "C"], "is_leaf": True, "uses_members": True, "signatures_match": True, "is_static": False, "is_mapped": True, "is_anonymous": False}
+    o = "java.lang.Object"
+    roots, face = {"super_a": o, "super_b": o}, {"supertype": "I", "supertype_kind": "interface"}
+    cases = [
+        ({"class_b": "A"}, 0), ({"uses_members": False}, 1), ({"subtypes": ["A", "B"]}, 1), ({"subtypes": ["A", "B"], "is_leaf": False}, 2), ({"class_a": "S", "super_a": "R"}, 1), ({"super_a": "M"}, 1), ({}, 2),
+        ({**roots, **face}, 3), ({"is_internal": False}, 4), ({**roots, **face, "is_internal": False}, 5), ({**roots, "supertype": o, "is_internal": False}, 6), ({**face, "uses_members": False}, 7),
+        ({"is_internal": False, "uses_members": False, "is_static": True}, 7), ({"is_internal": False, "super_b": "M"}, 8), (face, 8), ({**roots, **face, "is_tagging": True, "signatures_match": False}, 8),
+        ({**roots, **face, "signatures_match": False}, 3), ({"supertype": None}, 8), ({"is_mapped": False, "class_b": "A"}, 8), ({"is_anonymous": True}, 8), ({"supertype": None, "class_b": "A"}, 0),
+    ]
+    schema = "i int, class_a string, class_b string, super_a string, super_b string, supertype string, supertype_kind string, is_internal boolean, is_tagging boolean, subtypes array<string>, is_leaf boolean, uses_members boolean, signatures_match boolean, is_static boolean, is_mapped boolean, is_anonymous boolean"
+    df = spark.createDataFrame([(i, *{**base, **c}.values()) for i, (c, _) in enumerate(cases)], schema)
+    got = {r["i"]: r["outcome"] for r in clones.refactoring_type(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [clones.OUTCOMES[k] for _, k in cases]
