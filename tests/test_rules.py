@@ -1,6 +1,5 @@
 """The detectors' rules on cases in which each rule alone stands against a candidate."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import rules
@@ -50,31 +49,41 @@ def test_extract_class(spark):
 NODES = "method string, node int, kind string, loop int, declares array<string>, closes array<string>, creates array<string>, touches array<string>, defines array<struct<name:string,is_field:boolean,composite:boolean>>"
 
 
-@pytest.mark.parametrize(
-    ("rule", "changes"),
-    [
-        (None, {}), ("whole_body", {"size": 4}), ("lone_criterion", {"members": {1, 2}}), ("declaration_duplicated", {"kept": {1}}), ("variable_returned", {"returned": [("m", "v")]}),
-        ("criteria_alone", {"criteria": {1, 2, 3, 4}}), ("criteria_duplicated", {"kept": {2}}), ("exit_depends", {"edges": [(4, 7, "control", None), (7, 9, "control", None)]}), ("holds_exit", {"kind": {4: "exit"}}),
-        ("duplicated_state_change", {"kept": {4}, "defines": {4: [("f", True, False)]}}), ("anti_dependence", {"edges": [(8, 3, "anti", "a")]}), ("output_dependence", {"edges": [(8, 3, "output", "a")]}),
-        ("duplicated_creation", {"kept": {4}, "creates": {4: ["o"]}, "touches": {2: ["o"]}, "edges": [(4, 2, "data", "o")]}), ("over_thresholds", {"size": 3}), ("branch_without_loop", {"kind": {4: "break"}, "loop": {4: 6}}),
-        ("criterion_closed", {"kind": {4: "try"}, "closes": {4: ["v"]}}), ("declaration_closed", {"kind": {4: "try"}, "closes": {4: ["u"]}, "declares": {3: ["u"]}}),
-        ("none: data feeds the anti-dependent node", {"edges": [(8, 3, "anti", "a"), (7, 8, "data", "a")]}), ("none: out of the region", {"edges": [(6, 3, "output", "a")]}), ("none: loop inside", {"kind": {4: "break"}, "loop": {4: 3}}),
-    ],
-)
-def test_slice(spark, rule, changes):
-    get = lambda k, n, other: changes.get(k, {}).get(n, other)
-    declares = {1: ["v"], **changes.get("declares", {})}
-    nodes = spark.createDataFrame([("m", n, get("kind", n, "exit" if n == 9 else "statement"), get("loop", n, None), declares.get(n, []), get("closes", n, []), get("creates", n, []), get("touches", n, []), get("defines", n, [])) for n in range(1, 10)], NODES)
-    kept, criteria = changes.get("kept", set()), changes.get("criteria", {2})
-    members = spark.createDataFrame([(1, n, n in criteria, n not in kept, n in kept) for n in changes.get("members", {1, 2, 3, 4})], "slice int, node int, criterion boolean, removable boolean, indispensable boolean")
-    region = spark.createDataFrame([(1, n) for n in (1, 2, 3, 4, 7, 8)], "slice int, node int")
-    edges = spark.createDataFrame([("m", *e) for e in changes.get("edges", [])], "method string, src int, dst int, dep string, variable string")
-    slices = spark.createDataFrame([(1, "m", "v", changes.get("size", 9))], "slice int, method string, variable string, method_size int")
-    r = rules.slice_rules(slices, members, nodes, edges, region, spark.createDataFrame(changes.get("returned", []), "method string, variable string")).collect()
-    want = set() if rule is None or rule.startswith("none") else {rule}
-    also = {"criteria_alone": set(), "holds_exit": {"exit_depends"}, "criterion_closed": {"declaration_closed"}}
-    assert len(r) == 1 and broken(r[0], rules.SLICE) == want | also.get(rule, set())
-    assert r[0]["applicable"] == (not want)
+SLICES = [
+    (None, {}), ("whole_body", {"size": 4}), ("lone_criterion", {"members": {1, 2}}), ("declaration_duplicated", {"kept": {1}}), ("variable_returned", {"returned": ["v"]}),
+    ("criteria_alone", {"criteria": {1, 2, 3, 4}}), ("criteria_duplicated", {"kept": {2}}), ("exit_depends", {"edges": [(4, 7, "control", None), (7, 9, "control", None)]}), ("holds_exit", {"kind": {4: "exit"}}),
+    ("duplicated_state_change", {"kept": {4}, "defines": {4: [("f", True, False)]}}), ("anti_dependence", {"edges": [(8, 3, "anti", "a")]}), ("output_dependence", {"edges": [(8, 3, "output", "a")]}),
+    ("duplicated_creation", {"kept": {4}, "creates": {4: ["o"]}, "touches": {2: ["o"]}, "edges": [(4, 2, "data", "o")]}), ("over_thresholds", {"size": 3}), ("branch_without_loop", {"kind": {4: "break"}, "loop": {4: 6}}),
+    ("criterion_closed", {"kind": {4: "try"}, "closes": {4: ["v"]}}), ("declaration_closed", {"kind": {4: "try"}, "closes": {4: ["u"]}, "declares": {3: ["u"]}}),
+    ("none: data feeds the anti-dependent node", {"edges": [(8, 3, "anti", "a"), (7, 8, "data", "a")]}), ("none: out of the region", {"edges": [(6, 3, "output", "a")]}), ("none: loop inside", {"kind": {4: "break"}, "loop": {4: 3}}),
+]
+
+
+def test_slice(spark):
+    """Each case is a method of nine nodes with one slice."""
+    nodes, members, region, edges, slices, returned = ([] for _ in range(6))
+    for i, (_, changes) in enumerate(SLICES):
+        get = lambda k, n, other, changes=changes: changes.get(k, {}).get(n, other)
+        m, declares = f"m{i}", {1: ["v"], **changes.get("declares", {})}
+        nodes += [(m, n, get("kind", n, "exit" if n == 9 else "statement"), get("loop", n, None), declares.get(n, []), get("closes", n, []), get("creates", n, []), get("touches", n, []), get("defines", n, [])) for n in range(1, 10)]
+        kept, criteria = changes.get("kept", set()), changes.get("criteria", {2})
+        members += [(i, n, n in criteria, n not in kept, n in kept) for n in changes.get("members", {1, 2, 3, 4})]
+        region += [(i, n) for n in (1, 2, 3, 4, 7, 8)]
+        edges += [(m, *e) for e in changes.get("edges", [])]
+        slices.append((i, m, "v", changes.get("size", 9)))
+        returned += [(m, v) for v in changes.get("returned", [])]
+    df = spark.createDataFrame
+    out = rules.slice_rules(
+        df(slices, "slice int, method string, variable string, method_size int"), df(members, "slice int, node int, criterion boolean, removable boolean, indispensable boolean"), df(nodes, NODES),
+        df(edges, "method string, src int, dst int, dep string, variable string"), df(region, "slice int, node int"), df(returned, "method string, variable string"),
+    )
+    got = {r["slice"]: r for r in out.collect()}
+    also = {"holds_exit": {"exit_depends"}, "criterion_closed": {"declaration_closed"}}
+    assert len(got) == len(SLICES)
+    for i, (rule, _) in enumerate(SLICES):
+        want = set() if rule is None or rule.startswith("none") else {rule}
+        assert broken(got[i], rules.SLICE) == want | also.get(rule, set()), rule
+        assert got[i]["applicable"] == (not want), rule
 
 
 def test_small_rules(spark):
