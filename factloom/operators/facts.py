@@ -131,12 +131,6 @@ def private_helpers(accesses: DataFrame, members: DataFrame) -> DataFrame:
     return callers.join(private, "helper", "left_semi").join(touching, "helper", "left_anti").select("method", "helper")
 
 
-#: The conjuncts of a movable method; each is a boolean column of the candidates.
-MOVABLE = ("target_is_class", "not_in_target", "not_constructor", "not_abstract", "not_overriding", "not_synchronized", "target_reachable", "no_super_call", "no_field_write", "no_this_argument", "no_null_check", "not_one_to_many", "no_enclosing_access")
-#: The conjuncts of an extractable class, over its candidates.
-EXTRACTABLE = ("size_over_2", "has_method", "no_abstract", "no_super_call", "no_overriding", "no_synchronized", "no_enclosing_access", "no_public_field_used_outside", "all_fields_accessed", "rest_has_method", "rest_has_field")
-
-
 def passes(names: tuple[str, ...]) -> Column:
     out = F.lit(True)
     for n in names:
