@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asof, decontaminate, jaccard, licenses, linededup, passages, pieces, pii, quality, tokenbin, toxicity
+from . import asof, decontaminate, jaccard, lexical, licenses, linededup, passages, pieces, pii, quality, tokenbin, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op10_pii": pii.op10_pii,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op11_asof": asof.op11_asof,
+        "op12_lexical": lexical.op12_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": jaccard.OP4_SQL, "op5_quality": quality.OP5_SQL, "op9_line_dedup": linededup.OP9_SQL, "op11_asof": asof.OP11_SQL}
+    return {"op4_jaccard_join": jaccard.OP4_SQL, "op5_quality": quality.OP5_SQL, "op9_line_dedup": linededup.OP9_SQL, "op11_asof": asof.OP11_SQL, "op12_lexical": lexical.OP12_SQL}
