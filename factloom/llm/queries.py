@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asof, decontaminate, jaccard, lexical, licenses, linededup, passages, pieces, pii, quality, tokenbin, toxicity
+from . import asof, decontaminate, jaccard, lexical, licenses, linededup, packing, passages, pieces, pii, quality, tokenbin, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_line_dedup": linededup.op9_line_dedup,
         "op11_asof": asof.op11_asof,
         "op12_lexical": lexical.op12_lexical,
+        "op13_packing": packing.op13_packing,
     }
 
 

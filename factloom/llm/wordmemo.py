@@ -109,3 +109,70 @@ class ByteBpe:
             self.memo.turn()
             inner.turn()
         return out
+
+
+#: What Python's split takes for white space and Unicode doesn't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Fixed value: the splitting rule of the tokenizers with word ends, over one word in lower case.
+WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def byte_stands() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies, asked of the library."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    plain, out = ByteLevel(add_prefix_space=False, use_regex=False), {}
+    for i in range(256):
+        for byte, char in zip(chr(i).encode(), plain.pre_tokenize_str(chr(i))[0][0], strict=True):
+            out[byte] = char
+    return out
+
+
+class WordBpe:
+    """A BPE with word ends of the tokenizers library that drops white space: ids of whole texts as little-endian u32 bytes.
+
+    Such a tokenizer gives a text the ids of its words, one after another, so words are looked up in a memo. A new word is
+    split into pieces by the tokenizer's rule, and these are looked up again; only a new piece meets the library's merges.
+    Words with characters beyond LAST_LATIN, or with the one letter below that has a longer lower case, are encoded by the
+    library, and so is a whole text with a special token's string or an ASCII separator.
+    """
+
+    #: Characters split at a time.
+    PART = 1 << 22
+
+    def __init__(self, path: str, most: int = 120 << 20):
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        rule = str(self.lib.pre_tokenizer)
+        if not self.lib.model.end_of_word_suffix or "behavior=Removed" not in rule or "add_prefix_space=False" not in rule:
+            raise ValueError("a byte-level tokenizer that ends words and drops white space is needed")
+        self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.stands = byte_stands()
+        self.inner = Memo(self._piece, most // 4)
+        self.memo = Memo(self._word, most * 3 // 4)
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.stands)
+        return array("I", [t.id for t in self.lib.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if max(word) > LAST_LATIN or "\u0130" in word:
+            return self.whole(word)
+        return b"".join(map(self.inner.__getitem__, WORD_PIECES.findall(word.lower())))
+
+    def __call__(self, text: str) -> bytes:
+        if SEPARATORS.search(text) or any(s in text for s in self.specials):
+            return self.whole(text)
+        get, out, at = self.memo.__getitem__, [], 0
+        while at == 0 or at < len(text):
+            cut = text.find(" ", at + self.PART) if len(text) - at > self.PART else -1
+            end = cut if cut >= 0 else len(text)
+            out.append(b"".join(map(get, (text if end - at == len(text) else text[at:end]).split())))
+            self.memo.turn()
+            self.inner.turn()
+            at = max(end, 1)
+        return b"".join(out)
