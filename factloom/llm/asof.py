@@ -94,12 +94,14 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     best = F.max(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(ties)), F.struct(*take).alias("v")))
     right_rows = written(there.groupBy(F.col(key).alias(K), F.col(right_time).alias(M)).agg(best.alias("best"), F.count(F.lit(1)).alias("n")).select(K, M, "best.v", "n"), "right")
     times = written(left.filter(F.col(key).isNotNull() & F.col(left_time).isNotNull()).select(F.col(key).alias(K), F.col(left_time).alias(T)).distinct(), "left")
-    found = match_times(times, right_rows.select(K, F.col(M).alias(T)), tolerance).withColumnRenamed(K, f"{P}k2")
-    # A match that many left rows share is a hot key of the left side alone, which adaptive execution splits.
-    with_time = left.join(found.hint("merge"), (F.col(key) == F.col(f"{P}k2")) & (F.col(left_time) == F.col(T)), "left").drop(f"{P}k2", T).withColumnRenamed(M, f"{P}mt")
-    whole = with_time.join(right_rows.hint("merge"), (F.col(key) == F.col(K)) & (F.col(f"{P}mt") == F.col(M)), "left")
-    match = F.when(F.col(M).isNotNull(), F.struct(F.col(M).alias("time"), *(F.col("v")[c].alias(c) for c in take), F.col("n").alias("n_tied")))
-    return whole.select(*(F.col(f"`{c}`") for c in left.columns), match.alias(out))
+    found = match_times(times, right_rows.select(K, F.col(M).alias(T)), tolerance)
+    # Left's own columns travel as one struct. A match that many left rows share is a hot key of that side alone, which
+    # adaptive execution splits.
+    rows = left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row"), F.col(key).alias(K), F.col(left_time).alias(T))
+    timed = rows.join(found.hint("merge"), [K, T], "left")
+    whole = timed.join(right_rows.hint("merge"), [K, M], "left")
+    match = F.when(F.col("n").isNotNull(), F.struct(F.col(M).alias("time"), *(F.col("v")[c].alias(c) for c in take), F.col("n").alias("n_tied")))
+    return whole.select("row.*", match.alias(out))
 
 
 def digits_crc(c: str) -> Column:
