@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Callable
 
@@ -113,8 +114,16 @@ class ByteBpe:
 
 #: What Python's split takes for white space and Unicode doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Fixed value: the splitting rule of the tokenizers with word ends, over one word in lower case.
-WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Those, what lies beyond LAST_LATIN, and the one letter below whose lower case is longer.
+ODD = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
+
+
+def latin_pieces() -> re.Pattern:
+    """The splitting rule of the tokenizers with word ends, over lower-case text with no character beyond LAST_LATIN."""
+    of = lambda kind: "".join(re.escape(c) for c in map(chr, range(ord(LAST_LATIN) + 1)) if unicodedata.category(c)[0] == kind)
+    letters, numbers = of("L"), of("N")
+    # Fixed value: the endings that the rule splits off.
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
 
 
 def byte_stands() -> dict[int, str]:
@@ -131,10 +140,9 @@ def byte_stands() -> dict[int, str]:
 class WordBpe:
     """A BPE with word ends of the tokenizers library that drops white space: ids of whole texts as little-endian u32 bytes.
 
-    Such a tokenizer gives a text the ids of its words, one after another, so words are looked up in a memo. A new word is
-    split into pieces by the tokenizer's rule, and these are looked up again; only a new piece meets the library's merges.
-    Words with characters beyond LAST_LATIN, or with the one letter below that has a longer lower case, are encoded by the
-    library, and so is a whole text with a special token's string or an ASCII separator.
+    Such a tokenizer gives a text the ids of its words, one after another. A text without characters beyond LAST_LATIN is split
+    into pieces by the tokenizer's rule, and only a new piece meets the library's merges. Other texts are split at white space
+    and their new words are encoded by the library, as is all of a text with a special token's string or an ASCII separator.
     """
 
     #: Characters split at a time.
@@ -149,8 +157,8 @@ class WordBpe:
             raise ValueError("a byte-level tokenizer that ends words and drops white space is needed")
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.stands = byte_stands()
-        self.inner = Memo(self._piece, most // 4)
-        self.memo = Memo(self._word, most * 3 // 4)
+        self.pieces = latin_pieces().findall
+        self.memo, self.words = Memo(self._piece, most), Memo(self.whole, most // 4)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -159,20 +167,20 @@ class WordBpe:
         shown = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.stands)
         return array("I", [t.id for t in self.lib.model.tokenize(shown)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if max(word) > LAST_LATIN or "\u0130" in word:
-            return self.whole(word)
-        return b"".join(map(self.inner.__getitem__, WORD_PIECES.findall(word.lower())))
-
     def __call__(self, text: str) -> bytes:
-        if SEPARATORS.search(text) or any(s in text for s in self.specials):
+        if any(s in text for s in self.specials):
             return self.whole(text)
-        get, out, at = self.memo.__getitem__, [], 0
-        while at == 0 or at < len(text):
-            cut = text.find(" ", at + self.PART) if len(text) - at > self.PART else -1
-            end = cut if cut >= 0 else len(text)
-            out.append(b"".join(map(get, (text if end - at == len(text) else text[at:end]).split())))
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + self.PART) if len(text) - at > self.PART else -1
+            part = text[at : end if end >= 0 else len(text)]
+            if not ODD.search(part):
+                out.append(b"".join(map(self.memo.__getitem__, self.pieces(part.lower()))))
+            elif SEPARATORS.search(part):
+                out.append(self.whole(part))
+            else:
+                out.append(b"".join(map(self.words.__getitem__, part.split())))
             self.memo.turn()
-            self.inner.turn()
-            at = max(end, 1)
+            self.words.turn()
+            at += len(part)
         return b"".join(out)
