@@ -8,18 +8,35 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables of rounds: the session's own checkpoint folder, else the one that spark.checkpoint.dir names.
+
+    Only a local session without either (tests, a laptop) takes a temporary folder.
+    """
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "factloom-rounds")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df without its lineage."""
+    """df as a table in the shared folder, read again: without its lineage, and computed once.
+
+    A table, unlike a checkpoint, also drops what the planner knows of the rows, which grows from round to round.
+    """
     spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "factloom-checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/rounds-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, seed: DataFrame | None = None, most: int | None = None) -> DataFrame:

@@ -589,7 +589,7 @@ def incremental_upsert(spark, d):
 
 
 def queries() -> dict:
-    from . import rule_queries  # noqa: F401  (registers its queries here)
+    from . import rule_queries, tree_queries  # noqa: F401  (they register their queries here)
 
     return dict(QUERIES)
 

@@ -36,6 +36,8 @@ def test_query_equals_sql(spark, small, duck, name):
 
 #: Queries that need a kernel in Python.
 KERNELS = {"token_edit_distance", "stemmed_topics", "hier_clusters"}
+#: Queries whose rounds SQL has no form for; tests hold their operators against brute force.
+ROUNDS = {"tree_matches", "mapped_statements"}
 
 
 @pytest.mark.parametrize("name", ["jaccard_supplier_pairs", "lcom2_by_class", "envy_candidates", "near_clone_pairs", "subclone_groups", "interval_innermost", "reaching_defs", "access_map"])
@@ -50,6 +52,6 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     missing = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert missing == KERNELS
-    for name in KERNELS:
+    assert missing == KERNELS | ROUNDS
+    for name in missing:
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0
