@@ -105,3 +105,49 @@ def rank_slices(groups: DataFrame) -> DataFrame:
     none = F.col("avg_ratio") == 0
     order = ["avg_ratio", F.when(none, 0).otherwise(F.col("avg_duplicated")), F.desc(F.when(none, F.col("max_extracted")).otherwise(0)), F.desc("avg_extracted"), "name"]
     return groups.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+
+
+def detected_move_methods(accesses: DataFrame, judged: DataFrame, ancestors: DataFrame | None = None, bound: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
+    """The whole detector: `judged` (method, target, applicable: from rules.move_method_rules) decides which targets count while
+    they are tried, and what is found is ranked. accesses as in move_methods, entities being methods."""
+    fit = judged.filter("applicable").select(F.col("method").alias("entity"), "target").distinct()
+    return ranked(move_methods(accesses, fit, ancestors, bound, t))
+
+
+def detected_extract_classes(parts: DataFrame, accesses: DataFrame, homes: DataFrame, judged: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """class, candidate, size, source_deps, extracted_deps, best, rank of applicable candidates, ranked within the system.
+
+    parts: class, candidate, entity, kind. accesses: src, dst. homes: class, entity (all of a class). judged: candidate,
+    applicable (from rules.extract_class_rules). Dependencies are distinct entities of the class that the candidate's methods
+    use, outside and inside the candidate; few outside, and fewer than inside, are asked for. Candidates go by most inside, then
+    fewest outside; `best` is the position of a class by its best candidate, then its name.
+    """
+    x = parts.join(judged.filter("applicable").select("candidate"), "candidate", "left_semi").select("class", "candidate", "entity", "kind").distinct()
+    used = x.filter("kind = 'method'").select("class", "candidate", F.col("entity").alias("src")).join(accesses.select("src", "dst").distinct(), "src").select("class", "candidate", F.col("dst").alias("entity")).distinct()
+    used = used.join(homes.select("class", "entity").distinct(), ["class", "entity"], "left_semi").join(x.select("candidate", "entity", F.lit(True).alias("own")), ["candidate", "entity"], "left")
+    deps = used.groupBy("candidate").agg(F.count_if(F.col("own").isNull()).alias("source_deps"), F.count_if("own").alias("extracted_deps"))
+    size = x.groupBy("class", "candidate").agg(F.count(F.lit(1)).alias("size"))
+    good = size.join(deps, "candidate").filter((F.col("source_deps") <= t.extract_class_source) & (F.col("source_deps") < F.col("extracted_deps")))
+    order = [F.desc("extracted_deps"), "source_deps"]
+    top = good.withColumn("rn", F.row_number().over(W.partitionBy("class").orderBy(*order, "candidate"))).filter("rn = 1")
+    best = top.select("class", F.row_number().over(W.orderBy(*order, "class")).alias("best"))
+    return good.join(best, "class").withColumn("rank", F.row_number().over(W.orderBy(*order, "candidate")))
+
+
+def rank_clusters(clusters: DataFrame) -> DataFrame:
+    """clusters (class, cluster, size) with their rank in the class: the largest first, then by number."""
+    return clusters.withColumn("rank", F.row_number().over(W.partitionBy("class").orderBy(F.desc("size"), "cluster")))
+
+
+def rank_checks(checks: DataFrame) -> DataFrame:
+    """checks (group, class, candidate, statements: an average) with their rank in the group: those of classes with most checks
+    of the group first, then by most statements, then by candidate."""
+    n = F.count(F.lit(1)).over(W.partitionBy("group", "class"))
+    x = checks.withColumn("class_size", n)
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("group").orderBy(F.desc("class_size"), F.desc("statements"), "candidate")))
+
+
+def static_field_groups(members: DataFrame) -> DataFrame:
+    """n, classes: classes (sorted) by their number of static fields; members: class, kind, is_static. Those without count as 0."""
+    n = members.groupBy("class").agg(F.count_if((F.col("kind") == "field") & F.col("is_static")).alias("n"))
+    return n.groupBy("n").agg(F.array_sort(F.collect_list("class")).alias("classes"))

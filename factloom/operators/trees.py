@@ -222,3 +222,9 @@ def map_levels(matches: DataFrame, statements: DataFrame) -> DataFrame:
             mapped = taken if mapped is None else mapped.unionByName(taken)
     out = mapped if mapped is not None else cand.select(*spot, "level", "s1", "s2", "differs")
     return out.select(*spot, F.col("s1").alias("a"), F.col("s2").alias("b"), "level", "differs")
+
+
+def rank_matches(matches: DataFrame) -> DataFrame:
+    """pair, solution, size, rank: solutions of a pair by the nodes that they map, most first, then by number."""
+    n = matches.groupBy("pair", "solution").agg(F.count(F.lit(1)).alias("size"))
+    return n.withColumn("rank", F.row_number().over(W.partitionBy("pair").orderBy(F.desc("size"), "solution")))

@@ -90,6 +90,13 @@ def tree_matches(spark, d):
     return trees.bottom_up(_neighbours(shapes), shapes)
 
 
+@query()
+def ranked_tree_matches(spark, d):
+    """Those matches by size."""
+    shapes = _shapes(spark, d)
+    return trees.rank_matches(trees.bottom_up(_neighbours(shapes), shapes))
+
+
 @query()
 def mapped_statements(spark, d):
     """Plain statements (sign-ups) below the matched nodes of those trees, mapped level by level by value."""
