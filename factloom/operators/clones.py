@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -126,8 +127,9 @@ def best_match(pairs: DataFrame, left: str, order: list) -> DataFrame:
 def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]], kinds1: dict[int, str], kinds2: dict[int, str], most: int | None = None) -> tuple[list[tuple[int, int]], bool]:
     """A largest common sub-graph of two dependence graphs: pairs of nodes of like kind, grown edge by edge.
 
-    Branches whose mapping is part of one seen before are cut. With `most` the search ends after so many states with the best so
-    far, and False; without it the result is always a largest one.
+    A branch ends where even all nodes of like kind that are left would not make it larger than the best so far. Nodes with the
+    same kind and the same neighbours are interchangeable: they are mapped in order alone. With `most` the search ends after so
+    many states with the best so far, and False; without it the result is always a largest one.
     """
     out1: dict[tuple[int, str], list[int]] = {}
     out2: dict[tuple[int, str], list[int]] = {}
@@ -136,6 +138,21 @@ def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]],
             out.setdefault((s, k), []).append(d)
             out.setdefault((d, "<" + k), []).append(s)
     labels = sorted({k for _, k in (*out1, *out2)})
+
+    def before(kinds: dict[int, str], out: dict[tuple[int, str], list[int]]) -> dict[int, set[int]]:
+        """For each node the smaller ones that it could be swapped with."""
+        alike: dict[tuple, list[int]] = {}
+        for n in sorted(kinds):
+            alike.setdefault((kinds[n], tuple(tuple(sorted(out.get((n, k), ()))) for k in labels)), []).append(n)
+        return {n: set(group[:i]) for group in alike.values() for i, n in enumerate(group)}
+
+    before1, before2 = before(kinds1, out1), before(kinds2, out2)
+    total1, total2 = Counter(kinds1.values()), Counter(kinds2.values())
+
+    def most_left(m: frozenset) -> int:
+        used = Counter(kinds1[a] for a, _ in m)
+        return sum(min(n, total2[k]) - used[k] for k, n in total1.items())
+
     seeds = sorted((a, b) for a in kinds1 for b in kinds2 if kinds1[a] == kinds2[b])
     best: list[tuple[int, int]] = []
     seen: set[frozenset] = set()
@@ -146,10 +163,12 @@ def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]],
         if m in seen:
             continue
         seen.add(m)
+        if len(m) + most_left(m) <= len(best):
+            continue
         states += 1
         if most is not None and states > most:
             return best, False
-        if len(m) > len(best) or (len(m) == len(best) and sorted(m) < best):
+        if len(m) > len(best):
             best = sorted(m)
         left, right = {a for a, _ in m}, {b for _, b in m}
         grown = set()
@@ -157,7 +176,7 @@ def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]],
             for k in labels:
                 for x in out1.get((a, k), ()):
                     for y in out2.get((b, k), ()):
-                        if x not in left and y not in right and kinds1.get(x) == kinds2.get(y):
+                        if x not in left and y not in right and kinds1.get(x) == kinds2.get(y) and before1[x] <= left and before2[y] <= right:
                             grown.add((x, y))
         # Extensions that exclude no other are taken together.
         free = [p for p in grown if not any(p != q and (p[0] == q[0] or p[1] == q[1]) for q in grown)]

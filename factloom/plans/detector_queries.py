@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import candidates
+from ..operators import candidates, clones
 from ..operators.facts import Thresholds
 from ..operators.graph import settled
 from ..sources.tables import table
@@ -66,3 +67,20 @@ def static_field_groups(spark, d):
     """Brands by the number of their large economy parts, read as static fields."""
     m = table(spark, d, "part").select(F.col("p_brand").alias("class"), F.when(F.col("p_type") == "ECONOMY", "field").otherwise("method").alias("kind"), (F.col("p_size") > 40).alias("is_static"))
     return candidates.static_field_groups(m).select("n", F.array_join("classes", ",").alias("classes"))
+
+
+@query()
+def mapped_orders(spark, d):
+    """The largest common sub-graph of a customer's order and the next one: lines by return flag, each linked to the next line."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    x = li.select("l_orderkey", F.row_number().over(line).alias("id"), F.col("l_returnflag").alias("kind"), F.lead("l_linestatus").over(line).alias("dep"))
+    linked = F.filter("r", lambda e: e["dep"].isNotNull())
+    g = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "dep"))).alias("r")).select(
+        "l_orderkey", F.transform("r", lambda e: F.struct(e["id"].alias("id"), e["kind"].alias("kind"))).alias("nodes"),
+        F.transform(linked, lambda e: F.struct(e["id"].alias("src"), (e["id"] + 1).alias("dst"), e["dep"].alias("dep"))).alias("edges"),
+    )
+    pairs = o.select(F.col("o_orderkey").alias("pair"), F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next")).filter("next IS NOT NULL")
+    of = lambda k, name: g.select(F.col("l_orderkey").alias(name), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"))
+    got = clones.mapped_pairs(pairs.join(of(1, "pair"), "pair").join(of(2, "next"), "next"))
+    return got.select("pair", F.size("mapping").alias("mapped"), "complete")

@@ -69,10 +69,10 @@ SELECT *, NOT ({' OR '.join(rules.EXTRACT_CLASS)}) AS applicable FROM r""")
 def extract_class_rules(spark, d):
     """The seven rules over every customer and the orders and suppliers of its lines of one return flag."""
     li, o, s = (table(spark, d, n) for n in ("lineitem", "orders", "supplier"))
-    x = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).select(
+    x = settled(li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).select(
         F.col("o_custkey").alias("class"), F.concat_ws("#", "o_custkey", "l_returnflag").alias("candidate"), F.concat(F.lit("o"), "o_orderkey").alias("me"), F.concat(F.lit("f"), "o_custkey", F.lit("_"), "l_suppkey").alias("fe"),
         F.when(F.col("l_tax") >= 0.08, -1).otherwise(F.col("o_custkey")).alias("src_class"), F.col("o_orderpriority").alias("pr"), (F.col("o_totalprice") > 450000).alias("over"), F.col("s_acctbal").alias("bal"),
-    )
+    ))
     no, none = F.lit(False), F.array().cast("array<string>")
     urgent = F.col("pr") == "1-URGENT"
     methods = x.select("class", F.col("me").alias("entity"), F.lit("method").alias("kind"), F.lit("public").alias("access"), no.alias("is_static"), F.col("over").alias("overrides"), (F.col("pr") == "5-LOW").alias("is_accessor"), F.when(urgent, "hashCode").otherwise("run").alias("name"), F.lit("int").alias("return_type")).distinct()

@@ -167,3 +167,45 @@ def test_side_effects(spark):
     for d in direct:
         read(*d, 0)
     assert got == want and len(want) > 10
+
+
+def grown(one, two, kinds1, kinds2):
+    """The size of a largest mapping that grows edge by edge, by trying everything."""
+    def near(edges):
+        out = defaultdict(set)
+        for s, d, k in edges:
+            out[s].add((d, k, 1))
+            out[d].add((s, k, 0))
+        return out
+
+    n1, n2, seen = near(one), near(two), set()
+
+    def grow(m):
+        if m in seen:
+            return 0
+        seen.add(m)
+        left, right = {a for a, _ in m}, {b for _, b in m}
+        more = {(x, y) for a, b in m for x, k, w in n1[a] for y, j, v in n2[b] if (k, w) == (j, v) and x not in left and y not in right and kinds1[x] == kinds2[y]}
+        return max([len(m), *(grow(m | {p}) for p in more)])
+
+    return max([0, *(grow(frozenset([(a, b)])) for a in kinds1 for b in kinds2 if kinds1[a] == kinds2[b])])
+
+
+def test_map_graphs_is_largest_and_ends():
+    from factloom.operators import clones
+
+    r = random.Random(3)
+    for _ in range(150):
+        graphs = []
+        for _ in range(2):
+            n = r.randint(1, 5)
+            graphs.append(([(r.randint(0, n - 1), r.randint(0, n - 1), r.choice("cd")) for _ in range(r.randint(0, 6))], {k: r.choice("ab") for k in range(n)}))
+        (one, k1), (two, k2) = graphs
+        got, whole = clones.map_graphs(one, two, k1, k2)
+        assert whole and len(got) == grown(one, two, k1, k2)
+        assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got) and all(k1[a] == k2[b] for a, b in got)
+    star = [(0, k, "control") for k in range(1, 31)]
+    kinds = {0: "if"} | {k: "s" for k in range(1, 31)}
+    assert len(clones.map_graphs(star, star, kinds, kinds)[0]) == 31
+    line = star + [(k, k + 1, "data") for k in range(1, 30)]
+    assert len(clones.map_graphs(line, line, kinds, kinds)[0]) == 31

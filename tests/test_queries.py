@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, small, duck, name):
 #: Queries that need a kernel in Python.
 KERNELS = {"token_edit_distance", "stemmed_topics", "hier_clusters"}
 #: Queries whose rounds SQL has no form for; tests hold their operators against brute force.
-ROUNDS = {"tree_matches", "ranked_tree_matches", "mapped_statements"}
+ROUNDS = {"mapped_orders", "tree_matches", "ranked_tree_matches", "mapped_statements"}
 
 
 @pytest.mark.parametrize("name", ["jaccard_supplier_pairs", "lcom2_by_class", "envy_candidates", "near_clone_pairs", "subclone_groups", "interval_innermost", "reaching_defs", "access_map"])
