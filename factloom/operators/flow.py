@@ -150,6 +150,109 @@ def control_dependences(rows: list[Statement]) -> list[Dependence]:
     return out
 
 
+class ThrowingFlow(Flow):
+    """A flow with exceptions: a throw runs into the catch clauses of the nearest try that has some, from within that try's
+    guarded part, and what a catch leaves runs on after the try. Any guarded statement may end in a catch, but only throws are
+    linked to one; a catch that no throw reaches is entered from the try's first statement, on the branch `throw`."""
+
+    def __init__(self, roots: list[Statement]):
+        self.waiting: list[list[int]] = []
+        super().__init__(roots)
+
+    def _one(self, s: Statement, ends: list) -> list:
+        if s.kind == "throw" and self.waiting:
+            self._join(ends, s.id)
+            self.waiting[-1].append(s.id)
+            return []
+        catches = [c for c in s.children if c.kind == "catch"] if s.kind == "try" else []
+        if not catches:
+            return super()._one(s, ends)
+        guarded = [c for c in s.children if c.kind not in ("catch", "finally")]
+        self.waiting.append([])
+        done = self._sequence(guarded, ends)
+        thrown = self.waiting.pop() or [n for n in [self._first(s)] if n is not None]
+        for c in catches:
+            done = done + self._sequence(c.children, [(n, "throw") for n in thrown])
+        last = next((c for c in s.children if c.kind == "finally"), None)
+        return self._sequence(last.children, done) if last else done
+
+
+ENTRY, EXIT = 0, -1
+
+
+def post_dominators(follow: dict[int, list[int]]) -> dict[int, set[int]]:
+    """For each node all nodes that every way from it to EXIT passes, itself included. A node from which EXIT isn't reached, in
+    an endless loop, counts as if the loop could end there, from the largest node on."""
+    nodes = {EXIT, *follow, *(d for out in follow.values() for d in out)}
+    follow = {n: list(follow.get(n, ())) for n in nodes}
+    back: dict[int, list[int]] = {n: [] for n in nodes}
+    for s, out in follow.items():
+        for d in out:
+            back[d].append(s)
+    reached, todo = set(), [EXIT]
+    while True:
+        while todo:
+            n = todo.pop()
+            if n not in reached:
+                reached.add(n)
+                todo.extend(back[n])
+        if len(reached) == len(nodes):
+            break
+        stuck = max(nodes - reached)
+        follow[stuck].append(EXIT)
+        back[EXIT].append(stuck)
+        todo.append(stuck)
+    out = {n: set(nodes) for n in nodes}
+    out[EXIT] = {EXIT}
+    todo = list(nodes)
+    while todo:
+        n = todo.pop()
+        if n != EXIT and (new := {n} | set.intersection(*(out[d] for d in follow[n]))) != out[n]:
+            out[n] = new
+            todo.extend(back[n])
+    return out
+
+
+def controlled(edges: list[tuple[int, int, str | None]]) -> set[tuple[int, int, str | None]]:
+    """(src, dst, branch): dst runs if src takes that branch, and might not run otherwise. edges include those from ENTRY and to
+    EXIT; what always runs depends on ENTRY."""
+    follow: dict[int, list[int]] = {ENTRY: [EXIT]}
+    for s, d, _ in edges:
+        follow.setdefault(s, []).append(d)
+    after = post_dominators(follow)
+    return {(s, x, branch) for s, d, branch in edges for x in after[d] - (after[s] - {s}) if x != EXIT}
+
+
+def jump_dependences(rows: list[Statement]) -> list[Dependence]:
+    """Control dependences by post-dominance over the flow, so that cases, breaks, continues, returns and throws count: what
+    runs only if a jump isn't taken depends on what decides about the jump."""
+    roots = tree(rows)
+    flow = ThrowingFlow(roots)
+    edges = [(s, d, branch) for s, d, _, branch in flow.edges]
+    ends = {s for s, _, _ in edges}
+    nodes = {*ends, *(d for _, d, _ in edges), *(s.id for s in rows if s.kind in ("return", "throw")), *(n for n, _ in flow.exits)}
+    edges += [(n, EXIT, branch) for n, branch in flow.exits] + [(n, EXIT, None) for n in nodes - ends - {n for n, _ in flow.exits}]
+    top = Statement(ENTRY, None, "block", children=roots)
+    first = flow._first(top)
+    if first is not None:
+        edges.append((ENTRY, first, None))
+    return sorted({(s, d, "control", None, None) for s, d, _ in controlled(edges)})
+
+
+def control_edges(flow: DataFrame) -> DataFrame:
+    """g, src, dst, branch: control dependences by post-dominance of flow graphs (g, src, dst, branch) with ENTRY and EXIT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = sorted(controlled([(r["src"], r["dst"], r["branch"]) for r in rows]), key=lambda e: (e[0], e[1], e[2] or ""))
+                cols = list(zip(*found, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(found), b.schema.field(0).type), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["g", "src", "dst", "branch"])
+
+    kind = flow.schema["g"].dataType.simpleString()
+    return flow.groupBy("g").agg(F.collect_list(F.struct("src", "dst", "branch")).alias("r")).mapInArrow(run, f"g {kind}, src long, dst long, branch string")
+
+
 def data_dependences(rows: list[Statement], edges: list[Edge]) -> list[Dependence]:
     """Data (definition to use), anti (use to definition) and output (definition to definition) dependences.
 
@@ -235,16 +338,20 @@ def flow_edges(statements: DataFrame) -> DataFrame:
     return methods(statements).mapInArrow(run, FLOW_EDGES)
 
 
-def dependence_edges(statements: DataFrame) -> DataFrame:
-    """The dependence graph of each method: g, src, dst, dep (control, data, anti, output), var, loop_id."""
+def dependence_edges(statements: DataFrame, jumps: bool = False) -> DataFrame:
+    """The dependence graph of each method: g, src, dst, dep (control, data, anti, output), var, loop_id.
+
+    With jumps, control dependences and the flow count breaks, returns, throws and catches; else control follows nesting.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for g, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = _statements(rows)
-                edges = list(Flow(tree(s)).edges)
-                out += [(g, *d) for d in (*control_dependences(s), *data_dependences(s, edges))]
+                edges = list((ThrowingFlow if jumps else Flow)(tree(s)).edges)
+                control = jump_dependences(s) if jumps else control_dependences(s)
+                out += [(g, *d) for d in (*control, *data_dependences(s, edges))]
             yield _batch(out, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()], ["g", "src", "dst", "dep", "var", "loop_id"])
 
     return methods(statements).mapInArrow(run, PDG_EDGES)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import effects, matching, trees
+from ..operators.flow import control_edges
 from ..operators.graph import settled
 from ..sources.tables import table
 from .catalogue import query
@@ -261,3 +262,23 @@ def side_effects(spark, d):
     bind = x.filter("l_quantity >= 48 AND callee IS NOT NULL").select(F.col("l_partkey").alias("caller"), "callee", at.alias("slot"), F.when(F.col("l_linestatus") == "O", "this").otherwise("p1").alias("root"), path.alias("path"))
     direct = li.filter("l_quantity = 1").select(F.col("l_partkey").alias("method"), at.alias("root"), F.array(F.concat(F.lit("g"), third)).alias("path"), F.when(F.col("l_linestatus") == "F", "write").otherwise("read").alias("mode"))
     return effects.side_effects(direct, bind).withColumn("path", F.array_join("path", "."))
+
+
+@query(f"""WITH RECURSIVE {_FLOW.split('asg AS')[0].rstrip().rstrip(',')},
+g AS (SELECT f.g, f.src, f.dst, CASE WHEN f.dst = f.src + 1 THEN 'next' ELSE 'jump' END AS branch FROM flow f UNION ALL SELECT g, 0, 1, NULL FROM (SELECT DISTINCT g FROM e) UNION ALL SELECT g, max(node), -1, NULL FROM e GROUP BY 1
+  UNION ALL SELECT g, 0, -1, 'out' FROM (SELECT DISTINCT g FROM e)),
+n AS (SELECT g, node FROM e UNION ALL SELECT DISTINCT g, 0 FROM e UNION ALL SELECT DISTINCT g, -1 FROM e),
+-- y reaches the exit without passing x
+around AS (SELECT n.g, n.node AS x, -1::BIGINT AS y FROM n WHERE n.node <> -1 UNION SELECT a.g, a.x, g.src FROM around a JOIN g ON g.g = a.g AND g.dst = a.y WHERE g.src <> a.x)
+SELECT DISTINCT f.g, f.src, x.node AS dst, f.branch FROM g f JOIN n x ON x.g = f.g AND x.node <> -1
+WHERE coalesce(f.branch, '') <> 'out' AND NOT EXISTS (SELECT 1 FROM around a WHERE a.g = f.g AND a.x = x.node AND a.y = f.dst)
+  AND (x.node = f.src OR EXISTS (SELECT 1 FROM around a WHERE a.g = f.g AND a.x = x.node AND a.y = f.src))""")
+def control_dependences(spark, d):
+    """Control dependences of users' events by post-dominance over that flow with its jumps."""
+    flow, assigns, _, _ = _flow(spark, d)
+    branch = F.when(F.col("dst") == F.col("src") + 1, "next").otherwise("jump")
+    none = F.lit(None).cast("string").alias("branch")
+    ends = assigns.groupBy("g").agg(F.max("node").alias("last"))
+    zero, out = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    rows = flow.select("g", "src", "dst", branch.alias("branch")).unionByName(ends.select("g", zero.alias("src"), F.lit(1).cast("long").alias("dst"), none)).unionByName(ends.select("g", F.col("last").alias("src"), out.alias("dst"), none))
+    return control_edges(rows)
