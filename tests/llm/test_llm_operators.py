@@ -835,6 +835,48 @@ def test_near_passages_end_to_end(spark):
     assert len(found & set(want)) >= 0.95 * len(want) and not any(x["doc_id"] % 3 == 2 or x["other_id"] % 3 == 2 for x in got)
 
 
+@pytest.mark.parametrize(("piece", "beside", "inserted", "least"), [(44, 8, False, 38), (40, 8, False, 38), (44, 3, True, 35)])
+def test_near_passages_beside_pieces_of_them(spark, piece, beside, inserted, least):
+    """40 passages of 60 words and their copies with a word replaced or inserted, beside texts that share only their first or last
+    words: those are too short for passages, and they stand first in groups without a place of their own in any result."""
+    r = random.Random(3)
+    pad = lambda: [f"u{r.getrandbits(60)}" for _ in range(r.randint(30, 90))]
+    texts, pairs = [], []
+    for k in range(40):
+        p = [f"p{k}x{j}" for j in range(60)]
+        q, at = list(p), r.randrange(60)
+        q[at : at + (not inserted)] = [f"e{k}"]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [pad() + p + pad(), pad() + q + pad()]
+        for _ in range(beside):
+            texts += [pad() + p[:piece] + pad(), pad() + p[-piece:] + pad()]
+    ids = r.sample(range(len(texts)), len(texts))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in zip(ids, texts, strict=True)], "doc_id long, text string")
+    found = {frozenset((x["doc_id"], x["other_id"])) for x in passages.repeated_passages(df).collect()}
+    want = {frozenset((ids[a], ids[b])) for a, b in pairs}
+    assert found <= want and len(found) >= least
+
+
+def test_stretch_keys():
+    """Windows share a key just where both hold two equal tokens about their minima, as far apart as a stretch is long."""
+    r = np.random.default_rng(5)
+    text = r.integers(0, 2**63, 400, np.uint64)
+    other = r.integers(0, 2**63, 400, np.uint64)
+    for same in (40, passages.T - 2, passages.T, 60):
+        s = other.copy()
+        s[100 : 100 + same] = text[200 : 200 + same]
+        for c in (200, 210, 200 + same - 1):
+            reach = np.array([60 << 24 | 60])
+            keys = [set(passages.stretch_keys(x, np.array([7]), np.array([at]), reach)[1].tolist()) for x, at in ((text, c), (s, c - 100))]
+            # Both begin at tokens an even number of places before c.
+            far = [k for k in passages.SPANS if any(c - b >= 200 and c - b + k < 200 + same and c - b + k >= c for b in range(0, passages.SPANS[0] + 1, 2))]
+            assert len(keys[0] & keys[1]) >= bool(far) and (far or same > passages.SPANS[0] or not keys[0] & keys[1]), (same, c)
+    near = passages.smallest_from(text, 8)
+    assert all(text[near[k]] >> np.uint64(9) == min(text[k : k + 8] >> np.uint64(9)) for k in range(390))
+    short = np.array([1, 2, 3], np.uint64)
+    assert len(passages.stretch_keys(short, np.array([7]), np.array([1]), np.array([1 << 24 | 2]))[0]) == 0
+
+
 def test_hot_passage_over_partitions(spark):
     """A passage that all documents share ties them together, through the first document of each partition."""
     shared = " ".join(f"p{k}" for k in range(70))
