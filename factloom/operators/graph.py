@@ -39,6 +39,29 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table that grows by rounds. A round writes its new rows alone; what is known are the files of all rounds together."""
+
+    def __init__(self, first: DataFrame):
+        self.spark: SparkSession = first.sparkSession
+        self.folder = f"{shared_folder(self.spark)}/rounds-{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        self.schema, self.paths = first.schema, []
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        path = f"{self.folder}/{len(self.paths)}"
+        rows.select(*self.schema.names).write.parquet(path)
+        self.paths.append(path)
+        self.new = self._read(path)
+
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    @property
+    def known(self) -> DataFrame:
+        return self._read(*self.paths)
+
+
 def closure(edges: DataFrame, seed: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """src, dst, depth: every pair joined by a path, with the length of the shortest; paths from `seed` (src) alone if given.
 
@@ -47,17 +70,14 @@ def closure(edges: DataFrame, seed: DataFrame | None = None, most: int | None =
     """
     e = edges.select("src", "dst").distinct()
     first = e if seed is None else e.join(seed.select("src").distinct(), "src", "left_semi")
-    known = frontier = settled(first.withColumn("depth", F.lit(1)))
+    pairs = Rounds(first.withColumn("depth", F.lit(1)))
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     depth = 1
-    while most is None or depth < most:
+    while (most is None or depth < most) and not pairs.new.isEmpty():
         depth += 1
-        new = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = settled(new.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        known = settled(known.unionByName(frontier))
-    return known
+        new = pairs.new.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
+        pairs.add(new.join(pairs.known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+    return pairs.known
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

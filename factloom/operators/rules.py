@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_well_known
 from .facts import Thresholds, is_test, valid_targets
+from .graph import Rounds
 
 #: What stands against moving a method to a target.
 MOVE_METHOD = (
@@ -148,15 +149,12 @@ def slice_rules(slices: DataFrame, members: DataFrame, nodes: DataFrame, edges:
 
 def control_ancestors(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """method, node, ancestor: nodes that a node (method, node) is control dependent on, directly or through others."""
-    from .graph import settled
-
     up = edges.filter("dep = 'control'").select("method", F.col("dst").alias("at"), F.col("src").alias("ancestor")).distinct()
-    level = out = settled(starts.join(up.withColumnRenamed("at", "node"), ["method", "node"]).select("method", "node", "ancestor"))
-    while not level.isEmpty():
-        step = level.select("method", "node", F.col("ancestor").alias("at")).join(up, ["method", "at"]).select("method", "node", "ancestor").distinct()
-        level = settled(step.join(out, ["method", "node", "ancestor"], "left_anti"))
-        out = settled(out.unionByName(level))
-    return out
+    found = Rounds(starts.join(up.withColumnRenamed("at", "node"), ["method", "node"]).select("method", "node", "ancestor"))
+    while not found.new.isEmpty():
+        step = found.new.select("method", "node", F.col("ancestor").alias("at")).join(up, ["method", "at"]).select("method", "node", "ancestor").distinct()
+        found.add(step.join(found.known, ["method", "node", "ancestor"], "left_anti"))
+    return found.known
 
 
 def envied_elements(sets: DataFrame) -> DataFrame:

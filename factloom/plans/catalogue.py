@@ -589,7 +589,7 @@ def incremental_upsert(spark, d):
 
 
 def queries() -> dict:
-    from . import detector_queries, rule_queries, tree_queries  # noqa: F401  (they register their queries here)
+    from . import detector_queries, rule_queries, slice_queries, tree_queries  # noqa: F401  (they register their queries here)
 
     return dict(QUERIES)
 
