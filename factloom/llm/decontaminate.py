@@ -11,9 +11,9 @@ from a window's first word on and the other half from its last word back: the em
 padding, and a window of any size in the class has the same key. Edits that crowd one half leave the other half's walks
 alone, so edits spread evenly are the hardest case.
 
-TABLES comes from the target recall: a table misses a window at the limit of similarity with 1 - HIT, HIT being the share of
+TABLES comes from the target recall: a table misses a window at the limit of similarity with 1 - AGREE, AGREE being the share of
 tables in which SAMPLED positions of the walks of a window at the limit, edits spread evenly, agree as measured (0.24), so
-TABLES = ln(1 - RECALL) / ln(1 - HIT), made even.
+TABLES = ln(1 - RECALL) / ln(1 - AGREE), made even.
 
 Two lower bounds of the edit distance spare most windows the walk and lose none: each word that no item has costs an edit,
 and so does each rare word (in at most RARE of the items) by which the window has fewer than the item.
@@ -22,8 +22,11 @@ Benchmark items are a stated set of queries: they go to all tasks in blocks of a
 each makes its own pass over the documents and its hits are written before the next is read, so the driver and the tasks
 hold one block at a time.
 
-Words are lower-cased runs without ASCII blanks and punctuation. Defined results: items of fewer than LEAST words match
-nothing (null and empty ones among them); a text shorter than an item is compared as a whole; null and empty texts have no
+Items of fewer than LEAST words allow no edit at this similarity: their windows are looked up by a hash and compared word by word.
+
+Words are lower-cased runs without ASCII blanks and punctuation. Defined results: items without a word (null and empty ones
+among them) match nothing; those of fewer than LEAST words match equal windows alone, at any similarity, where `shortest` admits them (the query admits
+all; the default is LEAST, since a filter by single words would take clean documents); a text shorter than an item is compared as a whole; null and empty texts have no
 passages; of the windows near an item the one at the smallest distance, then the first, is reported, once for each
 document and item; repeated rows report each for itself; repeated item_ids are items each; an input column with the name of
 the output is replaced, others stay; empty tables give empty results.
@@ -45,8 +48,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .common import P, mix64, multipliers, table, text_of, written
 
-SIMILARITY, RECALL, HIT, SAMPLED, LEAST, BLOCK = 0.8, 0.985, 0.24, 3, 5, 20_000
-TABLES = 2 * math.ceil(math.log(1 - RECALL) / math.log(1 - HIT) / 2)
+SIMILARITY, RECALL, AGREE, SAMPLED, LEAST, BLOCK = 0.8, 0.985, 0.24, 3, 5, 20_000
+TABLES = 2 * math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE) / 2)
 #: Sizes in a class are within this factor.
 RATIO = 1.2
 #: Bytes of random bits that a worker keeps.
@@ -94,22 +97,22 @@ class Classes:
 class Index:
     """LSH tables of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, tables: int = TABLES, sampled: int = SAMPLED, seed: int = 1):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, tables: int = TABLES, sampled: int = SAMPLED, seed: int = 1, shortest: int = LEAST):
         self.similarity, self.tables, self.sampled, self.seed = similarity, tables, sampled, seed
-        texts = [(i, w) for i, t in items if len(w := words(t or "")) >= LEAST]
-        texts.sort(key=lambda x: (len(x[1]), x[1], x[0] is None, x[0]))
+        every = sorted(((i, w) for i, t in items if len(w := words(t or "")) >= max(1, shortest)), key=lambda x: (len(x[1]), x[1], x[0] is None, x[0]))
         self.vocabulary: dict[bytes, int] = {}
-        for _, w in texts:
+        for _, w in every:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
+        self.short = [self._short([x for x in every if len(x[1]) == n]) for n in range(max(1, shortest), LEAST)]
+        texts = [x for x in every if len(x[1]) >= LEAST]
         self.ids = [i for i, _ in texts]
         self.seqs = [np.fromiter((self.vocabulary[x] for x in w), np.int32, len(w)) for _, w in texts]
         sizes = np.asarray([len(s) for s in self.seqs])
         self.gap = allowed(int(sizes[-1]), similarity) + 1 if len(sizes) else 1
         self.symbols = np.arange(len(self.vocabulary) + 1, dtype=np.uint64)
         counts = np.bincount(np.concatenate([*(np.unique(s) for s in self.seqs), [0]]), minlength=len(self.vocabulary) + 1)
-        self.is_rare = counts <= max(1, int(RARE * len(self.seqs)))
-        self.is_rare[0] = False
+        self.is_rare = (counts > 0) & (counts <= max(1, int(RARE * len(self.seqs))))
         needs = np.asarray([int(self.is_rare[s].sum()) - allowed(len(s), similarity) for s in self.seqs])
         self.classes: list[Classes] = []
         at = 0
@@ -121,6 +124,39 @@ class Index:
                     self._add(items, sizes[items], max(0, int(needs[items].min())))
             at = to
 
+    def _short(self, texts: list[tuple[int, list[bytes]]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The item_ids, words and keys of items of one small size, in order of key."""
+        rows = np.asarray([[self.vocabulary[x] for x in w] for _, w in texts], np.int32)
+        key = self._key(rows.T) if len(rows) else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        return [texts[k][0] for k in order], rows[order], key[order]
+
+    @staticmethod
+    def _key(columns: list[np.ndarray]) -> np.ndarray:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c in columns:
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+        return key
+
+    def _equal(self, seq: np.ndarray, starts: np.ndarray, base: int, out: list) -> None:
+        """The first equal window of each short item in each text. Gaps between texts hold no item's words."""
+        for ids, rows, keys in self.short:
+            if not ids:
+                continue
+            n = rows.shape[1]
+            key = self._key([seq[k : len(seq) - n + 1 + k] for k in range(n)])
+            lo = np.searchsorted(keys, key, "left")
+            at = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == key)
+            lo = lo[at]
+            # Equal items follow one another; each text takes part once for each run of them, by its first window.
+            doc = np.searchsorted(starts, at, "right") - 1
+            first = np.unique(np.stack([doc, lo]), axis=1, return_index=True)[1]
+            at, lo, doc = at[first], lo[first], doc[first]
+            for s, item, d, to in zip(at.tolist(), lo.tolist(), doc.tolist(), np.searchsorted(keys, key[at], "right").tolist(), strict=True):
+                for k in range(item, to):
+                    if (seq[s : s + n] == rows[k]).all():
+                        out[base + d].append((ids[k], s - int(starts[d]), n, 0))
+
     def _add(self, items: np.ndarray, sizes: np.ndarray, rare: int) -> None:
         c = Classes(int(sizes[0]), int(sizes[-1]), allowed(int(sizes[-1]), self.similarity), rare, items)
         end = np.cumsum(sizes)
@@ -164,7 +200,7 @@ class Index:
     def hits(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text, (item_id, first word, words, distance) of the passages near an item."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        if not self.seqs:
+        if not self.vocabulary:
             return out
         at = 0
         while at < len(texts):
@@ -184,8 +220,9 @@ class Index:
             starts.append(pos)
             parts += [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)), gap]
             pos += len(w) + self.gap
-        seq = np.concatenate([*parts, np.zeros(len(self.seqs[-1]) + 1, np.int32)])
+        seq = np.concatenate([*parts, np.zeros(len(self.seqs[-1]) + 1 if self.seqs else 1, np.int32)])
         starts = np.asarray(starts)
+        self._equal(seq, starts, base, out)
         foreign = np.concatenate([[0], np.cumsum(seq == 0, dtype=np.int32)])
         rare = np.concatenate([[0], np.cumsum(self.is_rare[seq], dtype=np.int32)])
         found: set[tuple[int, int]] = set()
@@ -193,7 +230,7 @@ class Index:
         for c in self.classes:
             # Windows by their first words, and by the words behind their last.
             near = foreign[c.least : pos + c.least] - foreign[:pos] <= c.most
-            back = foreign[c.least : pos + 1] - foreign[: pos + 1 - c.least] <= c.most
+            back = foreign[c.least : pos + 1] - foreign[: max(0, pos + 1 - c.least)] <= c.most
             if c.rare:
                 near &= rare[c.longest : pos + c.longest] - rare[:pos] >= c.rare
                 back &= rare[c.least : pos + 1] - rare[np.maximum(np.arange(c.least, pos + 1) - c.longest, 0)] >= c.rare
@@ -254,13 +291,13 @@ class Index:
         return doc + (at + n > after)
 
 
-HIT = StructType([StructField("item_id", LongType()), StructField("start", IntegerType()), StructField("n_words", IntegerType()), StructField("distance", IntegerType())])
+PASSAGE = StructType([StructField("item_id", LongType()), StructField("start", IntegerType()), StructField("n_words", IntegerType()), StructField("distance", IntegerType())])
 
 
 def passages(text: Column, index: Index) -> Column:
     """The passages of the whole text that are near an item of the index: array of item_id, start, n_words, distance."""
 
-    @F.arrow_udf(ArrayType(HIT))
+    @F.arrow_udf(ArrayType(PASSAGE))
     def found(t: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())]))
         hits = index.hits([x or "" for x in t.to_pylist()])
@@ -270,19 +307,20 @@ def passages(text: Column, index: Index) -> Column:
     return found(text)
 
 
-def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, shortest: int = LEAST) -> Iterator[Index]:
     """An index for each block of at most some `block` items; one block is on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     n = max(1, -(-items.count() // block))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
-        yield Index([(r["item_id"], r["text"]) for r in items.filter(part == k).collect()], similarity)
+        yield Index([(r["item_id"], r["text"]) for r in items.filter(part == k).collect()], similarity, shortest=shortest)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, out: str = "passages", block: int = BLOCK) -> DataFrame:
-    """docs with the passages of each text that are near a benchmark item."""
-    th, found, single = F.xxhash64(text_of()), [], None
-    for index in indexes(benchmark, similarity, block):
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, out: str = "passages", block: int = BLOCK, shortest: int = LEAST) -> DataFrame:
+    """docs with the passages of each text that are near a benchmark item of at least `shortest` words."""
+    # One text's passages serve all its copies, so blocks meet by a digest that tells any two texts apart.
+    th, found, single = F.sha2(text_of(), 256), [], None
+    for index in indexes(benchmark, similarity, block, shortest):
         if single is None:
             single = index
             continue
@@ -293,16 +331,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return docs.withColumn(out, passages(text_of(), single))
     hits = reduce(DataFrame.unionByName, found).groupBy(f"{P}t").agg(F.flatten(F.collect_list(f"{P}p")).alias(f"{P}p"))
     joined = docs.withColumn(f"{P}h", th).join(hits, F.col(f"{P}h") == F.col(f"{P}t"), "left")
-    return joined.withColumn(out, F.coalesce(f"{P}p", F.array().cast(ArrayType(HIT)))).drop(f"{P}h", f"{P}t", f"{P}p")
+    return joined.withColumn(out, F.coalesce(f"{P}p", F.array().cast(ArrayType(PASSAGE)))).drop(f"{P}h", f"{P}t", f"{P}p")
 
 
 def _hits(docs: DataFrame, th: Column, index: Index) -> DataFrame:
-    """The hash and the passages of each text that has some, written."""
+    """The digest and the passages of each text that has some, written."""
     one = docs.select(th.alias(f"{P}t"), passages(text_of(), index).alias(f"{P}p")).filter(F.size(f"{P}p") > 0)
     return written(one.dropDuplicates([f"{P}t"]), "hits")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    out = contaminated(docs, table(spark, sf_dir, "benchmark"), shortest=1)
     return out.select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.item_id", F.col("p.start").alias("start_word"), "p.n_words", "p.distance")

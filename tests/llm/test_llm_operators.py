@@ -490,6 +490,28 @@ def scanned(index, text):
     return out
 
 
+def test_short_benchmark_items(spark):
+    """Items of one to four words match equal windows alone, each text by its first one; against a scan of all windows."""
+    r = random.Random(5)
+    some = lambda n: " ".join(r.choice("abcde") for _ in range(n))
+    items = [(k, some(r.randint(0, 4))) for k in range(30)] + [(30, None), (31, "B, a"), (32, "zz"), (33, "a b c d e a b c d e")]
+    texts = [some(n) for n in (0, 1, 2, 3, 5, 8, 20, 20)] + ["", "A b", "a\n--B", "x a b c d e a b c d e y zz"]
+    index, short = decontaminate.Index(items, shortest=1), decontaminate.Index(items[:33], shortest=1)
+    for t, got, alone in zip(texts, index.hits(texts), short.hits(texts), strict=True):
+        w, want = decontaminate.words(t), set()
+        for i, x in items:
+            x = decontaminate.words(x or "")
+            at = next((k for k in range(len(w) - len(x) + 1) if x and len(x) < 5 and w[k : k + len(x)] == x), None)
+            if at is not None:
+                want.add((i, at, len(x), 0))
+        assert len(got) == len(set(got)) and {h for h in got if h[2] < 5} == want == set(alone)
+    assert {h[0] for h in index.hits(texts)[-1]} >= {32, 33}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(x["doc_id"], *p) for x in decontaminate.contaminated(docs, b, block=n, shortest=1).collect() for p in x["passages"]} for n in (1000, 9))
+    assert one == many and len(one) > 50
+
+
 @pytest.mark.parametrize("where", ["anywhere", "head", "tail", "middle", "indels"])
 def test_decontamination_recall(spark, small, where):
     """Copies with as many edits as the limit allows, wherever they are, against a scan of all windows."""
