@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def closure(edges: DataFrame, seed: DataFrame | None = None, most: int | None =
     Semi-naive: only pairs found in the last round meet the edges, and pairs known already leave. A node is its own
     descendant only on a cycle.
     """
-    e = edges.select("src", "dst").distinct()
+    e = settled(edges.select("src", "dst").distinct())
     first = e if seed is None else e.join(seed.select("src").distinct(), "src", "left_semi")
     pairs = Rounds(first.withColumn("depth", F.lit(1)))
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
@@ -98,12 +99,50 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return label
 
 
+def trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges that are left when nodes without a way in or out are taken away until none is, and their number."""
+    n, left = -1, edges.count()
+    while left and left != n:
+        heads, tails = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = settled(edges.join(tails, "src", "left_semi").join(heads, "dst", "left_semi").select("src", "dst"))
+        n, left = left, edges.count()
+    return edges, left
+
+
+def least_sources(edges: DataFrame) -> DataFrame:
+    """node, colour: the least node from which a node is reached, itself included. Only colours that fell are passed on."""
+    first = edges.groupBy("dst").agg(F.min("src").alias("s")).select(F.col("dst").alias("node"), F.least("s", "dst").alias("colour"))
+    falls = Rounds(first.union(edges.select("src", "src")).groupBy("node").agg(F.min("colour").alias("colour")))
+    lowest = lambda: falls.known.groupBy("node").agg(F.min("colour").alias("colour"))
+    while not falls.new.isEmpty():
+        offer = falls.new.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("offer"))
+        falls.add(lowest().join(offer, F.col("node") == F.col("dst")).filter("offer < colour").select("node", F.col("offer").alias("colour")))
+    return lowest()
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, component: the least node that it reaches and is reached by."""
-    reach = closure(edges).select("src", "dst")
-    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    least = mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-    return nodes.select("node").join(least, "node", "left").select("node", F.coalesce(F.least("node", "m"), "node").alias("component"))
+    """node, component: the least node that it reaches and is reached by.
+
+    Every node takes the least node that reaches it as its colour; what reaches that one back within the colour is its component.
+    Edges between colours and those of finished components go, and the rest starts again. A round costs the edges that are
+    left, never pairs of nodes; the number of rounds follows the longest path that no trimming shortens.
+    """
+    live, left = trimmed(settled(edges.select("src", "dst").filter("src <> dst").distinct()))
+    parts = []
+    while left:
+        colours = least_sources(live)
+        of = lambda c, colours=colours: colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = settled(live.join(of("src"), "src").join(of("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst"))
+        found = Rounds(colours.filter("node = colour"))
+        while not found.new.isEmpty():
+            back = found.new.join(same, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "colour").distinct()
+            found.add(back.join(found.known, "node", "left_anti"))
+        parts.append(found.known)
+        done = found.known.select("node")
+        live, left = trimmed(settled(same.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
+    if not parts:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.select("node").join(reduce(DataFrame.union, parts), "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

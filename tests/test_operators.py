@@ -104,6 +104,22 @@ def test_closure(spark):
     assert rows(graph.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), nodes), "node", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e")]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_strong_components_equal_mutual_reach(spark, seed):
+    """Random graphs with loops, lone nodes, repeated edges, a chain into a cycle, and two cycles joined one way."""
+    r = random.Random(seed)
+    e = [(r.randint(0, 25), r.randint(0, 25)) for _ in range(30)] * 2 + [(k, k + 1) for k in range(30, 39)] + [(39, 36), (50, 52), (52, 51), (51, 50), (51, 60), (60, 61), (61, 60), (70, 70)]
+    reach = {n: {n} for n in range(80)}
+    for _ in range(80):
+        for s, d in e:
+            reach[s] |= reach[d]
+    want = [(n, min(m for m in reach[n] if n in reach[m])) for n in range(80)]
+    df = spark.createDataFrame(e + [(None, 1), (1, None)], "src int, dst int")
+    nodes = spark.createDataFrame([(n,) for n in range(80)], "node int")
+    assert rows(graph.strong_components(df, nodes)) == want
+    assert rows(graph.strong_components(df.limit(0), nodes)) == [(n, n) for n in range(80)]
+
+
 def test_closure_is_idempotent(spark):
     r = random.Random(1)
     e = spark.createDataFrame([(r.randint(0, 15), r.randint(0, 15)) for _ in range(20)], "src int, dst int")
