@@ -9,10 +9,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "factloom-rounds")
 
 
+def written(spark: SparkSession, schema: StructType, *paths: str) -> DataFrame:
+    """Files of rounds as a table. Its joins merge: such tables pack to a hundredth of their size in memory, and by the size on
+    disk a join would broadcast millions of rows through the driver."""
+    return spark.read.schema(schema).parquet(*paths).hint("merge")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: without its lineage, and computed once.
 
@@ -37,7 +48,7 @@ def settled(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = f"{shared_folder(spark)}/rounds-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(spark, df.schema, path)
 
 
 class Rounds:
@@ -56,13 +67,55 @@ class Rounds:
         self.new = self._read(path)
 
     def _read(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return written(self.spark, self.schema, *paths)
 
     @property
     def known(self) -> DataFrame:
         return self._read(*self.paths)
 
 
+def spread(group: np.ndarray, starts: np.ndarray, at: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, node): what starts (group, node) reach over steps (at: their group, src, dst), themselves included."""
+    values, rank = np.unique(np.concatenate([starts, src, dst]), return_inverse=True)
+    ids, node = np.unique(np.concatenate([group, at, at]) * len(values) + rank, return_inverse=True)
+    first, tail, head = node[: len(starts)], node[len(starts) : len(starts) + len(src)], node[len(starts) + len(src) :]
+    head = head[np.argsort(tail, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=len(ids)))])
+    seen, now = np.zeros(len(ids), bool), np.unique(first)
+    while len(now):
+        seen[now] = True
+        n = begin[now + 1] - begin[now]
+        to = head[np.arange(n.sum()) + np.repeat(begin[now] - np.cumsum(n) + n, n)]
+        now = np.unique(to[~seen[to]])
+    return ids[seen] // len(values), values[ids[seen] % len(values)]
+
+
+def steps_by(steps: DataFrame, by: str) -> DataFrame:
+    """by, steps: the steps (by, node, next) of each group together, settled for several calls of `reached`."""
+    return settled(steps.groupBy(by).agg(F.collect_list(F.struct(F.col("node").cast("long").alias("node"), F.col("next").cast("long").alias("next"))).alias("steps")))
+
+
+def reached(starts: DataFrame, ways: DataFrame, by: str, rows: int = 256) -> DataFrame:
+    """by, node: what the starts (by, node) of each group reach over its ways (steps_by), themselves included.
+
+    For groups that are as small as a method: one is a row, and `rows` of them are walked together, so no pair is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                b = whole.slice(k, rows)
+                begin, steps = b.column(1), b.column(2)
+                src, dst = steps.flatten().flatten()
+                number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+                at, node = spread(number(pc.list_parent_indices(begin)), number(begin.flatten()), number(pc.list_parent_indices(steps)), number(src), number(dst))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(node)], names=[by, "node"])
+
+    of = starts.groupBy(by).agg(F.collect_set(F.col("node").cast("long")).alias("begin")).join(ways, by, "left").select(by, "begin", "steps")
+    found = of.mapInArrow(run, StructType([starts.schema[by], StructField("node", LongType())]))
+    return found.select(by, F.col("node").cast(starts.schema["node"].dataType).alias("node"))
+
+
 def closure(edges: DataFrame, seed: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """src, dst, depth: every pair joined by a path, with the length of the shortest; paths from `seed` (src) alone if given.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import settled
+from .graph import reached, settled, steps_by
 
 #: What differs where two nodes of one kind have different values, or different numbers of children.
 VALUE_DIFFERENCES = {"name": "VARIABLE_NAME_MISMATCH", "literal": "LITERAL_VALUE_MISMATCH", "call": "METHOD_INVOCATION_NAME_MISMATCH", "infix": "OPERATOR_MISMATCH"}
@@ -124,21 +124,16 @@ def movable(statements: DataFrame, edges: DataFrame) -> DataFrame:
     out). A statement can move before the mapped ones unless it depends on one, itself or through others that aren't mapped, and
     after them unless one depends on it.
     """
-    kept = statements.select("g", "node", F.coalesce("mapped", F.lit(False)).alias("mapped"))
-    e = edges.select("g", "src", "dst").filter("src <> dst").distinct()
+    kept = settled(statements.select("g", "node", F.coalesce("mapped", F.lit(False)).alias("mapped")))
+    e = settled(edges.select("g", "src", "dst").filter("src <> dst").distinct())
     free = settled(kept.filter("NOT mapped").select("g", "node"))
     fixed = kept.filter("mapped").select("g", "node")
 
     def tied(start: str, end: str) -> DataFrame:
         """Free statements at the end of a path that starts at a fixed one and passes free ones alone."""
         inner = settled(e.join(free.withColumnRenamed("node", end), ["g", end], "left_semi"))
-        now = settled(inner.join(fixed.withColumnRenamed("node", start), ["g", start], "left_semi").select("g", F.col(end).alias("node")).distinct())
-        known = now
-        while not now.isEmpty():
-            step = inner.join(now.withColumnRenamed("node", start), ["g", start], "left_semi").select("g", F.col(end).alias("node")).distinct()
-            now = settled(step.join(known, ["g", "node"], "left_anti"))
-            known = known.unionByName(now)
-        return known
+        first = inner.join(fixed.withColumnRenamed("node", start), ["g", start], "left_semi").select("g", F.col(end).alias("node"))
+        return settled(reached(first, steps_by(inner.select("g", F.col(start).alias("node"), F.col(end).alias("next")), "g"), "g"))
 
     down, up = tied("src", "dst"), tied("dst", "src")
     mark = lambda x, name: x.withColumn(name, F.lit(False))
