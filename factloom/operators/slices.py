@@ -1,7 +1,7 @@
 """Object-state slices: the statements that change the state of one object, with all they need, as a method of their own.
 
-Every set is a table of (slice, node), and a fixed point grows the sets of all slices together, a round a job. A slice reaches
-only within its block's region, so its cost is that of its own dependences, and no pair of nodes is kept.
+Every set is a table of (slice, node); what a set depends on is walked for each slice over its own dependences, a row of a
+kernel. A slice reaches only within its block's region, so its cost is that of these dependences, and no pair of nodes is kept.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import rules
 from .facts import Thresholds
 from .flow import common_boundaries
-from .graph import Rounds, settled
+from .graph import reached, settled, steps_by
 
 #: What stands against extracting an object-state slice.
 OBJECT_SLICE = ("whole_body", "minimum_size", *(r for r in rules.SLICE if r not in ("whole_body", "lone_criterion", "criteria_alone")))
@@ -30,15 +30,6 @@ def object_heads(state: DataFrame, boundaries: DataFrame) -> DataFrame:
     return common.select(key.alias("slice"), F.col("g").alias("method"), F.col("var").alias("object"), "block")
 
 
-def depended_on(starts: DataFrame, needs: DataFrame) -> DataFrame:
-    """slice, node: what the starts (slice, node) of each slice depend on, themselves included, over needs (slice, node, next)."""
-    found = Rounds(starts.select("slice", "node").distinct())
-    while not found.new.isEmpty():
-        new = found.new.join(needs, ["slice", "node"]).select("slice", F.col("next").alias("node")).distinct()
-        found.add(new.join(found.known, ["slice", "node"], "left_anti"))
-    return found.known
-
-
 def object_slices(heads: DataFrame, state: DataFrame, nodes: DataFrame, variables: DataFrame, edges: DataFrame, region: DataFrame) -> DataFrame:
     """slice, node, criterion, removable, indispensable: the nodes of each slice of heads (slice, method, object, block).
 
@@ -53,32 +44,33 @@ def object_slices(heads: DataFrame, state: DataFrame, nodes: DataFrame, variable
     inside = settled(heads.join(region, ["method", "block"]).select("slice", "method", "object", "node"))
     feeds = edges.filter("dep IN ('control', 'data')").select("method", F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
     needs = inside.join(feeds, ["method", "node"]).select("slice", "node", "next")
-    needs = settled(needs.join(inside.select("slice", F.col("node").alias("next")), ["slice", "next"], "left_semi"))
+    needs = steps_by(needs.join(inside.select("slice", F.col("node").alias("next")), ["slice", "next"], "left_semi"), "slice")
     changes = state.select("method", "node", "object").distinct()
     criteria = heads.join(changes, ["method", "object"]).select("slice", "node")
-    own = depended_on(criteria, needs)
+    depended_on = lambda starts: reached(starts, needs, "slice")
+    own = settled(depended_on(criteria))
 
     # Other objects that the slice uses bring in all that changes them in the region.
     used = own.join(heads, "slice").join(nodes.select("method", "node", F.explode("uses").alias("other")), ["method", "node"]).filter("other <> object").select("slice", "method", "other").distinct()
     others = used.join(changes.withColumnRenamed("object", "other"), ["method", "other"]).select("slice", "node").join(inside.select("slice", "node"), ["slice", "node"], "left_semi")
-    body = settled(own.union(depended_on(others, needs)).distinct())
+    body = settled(own.union(depended_on(others)).distinct())
 
     # Throws of the region, with all they are nested in.
     throws = nodes.filter("kind = 'throw'").select("method", "node").join(heads.select("method").distinct(), "method", "left_semi")
     above = rules.control_ancestors(throws, edges)
     nested = settled(inside.join(above, ["method", "node"]).select("slice", "node", "ancestor"))
     thrown = lambda of: nested.join(of.withColumnRenamed("node", "ancestor"), ["slice", "ancestor"], "left_semi").select("slice", "node").distinct()
-    body = settled(body.union(depended_on(thrown(body), needs)).distinct())
+    body = settled(body.union(depended_on(thrown(body))).distinct())
     held = body.withColumn("held", F.lit(True))
 
     # What remaining nodes need: sources in the slice of edges that leave it. The entry always remains.
     out = heads.join(edges.filter("dep IN ('control', 'data') AND dst <> 0"), "method").join(body.withColumnRenamed("node", "src"), ["slice", "src"], "left_semi")
     out = out.join(body.withColumnRenamed("node", "dst"), ["slice", "dst"], "left_anti").join(variables.select("method", "variable", "is_field"), ["method", "variable"], "left")
     local = (F.col("dep") == "data") & (F.col("variable") != F.col("object")) & ~F.coalesce("is_field", F.lit(False))
-    kept = depended_on(out.filter((F.col("dep") == "control") | local).select("slice", F.col("src").alias("node")), needs)
+    kept = settled(depended_on(out.filter((F.col("dep") == "control") | local).select("slice", F.col("src").alias("node"))))
     # A throw also stays for a node outside the slice that it is nested in; such ancestors may lie outside the region.
     outside = nested.filter("ancestor <> 0").join(held.withColumnRenamed("node", "ancestor"), ["slice", "ancestor"], "left").filter("held IS NULL").select("slice", "node")
-    more = depended_on(outside.union(thrown(kept)), needs)
+    more = depended_on(outside.union(thrown(kept)))
     kept = kept.union(more).distinct().withColumn("indispensable", F.lit(True))
 
     rows = body.join(heads, "slice").join(nodes.select("method", "node", "kind", "declares", "renews"), ["method", "node"], "left")

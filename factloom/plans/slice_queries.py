@@ -48,7 +48,7 @@ def _facts(spark, d):
     region = e.select("method", "node", block)
     variables = e.select("method", F.col("o").alias("variable"), (F.col("o") == "o0").alias("is_field"), (F.col("o") == "o1").alias("is_parameter")).distinct()
     heads = slices.object_heads(state, state.select("method", "node", block))
-    return settled(heads), state, nodes, variables, settled(edges), region
+    return settled(heads), state, nodes, variables, settled(edges), region.hint("merge")
 
 
 _FACTS = f"""

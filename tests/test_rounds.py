@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from factloom.operators import graph
-from factloom.plans import tree_queries
+from factloom.plans import slice_queries, tree_queries
 
 
 def plan(df):
@@ -23,6 +23,11 @@ def test_movable_statements_sends_nothing_to_the_driver(spark, small):
     assert "Broadcast" not in plan(tree_queries.movable_statements(spark, small))
 
 
+def test_object_slices_send_nothing_to_the_driver(spark, small):
+    for query in (slice_queries.object_slices, slice_queries.passed_parameters):
+        assert "Broadcast" not in plan(query(spark, small))
+
+
 def test_reached_equals_a_plain_walk(spark):
     r = random.Random(3)
     steps = [(g, r.randint(-2, 9), r.randint(-2, 9)) for g in range(40) for _ in range(r.randint(0, 12))]
