@@ -6,6 +6,9 @@ accessor. calls(class, caller, callee).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,20 +34,75 @@ def system_average(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg(column), F.lit(0.0)).alias(name))
 
 
+def shared_bits(row: np.ndarray, code: np.ndarray, left: np.ndarray, right: np.ndarray, wide: int = 16384, room: int = 1 << 25) -> int:
+    """Ordered pairs of a left and a right row (masks) with a code in common; row, code: the codes of each row, by row.
+
+    Each code has the bits of the right rows that hold it; a left row's bits are those of its codes together. Arrays stay within
+    some multiple of `room` bytes.
+    """
+    place = np.cumsum(right) - 1
+    mine = left[row]
+    total, n = 0, int(right.sum())
+    width = max(64, min(wide, room * 8 // (int(code.max(initial=0)) + 1)) // 64 * 64)
+    for begin in range(0, n, width):
+        here = right[row] & (place[row] >= begin) & (place[row] < begin + width)
+        known, at = np.unique(code[here], return_inverse=True)
+        p = place[row[here]] - begin
+        bits = np.zeros((len(known), width // 8), np.uint8)
+        np.bitwise_or.at(bits, (at, p >> 3), np.left_shift(1, p & 7).astype(np.uint8))
+        bits = bits.view(np.uint64)
+        use = mine & np.isin(code, known)
+        r, c = row[use], np.searchsorted(known, code[use])
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        step = max(1, room // (width // 8))
+        k = 0
+        while k < len(first):
+            # As many rows as have `step` codes together, one at least.
+            upto = max(k + 1, int(np.searchsorted(first, first[k] + step, "right")) - 1) if first[k] + step < len(r) else len(first)
+            last = first[upto] if upto < len(first) else len(r)
+            total += int(np.bitwise_count(np.bitwise_or.reduceat(bits[c[first[k] : last]], first[k:upto] - first[k], axis=0)).sum())
+            k = upto
+    return total
+
+
+def sharing_pairs(uses: DataFrame, block: int = 200_000) -> DataFrame:
+    """class, c: pairs of methods of a class that use a field in common (uses: class, method, field; distinct, none null).
+
+    Counting them is quadratic in a class's methods, but no pair is ever a row: methods are dealt to blocks of some `block` uses,
+    two blocks meet in one task, and pairs are bits there. A class costs its uses times its number of blocks in shuffled rows.
+    """
+    n = uses.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+    sets = uses.groupBy("class", "method").agg(F.collect_list("field").alias("fields")).join(n, "class")
+    dealt = sets.select("class", "fields", F.pmod(F.xxhash64("method"), "n").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    met = dealt.select("class", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "fields")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        fields, at, i, j = t["fields"].combine_chunks(), t["at"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        row = pc.list_parent_indices(fields).to_numpy().astype(np.int64)
+        code = pc.dictionary_encode(fields.flatten()).indices.to_numpy().astype(np.int64)
+        c = shared_bits(row, code, at == i, at == j)
+        return pa.table({"class": t["class"].slice(0, 1), "c": pa.array([(c - len(at)) // 2 if i == j else c], pa.int64())})
+
+    kind = uses.schema["class"].dataType.simpleString()
+    return met.groupBy("class", "i", "j").applyInArrow(run, f"class {kind}, c long").groupBy("class").agg(F.sum("c").alias("c"))
+
+
 def connectivity(methods: DataFrame, uses: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """class, connectivity: cohesive pairs of methods over all pairs; null for fewer than two methods.
 
-    A pair is cohesive if both use a field of the class or one calls the other. Pairs that share a field come from a join
-    on the field, so a class costs what its shared uses do, not the square of its methods.
+    A pair is cohesive if both use a field of the class or one calls the other. Pairs that share a field are counted by blocks;
+    those of calls are rows, and count where they share none.
     """
-    u = uses.select("class", "method", "field").distinct()
-    v = u.select("class", F.col("method").alias("other"), "field")
-    pairs = u.join(v, ["class", "field"]).filter("method < other").select("class", "method", "other")
+    u = uses.select("class", "method", "field").dropna().distinct()
+    c = sharing_pairs(u)
     if calls is not None:
         least, most = F.least("caller", "callee"), F.greatest("caller", "callee")
-        pairs = pairs.unionByName(calls.filter("caller <> callee").select("class", least.alias("method"), most.alias("other")))
+        called = calls.filter("class IS NOT NULL AND caller <> callee").select("class", least.alias("method"), most.alias("other")).distinct()
+        sharing = called.join(u, ["class", "method"]).join(u.withColumnRenamed("method", "other"), ["class", "other", "field"], "left_semi").select("class", "method", "other")
+        more = called.join(sharing, ["class", "method", "other"], "left_anti").groupBy("class").agg(F.count(F.lit(1)).alias("c"))
+        c = c.unionByName(more).groupBy("class").agg(F.sum("c").alias("c"))
     n = methods.groupBy("class").agg(F.count_distinct("method").alias("m"))
-    c = pairs.distinct().groupBy("class").agg(F.count(F.lit(1)).alias("c"))
     m = F.col("m")
     return n.join(c, "class", "left").select("class", F.when(m > 1, 2 * F.coalesce("c", F.lit(0)) / (m * (m - 1))).alias("connectivity"))
 
