@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .graph import settled
 from .joins import contained
 
 
@@ -43,23 +44,33 @@ def sub_groups(instances: DataFrame, bin_width: int | None = None) -> DataFrame:
 
 
 def similar_sets(rows: DataFrame, key: str, element: str, similarity: float, within: list[str] | None = None) -> DataFrame:
-    """a, b, common, distance of keys whose sets of elements are at least so similar, by prefix filtering.
+    """a, b, common, distance of keys whose sets of elements are at least so similar, by prefix and positional filtering.
 
-    Elements are put in order of rarity; two sets with Jaccard similarity s must share one of their first
-    n - ceil(s n) + 1 elements, so only those are joined. Candidates are then counted exactly.
+    Equal sets are one set, named by its least key, until the end. Elements are put in order of rarity; two sets with Jaccard
+    similarity s must share one of their first n - ceil(s n) + 1 elements, so only those are joined, and what follows the first
+    that they share must be able to make up s. Candidates are then compared as arrays, and the pairs of equal sets joined again.
     """
     by = within or []
-    x = rows.select(*by, key, element).distinct()
-    df = x.groupBy(*by, element).agg(F.count(F.lit(1)).alias("df"))
-    w = W.partitionBy(*by, key)
-    ranked = x.join(df, [*by, element]).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("df", element)))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select(*by, element, F.col(key).alias("a"), F.col("n").alias("na"))
-    other = prefix.select(*by, element, F.col("a").alias("b"), F.col("na").alias("nb"))
-    pairs = prefix.join(other, [*by, element]).filter((F.col("a") < F.col("b")) & (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)).select("a", "b", "na", "nb").distinct()
-    left, right = x.select(F.col(key).alias("a"), element), x.select(F.col(key).alias("b"), F.col(element).alias("e2"))
-    common = pairs.join(left, "a").join(right, (F.col("e2") == F.col(element)) & (right["b"] == pairs["b"])).groupBy("a", pairs["b"], "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    sim = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return common.filter(sim >= similarity - 1e-9).select("a", "b", "common", (1 - sim).alias("distance"))
+    sets = rows.select(*by, key, element).dropna().groupBy(*by, key).agg(F.array_sort(F.collect_set(element)).alias("s"))
+    named = settled(sets.join(sets.groupBy(*by, "s").agg(F.min(key).alias("rep")).hint("merge"), [*by, "s"]).select(*by, F.col(key).alias("k"), "rep", "s"))
+    one = named.filter("k = rep").select(*by, "rep", "s", F.size("s").cast("long").alias("n"))
+    x = one.select(*by, "rep", "n", F.explode("s").alias("e"))
+    df = x.groupBy(*by, "e").agg(F.count(F.lit(1)).alias("df"))
+    ranked = x.join(df, [*by, "e"]).withColumn("r", F.row_number().over(W.partitionBy(*by, "rep").orderBy("df", "e")))
+    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select(*by, "e", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"))
+    other = prefix.select(*by, "e", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("rx").alias("ry"))
+    sized = (F.col("nx") >= similarity * F.col("ny") - 1e-9) & (F.col("ny") >= similarity * F.col("nx") - 1e-9)
+    enough = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9
+    met = prefix.join(other, [*by, "e"]).filter((F.col("x") < F.col("y")) & sized & enough).select(*by, "x", "y").distinct()
+    side = lambda c: one.select(*by, F.col("rep").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    common = met.join(side("x"), [*by, "x"]).join(side("y"), [*by, "y"]).select(*by, "x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
+    alike = common.filter(F.col("common") / (F.col("nx") + F.col("ny") - F.col("common")) >= similarity - 1e-9)
+    many = named.filter("k <> rep").select(*by, "rep").distinct()
+    equal = one.join(many, [*by, "rep"], "left_semi").select(*by, F.col("rep").alias("x"), F.col("rep").alias("y"), F.col("n").alias("nx"), F.col("n").alias("ny"), F.col("n").alias("common"))
+    member = lambda c, k: named.select(*by, F.col("rep").alias(c), F.col("k").alias(k))
+    pairs = alike.unionByName(equal).join(member("x", "p"), [*by, "x"]).join(member("y", "q"), [*by, "y"]).filter("x <> y OR p < q")
+    sim = F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "common", (1 - sim).alias("distance"))
 
 
 def clone_type(gaps: Column, differences: Column, kinds_beyond_names: Column) -> Column:
