@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .flow import some
 from .graph import settled
 
 Assign = dict[int, tuple[str, str | None]]
@@ -101,7 +102,7 @@ def alias_pairs(flow: DataFrame, assigns: DataFrame) -> DataFrame:
     """g, node, a, b: variables that may be aliases after a node; flow: g, src, dst; assigns: g, node, left, right (or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in some(batches):
             for row in batch.to_pylist():
                 found = [(n, *p) for n, pairs in aliases(*_read(row)).items() for p in pairs]
                 cols = list(zip(*found, strict=True)) or [[], [], []]
@@ -116,7 +117,7 @@ def aliased_dependences(flow: DataFrame, assigns: DataFrame, defs: DataFrame, us
     """g, src, dst, var, field: data dependences of fields (g, node, var, field) along the flow, through aliases too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in some(batches):
             for row in batch.to_pylist():
                 at = lambda name, row=row: {n: [(x["var"], x["field"]) for x in row[name] or () if x["node"] == n] for n in {x["node"] for x in row[name] or ()}}
                 found = sorted(field_dependences(*_read(row), at("defs"), at("uses")))

@@ -239,11 +239,18 @@ def jump_dependences(rows: list[Statement]) -> list[Dependence]:
     return sorted({(s, d, "control", None, None) for s, d, _ in controlled(edges)})
 
 
+def some(batches: Iterator[pa.RecordBatch], rows: int = 16) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few methods, so that only few are Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def control_edges(flow: DataFrame) -> DataFrame:
     """g, src, dst, branch: control dependences by post-dominance of flow graphs (g, src, dst, branch) with ENTRY and EXIT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some(batches):
             for g, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = sorted(controlled([(r["src"], r["dst"], r["branch"]) for r in rows]), key=lambda e: (e[0], e[1], e[2] or ""))
                 cols = list(zip(*found, strict=True)) or [[]] * 3
@@ -331,7 +338,7 @@ def flow_edges(statements: DataFrame) -> DataFrame:
     """The flow graph of each method: g, src, dst, loopback, branch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some(batches):
             out = [(g, *e) for g, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in Flow(tree(_statements(rows))).edges]
             yield _batch(out, [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string()], ["g", "src", "dst", "loopback", "branch"])
 
@@ -345,7 +352,7 @@ def dependence_edges(statements: DataFrame, jumps: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in some(batches):
             out = []
             for g, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = _statements(rows)
