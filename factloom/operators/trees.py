@@ -41,7 +41,7 @@ def control_trees(statements: DataFrame) -> DataFrame:
     """
     s = statements.select("g", F.col("id").cast("long").alias("node"), F.when(F.col("parent") < F.col("id"), F.col("parent").cast("long")).otherwise(F.lit(0)).alias("up"), "kind", F.coalesce("on_false", F.lit(False)).alias("on_false"), F.coalesce("form", F.lit("")).alias("form"))
     holds = s.filter(F.col("kind").isin(*PREDICATES, BLOCK)).select("g", F.col("node").alias("up"), F.col("kind").alias("up_kind"))
-    x = s.join(holds, ["g", "up"], "left").withColumn("up", F.when(F.col("up_kind").isNotNull(), F.col("up")).otherwise(F.lit(0)))
+    x = s.join(holds.hint("merge"), ["g", "up"], "left").withColumn("up", F.when(F.col("up_kind").isNotNull(), F.col("up")).otherwise(F.lit(0)))
     x = x.withColumn("below_else", F.coalesce((F.col("up_kind") == "if") & F.col("on_false"), F.lit(False)))
     beside = F.sum(F.col("below_else").cast("int")).over(W.partitionBy("g", "up"))
     x = settled(x.withColumn("else_if", F.col("below_else") & (beside == 1) & (F.col("kind") == "if")))

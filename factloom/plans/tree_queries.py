@@ -25,8 +25,8 @@ def _statements(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("g"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("id"), F.expr(KIND).alias("kind"), "value")
     holder = e.filter(F.col("kind").isin("if", "for", "try")).select("g", F.col("id").alias("up"))
     ups = e.select("g", "id", F.explode(F.sequence(F.lit(1), F.lit(DIGITS))).alias("i")).select("g", "id", F.expr("shiftright(id, i)").alias("up")).filter("up > 0")
-    parent = ups.join(holder, ["g", "up"]).groupBy("g", "id").agg(F.max("up").alias("parent"))
-    x = e.join(parent, ["g", "id"], "left")
+    parent = ups.join(holder.hint("merge"), ["g", "up"]).groupBy("g", "id").agg(F.max("up").alias("parent"))
+    x = e.join(parent.hint("merge"), ["g", "id"], "left")
     return x.select("g", "id", "parent", "kind", (F.col("id") % 2 == 1).alias("on_false"), F.col("kind").alias("form"), F.floor(F.col("value") / 10).cast("string").alias("text"))
 
 

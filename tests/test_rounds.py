@@ -23,6 +23,10 @@ def test_movable_statements_sends_nothing_to_the_driver(spark, small):
     assert "Broadcast" not in plan(tree_queries.movable_statements(spark, small))
 
 
+def test_statements_of_trees_are_merged(spark, small):
+    assert "Broadcast" not in plan(tree_queries._statements(spark, small))
+
+
 def test_object_slices_send_nothing_to_the_driver(spark, small):
     for query in (slice_queries.object_slices, slice_queries.passed_parameters):
         assert "Broadcast" not in plan(query(spark, small))
