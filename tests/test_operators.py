@@ -76,6 +76,37 @@ def test_snapshots():
     assert cluster.snapshots(matrix(5, ab=0.2)) == [(0, 1)]
 
 
+def test_linked_pairs_alone():
+    """Equal distances of cluster pairs in the order of a full matrix, and memory that follows the pairs."""
+    d = matrix(6, bc=0.2, ac=0.2, de=0.2, cd=0.5, ef=0.9)
+    assert cluster.snapshots(d) == plain_snapshots(d)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(2, 12))
+        d = np.tril(rng.integers(1, 6, (n, n)) / 5, -1)
+        assert cluster.snapshots(d + d.T) == plain_snapshots(d + d.T)
+    many = 300_000  # a matrix of them would take 720 GB
+    k = np.arange(0, many, 2)
+    assert len(cluster.linked(many, k + 1, k, np.full(len(k), 0.5))) == len(k)
+
+
+def plain_snapshots(d):
+    """Cluster after cluster by the whole matrix of distances."""
+    clusters, seen = [(k,) for k in range(len(d))], {}
+    while len(clusters) > 2:
+        least = min(((min(d[x, y] for x in p for y in q), i, j) for i, p in enumerate(clusters) for j, q in enumerate(clusters) if j < i), default=(2.0, 0, 0))
+        if least[0] >= 1:
+            break
+        _, i, j = least
+        one, two = clusters[j], clusters.pop(i)
+        gone = one if len(two) == 1 < len(one) else two if len(one) == 1 < len(two) else None
+        clusters[j] = one + two
+        seen.pop(gone, None)
+        if len(clusters) > 2 or min(map(len, clusters)) > 1:
+            seen.update((c, None) for c in clusters if len(c) > 1)
+    return list(seen)
+
+
 def test_hierarchical(spark):
     e = spark.createDataFrame([("C", x, k) for k, x in enumerate("abcd")] + [("D", "z", 0)], "class string, entity string, position int")
     d = spark.createDataFrame([("C", "a", "b", 0.2), ("C", "d", "c", 0.3)], "class string, a string, b string, dist double")
