@@ -48,3 +48,14 @@ def slice_measures(slices: Column, length: Column) -> dict[str, Column]:
         "coverage": mean(lambda s: F.size(s) / length),
         "overlap": mean(lambda s: F.size(common) / F.size(s)),
     }
+
+
+def common_counts(rows: DataFrame, key: str, element: str) -> DataFrame:
+    """a, b, common of keys a < b that share elements (rows: key, element; repeats and nulls don't count).
+
+    The keys of an element are one row, and each key gets the list of those after it, so a pair that shares many elements is
+    shuffled as numbers in lists. Lists are dealt by a, where the pairs are counted as they are read.
+    """
+    keys = rows.filter(F.col(element).isNotNull()).groupBy(element).agg(F.array_sort(F.collect_set(key)).alias("keys"))
+    lists = keys.select(F.posexplode("keys").alias("at", "a"), "keys").select("a", F.slice("keys", F.col("at") + 2, F.size("keys")).alias("after")).filter(F.size("after") > 0)
+    return lists.repartition("a").select("a", F.explode("after").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))

@@ -49,9 +49,8 @@ pairs AS (SELECT a.s AS a, b.s AS b, count(*) AS c FROM sells a JOIN sells b ON
 @query(f"WITH {_PAIRS} SELECT a, b, c::BIGINT AS common, round(1.0 - c::DOUBLE / (x.n + y.n - c), 6) AS distance FROM pairs JOIN sizes x ON x.s = a JOIN sizes y ON y.s = b")
 def jaccard_supplier_pairs(spark, d):
     """Jaccard distances of suppliers by the parts they sell, through shared parts."""
-    x = _sells(spark, d)
-    n = x.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    c = x.alias("x").join(x.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.col("x.s") < F.col("y.s"))).groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    n = _sells(spark, d).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    c = sets.common_counts(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")), "s", "p")
     out = c.join(n.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", "common", r6(sets.distance_of_sizes(F.col("common"), F.col("na"), F.col("nb"))).alias("distance"))
 

@@ -22,6 +22,21 @@ def test_jaccard_distance(spark):
     assert tuple(r) == (0.5, 1.0, 1.0, 0.0)
 
 
+def test_common_counts(spark):
+    """Pairs that share many elements travel as lists: no join, and no row for each element that two keys share."""
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 9), rng.randint(1, 12)) for _ in range(80)] + [(3, None), (4, None), (None, 5)]
+    x = spark.createDataFrame(rows, "s int, p int")
+    of = {}
+    for s, p in rows:
+        if s is not None and p is not None:
+            of.setdefault(s, set()).add(p)
+    out = sets.common_counts(x, "s", "p")
+    want = {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and of[a] & of[b]}
+    assert {(r["a"], r["b"]): r["common"] for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_set_algebra(spark):
     a, b = arr("x", "y"), arr("y", "z")
     r = one(spark, F.array_sort(sets.union(a, b)), sets.intersection(a, b), sets.difference(a, b), sets.contains_all(a, arr("x")), sets.contains_all(a, b))
