@@ -128,10 +128,16 @@ def average_coupling(classes: DataFrame, accesses: DataFrame) -> DataFrame:
 
 def dependencies(accesses: DataFrame, by: list[str], inside: str = "inside") -> DataFrame:
     """Internal and external counts of distinct fields and calls; `inside` is a boolean column, `member` and `mode` the rest."""
-    d = accesses.select(*by, inside, "member", "mode").distinct()
-    count = lambda mode, at: F.count_if((F.col("mode") == mode) & (F.col(inside) == F.lit(at)))
+    # The kinds of use that a member has are one number, so no member is expanded into a row for each count.
     names = {(m, a): f"{'internal' if a else 'external'}_{m}s" for m in ("call", "read", "write") for a in (True, False)}
-    return d.groupBy(*by).agg(*(count(m, a).alias(n) for (m, a), n in names.items()), F.count_distinct(F.when(F.col(inside), F.col("member"))).alias("source_deps"), F.count_distinct(F.when(~F.col(inside), F.col("member"))).alias("target_deps"))
+    bit = F.lit(0)
+    for k, (m, a) in enumerate(names):
+        bit = F.when((F.col("mode") == m) & (F.col(inside) == F.lit(a)), 1 << k).otherwise(bit)
+    place = F.when(F.col(inside), 64).when(~F.col(inside), 128).otherwise(0)
+    d = accesses.select(*by, "member", bit.bitwiseOR(place).alias("uses")).groupBy(*by, "member").agg(F.bit_or("uses").alias("uses"))
+    has = lambda b: F.col("uses").bitwiseAND(F.lit(b)) != 0
+    known = F.col("member").isNotNull()
+    return d.groupBy(*by).agg(*(F.count_if(has(1 << k)).alias(n) for k, n in enumerate(names.values())), F.count_if(known & has(64)).alias("source_deps"), F.count_if(known & has(128)).alias("target_deps"))
 
 
 def dependency_histogram(accesses: DataFrame, by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import edits, names, sets
 from ..operators import candidates, clones, cluster, evolution, facts, flow, graph, joins, metrics
 from ..sources.reports import line_offsets
-from ..sources.tables import table
+from ..sources.tables import partitions_for, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -199,8 +199,9 @@ def dependency_counts(spark, d):
     """Distinct internal and external dependencies of customers on parts, by mode."""
     li, o, c, s = (table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier"))
     mode = F.when(F.col("l_returnflag") == "R", "read").when(F.col("l_returnflag") == "A", "write").otherwise("call")
-    a = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).select(F.col("o_custkey").alias("k"), (F.col("s_nationkey") == F.col("c_nationkey")).alias("inside"), F.col("l_partkey").alias("member"), mode.alias("mode"))
-    return metrics.dependencies(a, ["k"]).select("k", "source_deps", "target_deps", "internal_reads", "external_reads")
+    n = partitions_for(li)
+    a = li.repartition(n, "l_orderkey").join(o.join(c, o["o_custkey"] == c["c_custkey"]).repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(s, li["l_suppkey"] == s["s_suppkey"]).select(F.col("o_custkey").alias("k"), (F.col("s_nationkey") == F.col("c_nationkey")).alias("inside"), F.col("l_partkey").alias("member"), mode.alias("mode"))
+    return metrics.dependencies(a.repartition(n, "k", "member"), ["k"]).select("k", "source_deps", "target_deps", "internal_reads", "external_reads")
 
 
 @query("SELECT l_suppkey AS s, l_returnflag AS mode, p_brand AS member, count(*)::BIGINT AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3")

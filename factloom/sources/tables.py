@@ -11,6 +11,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def partitions_for(df: DataFrame, rows: int = 400_000) -> int:
+    """Partitions for a shuffle of df, at least as many as the session's, so that a task's rows don't grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 #: The columns of the detectors' result tables, in order.
 RESULTS = {
     "move method": ("refactoring_type", "source_entity", "target_class", "source_deps", "target_deps"),

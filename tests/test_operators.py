@@ -471,3 +471,11 @@ def test_refactoring_outcomes(spark):
     df = spark.createDataFrame([(i, *{**base, **c}.values()) for i, (c, _) in enumerate(cases)], schema)
     got = {r["i"]: r["outcome"] for r in clones.refactoring_type(df).collect()}
     assert [got[i] for i in range(len(cases))] == [clones.OUTCOMES[k] for _, k in cases]
+
+
+def test_dependencies_by_bits(spark):
+    """Counts of distinct members without a row for each count, with members and places that aren't known."""
+    x = spark.createDataFrame([("k", True, "a", "call"), ("k", True, "a", "call"), ("k", True, "a", "read"), ("k", False, "a", "read"), ("k", False, "b", "write"), ("k", True, None, "read"), ("k", None, "c", "call"), ("k", True, "d", "other")], "k string, inside boolean, member string, mode string")
+    out = metrics.dependencies(x, ["k"])
+    want = {"k": "k", "internal_calls": 1, "external_calls": 0, "internal_reads": 2, "external_reads": 1, "internal_writes": 0, "external_writes": 1, "source_deps": 2, "target_deps": 2}
+    assert out.first().asDict() == want and "Expand" not in out._jdf.queryExecution().executedPlan().toString()

@@ -101,3 +101,8 @@ def test_change_stream(spark, tmp_path):
 def test_windowed_counts(spark):
     e = spark.sql("SELECT timestamp'2024-01-01 00:00:10' AS ts, 'a' AS t UNION ALL SELECT timestamp'2024-01-01 00:00:50', 'a' UNION ALL SELECT timestamp'2024-01-01 00:01:10', 'a'")
     assert sorted(r["n"] for r in stream.windowed_counts(e, "ts", "1 minute", "10 minutes", ["t"]).collect()) == [1, 2]
+
+
+def test_partitions_follow_rows(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.partitions_for(spark.range(10)) == least and tables.partitions_for(spark.range(1001), 10) == 101
