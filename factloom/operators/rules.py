@@ -6,11 +6,13 @@ candidate costs what its own facts do. Facts that are absent break no rule.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_well_known
-from .facts import Thresholds, is_test, valid_targets
+from .facts import Thresholds, is_test
 from .graph import Rounds
 
 #: What stands against moving a method to a target.
@@ -48,21 +50,30 @@ def move_method_rules(candidates: DataFrame, methods: DataFrame, classes: DataFr
     """
     kind = F.col("kind")
     own = body.groupBy("method").agg(_any(kind.isin("super call", "super field"), "calls_super"), _any(kind == "own field write", "writes_own_field"), _any((kind == "argument") & (F.col("name") == "this"), "passes_this"))
-    typed = body.filter(kind.isin("parameter write", "null check")).groupBy("method", F.col("type").alias("target")).agg(_any(kind == "parameter write", "assigns_target_parameter"), _any(kind == "null check", "checks_target_for_null"))
     tests = methods.groupBy("class").agg(_any(is_test(F.lit(None).cast("string"), F.col("annotations")), "t"))
     sources = classes.join(tests, "class", "left").select(F.col("class").alias("source"), (F.coalesce("t", F.lit(False)) | is_test(F.col("superclass"), F.array().cast("array<string>"))).alias("source_is_test"))
     targets = classes.select(F.col("class").alias("target"), (kind == "interface").alias("target_is_interface"), (kind == "enum").alias("target_is_enum"))
-    fields = candidates.select("method", F.col("source").alias("src_class"), "target").join(body.filter(kind == "field").select("method", F.col("name").alias("dst")).distinct(), "method")
-    many = fields.join(associations.filter("is_container").select(F.col("from_class").alias("src_class"), F.col("to_class").alias("target"), F.col("field").alias("dst")), ["src_class", "target", "dst"]).select("method", "target").distinct()
-    valid = valid_targets(candidates.select("method", "target"), reachable, local_types).distinct()
+    # Links meet what a method reads before they meet its candidates.
+    fields = candidates.select("method", F.col("source").alias("src_class")).distinct().join(body.filter(kind == "field").select("method", F.col("name").alias("dst")).distinct(), "method")
+    linked = fields.join(associations.filter("is_container").select(F.col("from_class").alias("src_class"), F.col("to_class").alias("target"), F.col("field").alias("dst")), ["src_class", "dst"]).select("method", F.col("src_class").alias("source"), "target").distinct()
+    many = linked.join(candidates.select("method", "source", "target"), ["method", "source", "target"], "left_semi")
     mine = methods.select("method", "name", "return_type", "params", "is_synchronized", "overrides")
-    theirs = methods.select(F.col("class").alias("target"), "name", "return_type", F.col("params").alias("other"))
-    same = candidates.select("method", "target").join(mine, "method").join(theirs, ["target", "name", "return_type"])
-    same = same.filter((F.col("other") == F.col("params")) | (F.col("other") == F.filter("params", lambda p: p != F.col("target")))).select("method", "target").distinct()
-    out = candidates.join(mine.select("method", "is_synchronized", "overrides"), "method", "left").join(own, "method", "left").join(typed, ["method", "target"], "left")
-    out = out.join(sources, "source", "left").join(targets, "target", "left").join(many.withColumn("one_to_many", F.lit(True)), ["method", "target"], "left")
-    out = out.join(valid.withColumn("v", F.lit(True)), ["method", "target"], "left").withColumn("no_target_object", F.col("v").isNull())
-    out = out.join(same.withColumn("signature_in_target", F.lit(True)), ["method", "target"], "left")
+    # Signatures meet whole, parameters and all: methods of one name alone would meet in pairs.
+    theirs = methods.select(F.col("class").alias("target"), "name", "return_type", F.col("params").alias("other")).distinct()
+    either = F.array("params", F.filter("params", lambda p: p != F.col("target")))
+    same = candidates.select("method", "target").join(mine, "method").select("method", "target", "name", "return_type", F.explode(F.array_distinct(either)).alias("other"))
+    same = same.join(theirs, ["target", "name", "return_type", "other"], "left_semi")
+    # What is said of a method and a target is one number for each, so candidates meet it once.
+    marks = (
+        (body.filter(kind == "parameter write").withColumnRenamed("type", "target"), 1), (body.filter(kind == "null check").withColumnRenamed("type", "target"), 2),
+        (many, 4), (reachable, 8), (local_types, 16), (same, 32),
+    )
+    said = reduce(DataFrame.union, (m.select("method", "target", F.lit(bit).alias("bit")) for m, bit in marks)).groupBy("method", "target").agg(F.bit_or("bit").alias("said"))
+    has = lambda bit: (F.coalesce("said", F.lit(0)).bitwiseAND(F.lit(bit)) != 0)
+    out = candidates.join(mine.select("method", "is_synchronized", "overrides"), "method", "left").join(own, "method", "left").join(said, ["method", "target"], "left")
+    out = out.join(sources, "source", "left").join(targets, "target", "left").withColumns({
+        "assigns_target_parameter": has(1), "checks_target_for_null": has(2), "one_to_many": has(4), "no_target_object": ~has(8) | has(16), "signature_in_target": has(32),
+    })
     return _decided(out.select("method", "source", "target", *MOVE_METHOD), MOVE_METHOD)
 
 

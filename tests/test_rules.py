@@ -32,6 +32,19 @@ def test_move_method(spark):
     assert [broken(out[k], rules.MOVE_METHOD) for k in ("m_i", "m_e", "m_t", "m_x")] == [{"target_is_interface"}, {"target_is_enum"}, {"source_is_test"}, {"source_is_test"}]
 
 
+def test_signatures_meet_whole(spark):
+    """Methods of one name and type in the target are met by their parameters too, never in pairs: no join has other keys."""
+    m = spark.range(40).selectExpr("concat('m', id) AS method", "if(id < 20, 'S', 'T') AS class", "concat('f', id % 1) AS name", "concat('int', id % 1) AS return_type", "if(id < 20, array(concat('p', id), 'T'), array(concat('p', id - 20 + id % 2 * 50))) AS params", "cast(array() AS array<string>) AS annotations", "false AS is_synchronized", "false AS overrides")
+    cand = m.filter("class = 'S'").selectExpr("method", "class AS source", "'T' AS target")
+    classes = spark.createDataFrame([("S", "class", None), ("T", "class", None)], "class string, kind string, superclass string")
+    none = spark.createDataFrame([], "method string, target string")
+    assoc = spark.createDataFrame([], "from_class string, to_class string, field string, is_container boolean")
+    out = rules.move_method_rules(cand, m, classes, spark.createDataFrame([], "method string, kind string, name string, type string"), cand.select("method", "target"), none, assoc)
+    assert {r["method"] for r in out.filter("signature_in_target").collect()} == {f"m{k}" for k in range(0, 20, 2)}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "return_type" in x and "name" in x]
+    assert joins and all("LeftSemi" in x and "other" in x for x in joins)
+
+
 def test_extract_class(spark):
     schema = "class string, entity string, kind string, access string, is_static boolean, is_abstract boolean, is_synchronized boolean, overrides boolean, calls_super boolean, reads_enclosing boolean, is_accessor boolean, is_delegate boolean, name string, params array<string>, return_type string"
     plain = {"class": "A", "access": "private", "is_static": False, "is_abstract": False, "is_synchronized": False, "overrides": False, "calls_super": False, "reads_enclosing": False, "is_accessor": False, "is_delegate": False, "params": [], "return_type": "int"}
