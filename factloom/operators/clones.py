@@ -198,20 +198,26 @@ def map_graphs(one: list[tuple[int, int, str]], two: list[tuple[int, int, str]],
     return best, True
 
 
-def mapped_pairs(pairs: DataFrame, most: int | None = None) -> DataFrame:
-    """pairs (pair, nodes1, edges1, nodes2, edges2) -> pair, mapping, complete. nodes: (id, kind); edges: (src, dst, dep)."""
+def mapped_pairs(pairs: DataFrame, most: int | None = None, parts: int = 1) -> DataFrame:
+    """pairs (pair, nodes1, edges1, nodes2, edges2) -> pair, mapping, complete. nodes: (id, kind); edges: (src, dst, dep).
+
+    Pairs of equal graphs have one mapping: they are gathered, in so many parts, and each part is searched once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, maps, whole = [], [], []
-            for pair, n1, e1, n2, e2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            maps, whole = [], []
+            for n1, e1, n2, e2 in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 got, done = map_graphs([(e["src"], e["dst"], e["dep"]) for e in e1], [(e["src"], e["dst"], e["dep"]) for e in e2], {n["id"]: n["kind"] for n in n1}, {n["id"]: n["kind"] for n in n2}, most)
-                ids.append(pair)
                 maps.append([{"a": x, "b": y} for x, y in got])
                 whole.append(done)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(maps, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(whole)], names=["pair", "mapping", "complete"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(whole)], names=["same", "mapping", "complete"])
 
-    return pairs.select(F.col("pair").cast("long"), "nodes1", "edges1", "nodes2", "edges2").mapInArrow(run, "pair long, mapping array<struct<a:int,b:int>>, complete boolean")
+    graphs = ["nodes1", "edges1", "nodes2", "edges2"]
+    x = pairs.select(F.struct(F.col("pair").cast("long").alias("pair")).alias("p"), *graphs)
+    alike = x.groupBy(*graphs, F.pmod(F.xxhash64("p"), F.lit(parts)).alias("part")).agg(F.collect_list("p").alias("same")).select("same", *graphs)
+    found = alike.mapInArrow(run, "same array<struct<pair:long>>, mapping array<struct<a:int,b:int>>, complete boolean")
+    return found.select(F.explode("same").alias("p"), "mapping", "complete").select("p.pair", "mapping", "complete")
 
 
 def without_subsumed(solutions: DataFrame, key: str, elements: str, wide: int = 64) -> DataFrame:

@@ -479,3 +479,14 @@ def test_dependencies_by_bits(spark):
     out = metrics.dependencies(x, ["k"])
     want = {"k": "k", "internal_calls": 1, "external_calls": 0, "internal_reads": 2, "external_reads": 1, "internal_writes": 0, "external_writes": 1, "source_deps": 2, "target_deps": 2}
     assert out.first().asDict() == want and "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_graphs_are_searched_once(spark):
+    graph = "array(named_struct('id', 1, 'kind', 'A'), named_struct('id', 2, 'kind', 'B')) AS nodes{0}, array(named_struct('src', 1, 'dst', 2, 'dep', 'd')) AS edges{0}"
+    pairs = spark.sql(f"SELECT id AS pair, {graph.format(1)}, {graph.format(2)} FROM range(50)")
+    for parts in (1, 7):
+        out = clones.mapped_pairs(pairs, parts=parts)
+        got = sorted((r["pair"], [(m["a"], m["b"]) for m in r["mapping"]], r["complete"]) for r in out.collect())
+        assert got == [(k, [(1, 1), (2, 2)], True) for k in range(50)]
+    plan = clones.mapped_pairs(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Aggregate")  # the search reads groups of equal graphs
