@@ -127,11 +127,17 @@ def detected_extract_classes(parts: DataFrame, accesses: DataFrame, homes: DataF
     used = used.join(homes.select("class", "entity").distinct(), ["class", "entity"], "left_semi").join(x.select("candidate", "entity", F.lit(True).alias("own")), ["candidate", "entity"], "left")
     deps = used.groupBy("candidate").agg(F.count_if(F.col("own").isNull()).alias("source_deps"), F.count_if("own").alias("extracted_deps"))
     size = x.groupBy("class", "candidate").agg(F.count(F.lit(1)).alias("size"))
-    good = size.join(deps, "candidate").filter((F.col("source_deps") <= t.extract_class_source) & (F.col("source_deps") < F.col("extracted_deps")))
+    return ranked_extract_classes(size.join(deps, "candidate"), t)
+
+
+def ranked_extract_classes(counts: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """The same of applicable candidates whose class, candidate, size, source_deps and extracted_deps are counted already (by
+    rules.extract_class_counts)."""
+    good = counts.select("class", "candidate", "size", "source_deps", "extracted_deps").filter((F.col("source_deps") <= t.extract_class_source) & (F.col("source_deps") < F.col("extracted_deps")))
     order = [F.desc("extracted_deps"), "source_deps"]
-    top = good.withColumn("rn", F.row_number().over(W.partitionBy("class").orderBy(*order, "candidate"))).filter("rn = 1")
-    best = top.select("class", F.row_number().over(W.orderBy(*order, "class")).alias("best"))
-    return good.join(best, "class").withColumn("rank", F.row_number().over(W.orderBy(*order, "candidate")))
+    top = F.first(F.struct("extracted_deps", "source_deps")).over(W.partitionBy("class").orderBy(*order, "candidate"))
+    best = F.dense_rank().over(W.orderBy(F.desc("top.extracted_deps"), "top.source_deps", "class"))
+    return good.withColumn("top", top).withColumn("best", best).drop("top").withColumn("rank", F.row_number().over(W.orderBy(*order, "candidate")))
 
 
 def rank_clusters(clusters: DataFrame) -> DataFrame:

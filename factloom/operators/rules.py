@@ -9,7 +9,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.names import is_well_known
 from .facts import Thresholds, is_test
@@ -77,32 +79,69 @@ def move_method_rules(candidates: DataFrame, methods: DataFrame, classes: DataFr
     return _decided(out.select("method", "source", "target", *MOVE_METHOD), MOVE_METHOD)
 
 
+#: What is said of an entity, as bits: it is one of its class, a method, not private, not to be moved, a method that can stay, an
+#: instance field, used by another class.
+KNOWN, METHOD, VISIBLE, BANNED, STAYS, INSTANCE, OUTSIDE = (1 << k for k in range(7))
+
+
+def entity_marks() -> Column:
+    """The bits of a row of `entities` (see extract_class_rules)."""
+    method, known = F.col("kind") == "method", F.coalesce(is_well_known(F.col("name"), F.col("params"), F.col("return_type")), F.lit(False))
+    serial = known & F.col("name").isin("readObject", "writeObject")
+    flags = (
+        (method, METHOD), (F.col("access") != "private", VISIBLE),
+        (method & (F.greatest("is_synchronized", "calls_super", "overrides", "is_abstract", "reads_enclosing") | serial), BANNED),
+        (method & ~F.greatest("is_static", "is_abstract", "is_accessor", "is_delegate") & ~known, STAYS), (~method & ~F.col("is_static"), INSTANCE),
+    )
+    return reduce(Column.bitwiseOR, (F.when(flag, bit).otherwise(0) for flag, bit in flags), F.lit(KNOWN))
+
+
+def extract_class_counts(said: DataFrame) -> DataFrame:
+    """candidate, class, size, source_deps, extracted_deps (what its methods use outside and inside of it) with EXTRACT_CLASS and
+    `applicable`.
+
+    said: class, entity and, each or null, a candidate of the class that holds it, dst (an entity of the class that it uses), and
+    marks (bits of it). Every step groups by the class and more, so rows that are dealt by class are shuffled once.
+    """
+    kind = said.schema["candidate"].dataType
+    none, marks = F.array().cast(ArrayType(kind)), F.coalesce(F.bit_or("marks"), F.lit(0)).alias("marks")
+    each = said.filter("class IS NOT NULL AND entity IS NOT NULL").groupBy("class", "entity").agg(marks, F.array_sort(F.collect_set("candidate")).alias("held"), F.collect_set("dst").alias("uses"))
+    row = lambda entity, bits, held, used: F.struct(entity.alias("entity"), bits.alias("marks"), held.alias("held"), used.alias("used"))
+    # What is used learns which candidates use it.
+    used = F.transform(F.filter("uses", lambda _: F.size("held") > 0), lambda x: row(x, F.lit(0), none, F.col("held")))
+    met = each.select("class", F.inline(F.concat(F.array(row(F.col("entity"), F.col("marks"), F.col("held"), none)), used)))
+    met = met.groupBy("class", "entity").agg(marks, F.max("held").alias("held"), F.flatten(F.collect_set("used")).alias("used"))
+    has = lambda bit: F.col("marks").bitwiseAND(F.lit(bit)) != 0
+    # A row without a candidate counts for the whole class.
+    rows = met.filter(has(KNOWN)).select("class", "marks", "held", "used", F.explode(F.concat(F.array(F.lit(None).cast(kind)), F.array_union("held", "used"))).alias("candidate"))
+    rows = rows.select("class", "candidate", "marks", F.col("candidate").isNull().alias("all"), *(F.coalesce(F.array_contains(c, F.col("candidate")), F.lit(False)).alias(c) for c in ("held", "used")))
+    held, used, method = F.col("held"), F.col("used"), has(METHOD)
+    n = rows.groupBy("class", "candidate").agg(
+        _any(held & has(BANNED), "banned_method"), _any(held & ~method & has(VISIBLE) & has(OUTSIDE), "visible_field_used_outside"), _any(held & ~method & ~used, "field_not_accessed"),
+        F.count_if(held).alias("size"), F.count_if(held & method).alias("methods"), F.count_if(held & has(STAYS)).alias("stay"), F.count_if(held & has(INSTANCE)).alias("fields"),
+        F.count_if(used & ~held).alias("source_deps"), F.count_if(used & held).alias("extracted_deps"),
+        F.count_if(F.col("all") & has(STAYS)).alias("all_stay"), F.count_if(F.col("all") & has(INSTANCE)).alias("all_fields"),
+    )
+    whole = W.partitionBy("class")
+    n = n.withColumns({c: F.max(c).over(whole) for c in ("all_stay", "all_fields")}).filter("candidate IS NOT NULL AND size > 0")
+    out = n.withColumns({"too_small": F.col("size") <= 2, "no_method": F.col("methods") == 0, "no_method_remains": F.col("all_stay") <= F.col("stay"), "no_field_remains": F.col("all_fields") <= F.col("fields")})
+    return _decided(out.select("candidate", "class", *EXTRACT_CLASS, "size", "source_deps", "extracted_deps"), EXTRACT_CLASS)
+
+
 def extract_class_rules(candidates: DataFrame, entities: DataFrame, accesses: DataFrame) -> DataFrame:
     """candidate, class with EXTRACT_CLASS and `applicable`, of candidates (candidate, class, entity: one row for each entity).
 
     entities: class, entity, kind (method or field), access, is_static, is_abstract, is_synchronized, overrides, calls_super,
     reads_enclosing, is_accessor, is_delegate, name, params, return_type. accesses: src, dst, src_class.
     """
-    method, known = F.col("kind") == "method", F.coalesce(is_well_known(F.col("name"), F.col("params"), F.col("return_type")), F.lit(False))
-    serial = known & F.col("name").isin("readObject", "writeObject")
-    facts = entities.select(
-        "class", "entity", method.alias("m"), (F.col("access") != "private").alias("visible"),
-        (method & (F.greatest("is_synchronized", "calls_super", "overrides", "is_abstract", "reads_enclosing") | serial)).alias("banned"),
-        (method & ~F.greatest("is_static", "is_abstract", "is_accessor", "is_delegate") & ~known).alias("stays"), (~method & ~F.col("is_static")).alias("instance_field"),
-    )
     homes = entities.select(F.col("entity").alias("dst"), F.col("class"))
-    outside = accesses.join(homes, "dst").filter(F.col("src_class") != F.col("class")).select("class", F.col("dst").alias("entity")).distinct()
-    rows = candidates.select("candidate", "class", "entity").distinct().join(facts, ["class", "entity"])
-    inner = rows.select("candidate", F.col("entity").alias("src")).join(accesses.select("src", "dst").distinct(), "src").select("candidate", F.col("dst").alias("entity")).distinct()
-    rows = rows.join(outside.withColumn("outside", F.lit(True)), ["class", "entity"], "left").join(inner.withColumn("accessed", F.lit(True)), ["candidate", "entity"], "left")
-    of_class = facts.groupBy("class").agg(F.count_if("stays").alias("all_stay"), F.count_if("instance_field").alias("all_fields"))
-    n = rows.groupBy("candidate", "class").agg(
-        _any(F.col("banned"), "banned_method"), _any(~F.col("m") & F.col("visible") & F.col("outside"), "visible_field_used_outside"),
-        (F.count(F.lit(1)) <= 2).alias("too_small"), (F.count_if("m") == 0).alias("no_method"), F.count_if("stays").alias("stay"), F.count_if("instance_field").alias("fields"),
-        _any(~F.col("m") & F.col("accessed").isNull(), "field_not_accessed"),
-    )
-    out = n.join(of_class, "class").withColumn("no_method_remains", F.col("all_stay") <= F.col("stay")).withColumn("no_field_remains", F.col("all_fields") <= F.col("fields"))
-    return _decided(out.select("candidate", "class", *EXTRACT_CLASS), EXTRACT_CLASS)
+    met = accesses.select("src", "dst", "src_class").distinct().join(homes, "dst")
+    no = lambda c, df, of: F.lit(None).cast(df.schema[of].dataType).alias(c)
+    one = entities.select("class", "entity", no("candidate", candidates, "candidate"), no("dst", entities, "entity"), entity_marks().alias("marks"))
+    two = candidates.select("class", "entity", "candidate", no("dst", entities, "entity"), F.lit(0).alias("marks"))
+    three = met.select("class", F.col("src").alias("entity"), no("candidate", candidates, "candidate"), "dst", F.lit(0).alias("marks"))
+    four = met.filter(F.col("src_class") != F.col("class")).select("class", F.col("dst").alias("entity"), no("candidate", candidates, "candidate"), no("dst", entities, "entity"), F.lit(OUTSIDE).alias("marks"))
+    return extract_class_counts(reduce(DataFrame.union, (one, two, three, four))).select("candidate", "class", *EXTRACT_CLASS, "applicable")
 
 
 def slice_rules(slices: DataFrame, members: DataFrame, nodes: DataFrame, edges: DataFrame, region: DataFrame, returned: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -1,5 +1,7 @@
 """The detectors' rules on cases in which each rule alone stands against a candidate."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.operators import rules
@@ -115,3 +117,24 @@ def test_small_rules(spark):
     assert got(rules.unified_text(s, ["s"])) == [("s", "a + b")]
     k = spark.createDataFrame([("m", "if"), ("m", "if"), ("m", "for")], "m string, kind string")
     assert got(rules.statement_counts(k, ["m"])) == [("m", "for", 1, 3), ("m", "if", 2, 3)] and rules.of_kind(k, "for").count() == 1
+
+
+def test_extract_class_counts_shuffle_once(spark):
+    """Rows dealt by class stay where they are; the counts are those of the detector's own joins."""
+    from factloom.operators import candidates
+
+    r = random.Random(5)
+    parts = sorted({(c, f"{c}#{r.randint(0, 3)}", e, e[0]) for c in range(30) for _ in range(24) for e in (f"m{c}_{r.randint(0, 5)}", f"f{c}_{r.randint(0, 7)}")})
+    uses = sorted({(f"m{c}_{r.randint(0, 5)}", f"f{c}_{r.randint(0, 9)}", c) for c in range(30) for _ in range(9)})
+    homes = sorted({(c, e) for c, _, e, _ in parts} | {(c, e) for m, f, c in uses for e in (m, f)})
+    rows = [(c, e, k, None, 0) for c, k, e, _ in parts] + [(c, m, None, f, 0) for m, f, c in uses] + [(c, e, None, None, rules.KNOWN | (rules.METHOD if e[0] == "m" else 0)) for c, e in homes]
+    said = spark.createDataFrame(rows, "class long, entity string, candidate string, dst string, marks int")
+    n = rules.extract_class_counts(said.repartition(3, "class"))
+    assert n._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    p = spark.createDataFrame(parts, "class long, candidate string, entity string, kind string").withColumn("kind", F.when(F.col("kind") == "m", "method").otherwise("field"))
+    judged = p.select("candidate", F.lit(True).alias("applicable")).distinct()
+    want = candidates.detected_extract_classes(p, spark.createDataFrame(uses, "src string, dst string, class long"), spark.createDataFrame(homes, "class long, entity string"), judged)
+    got = sorted(tuple(x) for x in candidates.ranked_extract_classes(n).collect())
+    assert got == sorted(tuple(x) for x in want.collect()) and len(got) > 5
+    bests = {x[0]: x[5] for x in got}
+    assert sorted(bests.values()) == list(range(1, len(bests) + 1))
