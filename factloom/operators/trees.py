@@ -4,15 +4,20 @@ statements: g (method), id (from 1, in order), parent (the predicate or try bloc
 on_false (it runs in the false branch of its parent), form (what two nodes must share to match: the normalised predicate).
 trees: g, node, parent, level, form, if_parent, size, shape. The entry is node 0; the else part of an `if` p is node -p.
 
-Trees are built and matched a level at a time, all methods at once, by joins on (g, node). No two methods meet unless they
-share a sub-tree or are given as a pair.
+Trees are built a level at a time, all methods at once, by joins on (g, node). No two methods meet unless they share a
+sub-tree or are given as a pair; a given pair is a row with both trees, which are as small as a method, and climbs in a kernel.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .graph import settled
 
@@ -117,19 +122,6 @@ def _side(shapes: DataFrame, k: int) -> DataFrame:
     return shapes.select(*(F.col(n).alias(n + str(k)) for n in names))
 
 
-def _zipped(now: DataFrame, shapes: DataFrame, by: str) -> DataFrame:
-    """For rows (key, g1, a, g2, b) the pairs (x, y) of like nodes beside a and b, in order: those with the same parent, or the
-    same chain, but a and b themselves."""
-    def beside(k: int, of: str, to: str) -> DataFrame:
-        mine = shapes.select(F.col("g").alias(f"g{k}"), F.col("node").alias(of), F.col(by).alias(f"{by}{k}"))
-        met = now.join(mine, [f"g{k}", of]).join(_side(shapes, k), [f"g{k}", f"{by}{k}"]).filter(f"node{k} <> {of}")
-        at = F.row_number().over(W.partitionBy("key", "a", "b", f"like{k}").orderBy(F.abs(f"node{k}"), F.desc(f"node{k}")))
-        return met.select("key", "g1", "a", "g2", "b", F.col(f"node{k}").alias(to), F.col(f"like{k}").alias("like"), at.alias("at"), f"shape{k}")
-
-    left, right = beside(1, "a", "x"), beside(2, "b", "y").drop("g1", "g2")
-    return left.join(right, ["key", "a", "b", "like", "at"]).select("key", "g1", "a", "g2", "b", "x", "y", (F.col("shape1") == F.col("shape2")).alias("whole"))
-
-
 def top_down(seeds: DataFrame, shapes: DataFrame) -> DataFrame:
     """key, g1, a, g2, b: seeds and, level by level, their children of like form in order. With equal shapes this maps both
     sub-trees whole."""
@@ -145,6 +137,95 @@ def top_down(seeds: DataFrame, shapes: DataFrame) -> DataFrame:
         out = out.unionByName(now)
 
 
+class _Tree:
+    """The tree of one method; siblings, and the members of a chain, in order."""
+
+    def __init__(self, node: list[int], parent: list[int | None], chain: list[int | None], like: list[str], nth: list[int], shape: list[str]):
+        self.parent, self.chain, self.like, self.nth, self.shape = (dict(zip(node, x, strict=True)) for x in (parent, chain, like, nth, shape))
+        self.below, self.mates = defaultdict(list), defaultdict(list)
+        for n in sorted(node, key=lambda n: (abs(n), -n)):
+            self.below[self.parent[n]].append(n)
+            if self.chain[n] is not None:
+                self.mates[self.chain[n]].append(n)
+
+    def starts(self) -> list[int]:
+        """Leaves that have leaves beside them alone, by place."""
+        holders = {self.parent[n] for n in self.parent if n in self.below}
+        return sorted((n for n, up in self.parent.items() if n and n not in self.below and up not in holders), key=lambda n: (abs(n), n))
+
+
+def _beside(one: _Tree, two: _Tree, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
+    """Like nodes of both lists, in order."""
+    by = defaultdict(list)
+    for y in reversed(right):
+        by[two.like[y]].append(y)
+    for x in left:
+        if by[one.like[x]]:
+            yield x, by[one.like[x]].pop()
+
+
+def _whole(one: _Tree, two: _Tree, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Two sub-trees of one shape, node by node."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        yield a, b
+        spot = {(two.like[y], two.nth[y]): y for y in two.below.get(b, ())}
+        todo += [(x, spot[one.like[x], one.nth[x]]) for x in one.below.get(a, ()) if (one.like[x], one.nth[x]) in spot]
+
+
+def _climbed(one: _Tree, two: _Tree) -> dict[int, set[tuple[int, int]]]:
+    """The matches of two trees by their first leaf (see bottom_up)."""
+    first, used, found = {}, set(), {}
+    for b in two.starts():
+        first.setdefault(two.like[b], b)
+    others = lambda of, key, n: [x for x in of.get(key, ()) if x != n]
+    for leaf in one.starts():
+        a, b = leaf, first.get(one.like[leaf])
+        if b is None or (one.parent[a], two.parent[b]) in used:
+            continue
+        used.add((one.parent[a], two.parent[b]))
+        pairs = set()
+        while True:
+            near = list(_beside(one, two, others(one.mates, one.chain[a], a), others(two.mates, two.chain[b], b)))
+            if one.chain[a] is not None and len(near) != len(one.mates[one.chain[a]]) - 1:
+                break
+            pairs.add((a, b))
+            near += _beside(one, two, others(one.below, one.parent[a], a), others(two.below, two.parent[b], b))
+            for x, y in near:
+                pairs.update(_whole(one, two, x, y) if one.shape[x] == two.shape[y] else [(x, y)])
+            a, b = one.parent[a], two.parent[b]
+            if not a or not b or one.like.get(a) is None or one.like[a] != two.like.get(b):
+                break
+        if pairs:
+            found[leaf] = pairs
+    sides = {k: ({a for a, _ in p}, {b for _, b in p}) for k, p in found.items()}
+    inside = lambda k, o: sides[k][0] <= sides[o][0] and sides[k][1] <= sides[o][1]
+    return {k: p for k, p in found.items() if not any(o != k and inside(k, o) and (not inside(o, k) or o < k) for o in found)}
+
+
+def _by_row(column: pa.Array) -> Iterator[list[list]]:
+    """The fields of each row's array of structs, as lists."""
+    fields = [x.to_pylist() for x in column.flatten().flatten()]
+    at = column.offsets.to_pylist()
+    for lo, hi in zip(at, at[1:], strict=False):
+        yield [f[lo - at[0] : hi - at[0]] for f in fields]
+
+
+def _kernel(names: list[str], schema: pa.Schema, run: Callable[..., Iterator[tuple]], keys: int, rows: int = 64) -> Callable:
+    """Batches of rows of `keys` columns and arrays of structs: each row's keys with what `run` makes of its arrays."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                b = whole.slice(k, rows)
+                got = [(i, *x) for i, arrays in enumerate(zip(*map(_by_row, b.columns[keys:]), strict=True)) for x in run(*arrays)]
+                at, *out = zip(*got, strict=True) if got else ([], *([] for _ in schema))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[:keys]), *(pa.array(x, f.type) for x, f in zip(out, schema, strict=True))], names=names)
+
+    return over
+
+
 def bottom_up(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
     """pair, solution, a, b: the maximal matches of the trees of each pair (pair, g1, g2), from leaves upwards.
 
@@ -154,41 +235,31 @@ def bottom_up(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
     and two parents start once. A match whose nodes lie in another one's, on both sides, goes; solutions are numbered by their
     first leaf.
     """
-    inner = shapes.select("g", F.col("parent").alias("node")).distinct()
-    leaf = shapes.filter("node <> 0").join(inner, ["g", "node"], "left_anti")
-    has_inner = shapes.join(inner, ["g", "node"], "left_semi").select("g", "parent").distinct()
-    start = settled(leaf.join(has_inner, ["g", "parent"], "left_anti").select("g", "node", "parent", "like"))
-    one = pairs.join(start.select(F.col("g").alias("g1"), F.col("node").alias("a"), F.col("parent").alias("p1"), "like"), "g1")
-    two = start.select(F.col("g").alias("g2"), F.col("node").alias("b"), F.col("parent").alias("p2"), "like")
-    first = two.groupBy("g2", "like").agg(F.min(F.struct(F.abs("b").alias("o"), "b", "p2")).alias("m")).select("g2", "like", "m.b", "m.p2")
-    w = W.partitionBy("pair", "p1", "p2").orderBy(F.abs("a"), "a")
-    seeds = one.join(first, ["g2", "like"]).withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-    now = seeds.select(F.struct("pair", F.col("a").alias("leaf")).alias("key"), "g1", "a", "g2", "b")
-    up = lambda k, n: shapes.select(F.col("g").alias(f"g{k}"), F.col("node").alias(n), F.col("parent").alias(f"p{k}"), F.col("length").alias(f"n{k}"))
-    top = shapes.select("g", "node", "like").filter("node <> 0")
-    above = lambda k: top.select(F.col("g").alias(f"g{k}"), F.col("node").alias(f"p{k}"), F.col("like").alias(f"l{k}"))
-    kept = None
-    while True:
-        met = _zipped(now, shapes, "chain").groupBy("key").agg(F.count(F.lit(1)).alias("met"))
-        here = now.join(up(1, "a"), ["g1", "a"]).join(up(2, "b"), ["g2", "b"]).join(met, "key", "left").filter("n1 = 0 OR coalesce(met, 0) = n1 - 1")
-        here = settled(here.select("key", "g1", "a", "g2", "b", "p1", "p2"))
-        kept = here if kept is None else kept.unionByName(here)
-        if here.isEmpty():
-            break
-        now = here.join(above(1), ["g1", "p1"]).join(above(2), ["g2", "p2"]).filter("l1 = l2").select("key", "g1", F.col("p1").alias("a"), "g2", F.col("p2").alias("b"))
-    kept = kept.drop("p1", "p2")
-    near = _zipped(kept, shapes, "parent").unionByName(_zipped(kept, shapes, "chain"))
-    beside = settled(near.select("key", "g1", F.col("x").alias("a"), "g2", F.col("y").alias("b"), "whole").distinct())
-    whole = top_down(beside.filter("whole"), shapes)
-    rows = settled(kept.unionByName(whole).unionByName(beside.filter("NOT whole").drop("whole")).select("key", "a", "b").distinct())
-    sets = settled(rows.groupBy("key").agg(F.collect_set("a").alias("s1"), F.collect_set("b").alias("s2")))
-    # A match that holds another one holds its first leaf.
-    mine = sets.select(F.col("key").alias("k"), F.col("key.pair").alias("pair"), F.col("key.leaf").alias("a"), F.col("s1").alias("m1"), F.col("s2").alias("m2"))
-    other = rows.select("key", F.col("key.pair").alias("pair"), "a").distinct().join(sets, "key")
-    inside = lambda x, y: F.size(F.array_except(x, y)) == 0
-    held = mine.join(other, ["pair", "a"]).filter((F.col("k") != F.col("key")) & inside("m1", "s1") & inside("m2", "s2"))
-    gone = held.filter(~(inside("s1", "m1") & inside("s2", "m2")) | (F.col("key") < F.col("k"))).select(F.col("k").alias("key")).distinct()
-    return rows.join(gone, "key", "left_anti").select("key.pair", F.col("key.leaf").alias("solution"), "a", "b")
+    trees = shapes.groupBy("g").agg(F.collect_list(F.struct("node", "parent", "chain", "like", "nth", "shape")).alias("tree"))
+    of = lambda k: trees.select(F.col("g").alias(f"g{k}"), F.col("tree").alias(f"tree{k}")).hint("merge")
+    met = pairs.join(of(1), "g1").join(of(2), "g2").select("pair", "tree1", "tree2")
+    run = lambda one, two: ((leaf, a, b) for leaf, found in _climbed(_Tree(*one), _Tree(*two)).items() for a, b in found)
+    names = ["pair", "solution", "a", "b"]
+    kind = shapes.schema["node"].dataType
+    return met.mapInArrow(_kernel(names, pa.schema([(n, pa.int64()) for n in names[1:]]), run, 1), StructType([pairs.schema["pair"], *(StructField(n, kind) for n in names[1:])]))
+
+
+def _by_levels(level: list[int | None], s1: list[int], s2: list[int], differs: list[bool], d1: list[list[int]], d2: list[list[int]]) -> Iterator[tuple[int, int, int, bool]]:
+    """What map_levels takes of one solution: s1, s2, level, differs."""
+    mapped: dict[int, int] = {}
+    for now in sorted({x for x in level if x is not None}, reverse=True):
+        left, taken = [k for k, x in enumerate(level) if x == now], set(mapped.values())
+        while left := [k for k in left if s1[k] not in mapped and s2[k] not in taken]:
+            agree = {k: sum(x in mapped and mapped[x] in d2[k] for x in set(d1[k])) for k in left}
+            one, two = {}, {}
+            for k in sorted(left, key=lambda k: (-agree[k], differs[k], s1[k], s2[k])):
+                one.setdefault(s1[k], k)
+                two.setdefault(s2[k], k)
+            for k in one.values():
+                if two[s2[k]] == k:
+                    mapped[s1[k]] = s2[k]
+                    taken.add(s2[k])
+                    yield s1[k], s2[k], now, differs[k]
 
 
 def map_levels(matches: DataFrame, statements: DataFrame) -> DataFrame:
@@ -198,30 +269,17 @@ def map_levels(matches: DataFrame, statements: DataFrame) -> DataFrame:
     (ids of the statements they depend on, or null). Below two matched nodes statements of like form can be mapped to each
     other. Levels are worked off one after another; within a level, pairs are taken in rounds: each round takes the pairs that
     are the best choice of both their sides, by dependences that end in statements mapped to each other before, equal texts,
-    and order. So every round maps at least one statement below any node that has some left, and all nodes of all pairs of
-    methods go through a round together.
+    and order. So every round maps at least one statement below any node that has some left. A solution of a pair is
+    a row of a kernel, with the statements that can meet.
     """
     side = lambda k: statements.select(F.col("g").alias(f"g{k}"), F.col("node").alias("ab"[k - 1]), F.col("id").alias(f"s{k}"), "form", F.col("text").alias(f"t{k}"), F.coalesce("deps", F.array().cast("array<long>")).alias(f"d{k}"))
     spot = ["pair", "solution"]
-    cand = settled(matches.join(side(1), ["g1", "a"]).join(side(2), ["g2", "b", "form"]).select(*spot, "level", "a", "b", "s1", "s2", F.coalesce(F.col("t1") != F.col("t2"), F.lit(True)).alias("differs"), "d1", "d2"))
-    mapped = None
-    for row in cand.select("level").distinct().orderBy(F.desc("level")).toLocalIterator():
-        here = cand.filter(F.col("level") == row["level"])
-        while True:
-            scored = here.withColumn("agree", F.lit(0).cast("long"))
-            if mapped is not None:
-                left = here.join(mapped.select(*spot, "s1"), [*spot, "s1"], "left_anti").join(mapped.select(*spot, "s2"), [*spot, "s2"], "left_anti")
-                ends = mapped.groupBy(*spot).agg(F.collect_set(F.struct("s1", "s2")).alias("m"))
-                count = F.size(F.filter("m", lambda p: F.array_contains("d1", p["s1"]) & F.array_contains("d2", p["s2"])))
-                scored = left.join(ends, spot, "left").withColumn("agree", F.when(F.col("m").isNull(), 0).otherwise(count).cast("long")).drop("m")
-            order = [F.desc("agree"), "differs", "s1", "s2"]
-            best = scored.withColumn("r1", F.row_number().over(W.partitionBy(*spot, "s1").orderBy(*order))).withColumn("r2", F.row_number().over(W.partitionBy(*spot, "s2").orderBy(*order)))
-            taken = settled(best.filter("r1 = 1 AND r2 = 1").select(*spot, "level", "s1", "s2", "differs"))
-            if taken.isEmpty():
-                break
-            mapped = taken if mapped is None else mapped.unionByName(taken)
-    out = mapped if mapped is not None else cand.select(*spot, "level", "s1", "s2", "differs")
-    return out.select(*spot, F.col("s1").alias("a"), F.col("s2").alias("b"), "level", "differs")
+    cand = matches.join(side(1).hint("merge"), ["g1", "a"]).join(side(2).hint("merge"), ["g2", "b", "form"])
+    cand = cand.groupBy(*spot).agg(F.collect_list(F.struct("level", "s1", "s2", F.coalesce(F.col("t1") != F.col("t2"), F.lit(True)).alias("differs"), "d1", "d2")).alias("all"))
+    names, long = ["a", "b", "level", "differs"], statements.schema["id"].dataType
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("level", pa.int32()), ("differs", pa.bool_())])
+    kinds = (long, long, matches.schema["level"].dataType, BooleanType())
+    return cand.mapInArrow(_kernel([*spot, *names], out, lambda all_: _by_levels(*all_), 2), StructType([*(matches.schema[c] for c in spot), *map(StructField, names, kinds)]))
 
 
 def rank_matches(matches: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def ranked_tree_matches(spark, d):
 @query()
 def mapped_statements(spark, d):
     """Plain statements (sign-ups) below the matched nodes of those trees, mapped level by level by value."""
-    s = _statements(spark, d)
+    s = settled(_statements(spark, d))
     shapes = trees.shaped(trees.control_trees(s))
     pairs = _neighbours(shapes)
     level = shapes.select(F.col("g").alias("g1"), F.col("node").alias("a"), "level")

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import trees as T
 
@@ -227,3 +228,17 @@ def test_empty_and_odd(spark):
     odd = spark.createDataFrame([("a", 1, 2, "if", None, None, None), ("a", 2, 2, "for", True, "x", None), ("a", 3, 9, "if", None, "x", None), (None, 1, None, "if", None, "x", None)], SCHEMA)
     got = Counter((r["g"], r["node"], r["parent"], r["level"]) for r in T.control_trees(odd.filter("g IS NOT NULL")).collect())
     assert got == Counter([("a", 0, None, 0), ("a", 1, 0, 1), ("a", 2, 0, 1), ("a", 3, 0, 1)])
+
+
+def test_pairs_and_levels_take_no_rounds(spark, forest, monkeypatch):
+    """A pair is matched, and a solution mapped, in one row: no table is written on the way, nothing is sent through the driver."""
+    _, shapes, want = forest
+    monkeypatch.setattr(T, "settled", None)
+    names = sorted(want)
+    pairs = spark.createDataFrame([(k, *names[k : k + 2]) for k in range(10)], "pair long, g1 string, g2 string")
+    found = T.bottom_up(pairs, shapes)
+    matches = found.join(pairs, "pair").withColumn("level", F.lit(1))
+    rows = spark.createDataFrame([(g, 1, 1, "p", "u", None) for g in names], "g string, id long, node long, form string, text string, deps array<long>")
+    mapped = T.map_levels(matches, rows)
+    assert mapped.count() >= 0 and mapped.columns == ["pair", "solution", "a", "b", "level", "differs"]
+    assert "Broadcast" not in found._jdf.queryExecution().optimizedPlan().toString() and "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
