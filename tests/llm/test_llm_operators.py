@@ -838,6 +838,21 @@ def test_crowded_rectangles():
         assert passages.crowded(c, w, hc, hw, 2, 20).tolist() == want
 
 
+def test_crowded_copies_settled_by_largest(monkeypatch):
+    """Rectangles of two copies overlap with the largest ones, so they aren't held against each other."""
+    tokens = np.random.default_rng(9).integers(0, 2**63, 10_000).astype(np.uint64)
+    c, w = [], []
+    for f in range(passages.HASHES):
+        l, at, r, _ = passages.compact_windows(tokens, np.asarray([0, len(tokens)]), f)
+        c.append(at)
+        w.append(f << 48 | (at - l) << 24 | (r - at))
+    c, w = np.concatenate(c), np.concatenate(w)
+    held, repeat = [0], np.repeat
+    monkeypatch.setattr(np, "repeat", lambda *a: held.append(len(x := repeat(*a))) or x)
+    assert passages.crowded(c, w, c + 3, w & ((1 << 48) - 1), 2, passages.T).all()
+    assert sum(held) < 5 * len(c)
+
+
 def test_near_passages_end_to_end(spark):
     """Passages with edits anywhere, beside those that a scan of both texts finds; a third text that shares only a piece leads."""
     r = random.Random(16)
