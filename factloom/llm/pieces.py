@@ -11,7 +11,8 @@ has two characters side by side. A text is encoded part by part between such pla
 
 The result for a part depends on the steps skipped alone, so a worker memoises (part, steps skipped) in a trie: an edge is the
 next step skipped, a node knows the number of steps taken if no more are skipped. Occurrences walk it all at once; those
-that it doesn't hold go through the agenda together as rows of a matrix. Parts over NARROW characters or with characters
+that it doesn't hold go through the agenda together as rows of a matrix. Words that come for the first time go there
+without the memo, for most of a corpus's words come once. Parts over NARROW characters or with characters
 outside the vocabulary aren't memoised. The memo is bounded by bytes (KEPT) and starts afresh when it is full.
 
 Decoding is lossless for every text: characters outside the vocabulary, and the space sign itself, become byte pieces.
@@ -27,7 +28,8 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, count, repeat
+from operator import add, not_
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,9 @@ SPACE = "▁"
 #: A part of n characters takes 3 (n - 1) steps at most, since a merge makes two new candidates: 60 fit into a mask.
 NARROW, WIDE, STEPS = 21, 48, 64
 #: Bytes of the memo, by estimate, at which it starts afresh; UNKNOWN marks nodes whose steps aren't known.
-KEPT, UNKNOWN = 96 << 20, 255
+KEPT, UNKNOWN = 160 << 20, 255
+#: Slots that tell whether a word may have come before: those that come once don't enter the memo.
+SLOTS = 1 << 22
 NONE = np.int32(2**31 - 1)
 CHUNK = re.compile(" *[^ ]+| +")
 
@@ -155,13 +159,22 @@ def skips(occurrence: np.ndarray, step: int, p: float) -> np.ndarray:
     return (x >> np.uint64(16 * (step & 3)) & np.uint64(0xFFFF)) < np.uint64(round(p * 65536))
 
 
-def masks(occurrence: np.ndarray, p: float) -> np.ndarray:
-    """The first STEPS of `skips`, a bit for each."""
+def masks(occurrence: np.ndarray, p: float, size: np.ndarray | None = None) -> np.ndarray:
+    """The first STEPS of `skips`, a bit for each; of parts of these sizes at least those steps that they can take."""
+    out = np.zeros(len(occurrence), np.uint64)
     if not p:
-        return np.zeros(len(occurrence), np.uint64)
-    x = occurrence[:, None] + np.arange(STEPS // 4, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15 >> 1)
-    drawn = mix64(x).astype("<u8").view("<u2") < round(p * 65536)
-    return np.packbits(drawn, axis=1, bitorder="little").view("<u8").ravel()
+        return out
+    below = 1
+    for most in (3, 6, 11, NARROW) if size is not None else (NARROW,):
+        rows = np.flatnonzero((size > below) & (size <= most)) if size is not None else slice(None)
+        n = -(-3 * (most - 1) // 8) * 2 if size is not None else STEPS // 4
+        x = occurrence[rows][:, None] + np.arange(n, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15 >> 1)
+        drawn = np.packbits(mix64(x).astype("<u8").view("<u2") < round(p * 65536), axis=1, bitorder="little")
+        bits = np.zeros((len(x), 8), np.uint8)
+        bits[:, : drawn.shape[1]] = drawn
+        out[rows] = bits.view("<u8").ravel()
+        below = most
+    return out
 
 
 def agenda(model: Pieces, symbols: list[int], occurrence: int, p: float) -> list[int]:
@@ -272,6 +285,7 @@ class Encoder:
 
     def _afresh(self) -> None:
         self.number: dict[str, int] = {}  # words, which are lists of parts
+        self.seen = bytearray(SLOTS)  # by hash: words and parts that came before
         self.parts_at, self.parts_n = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.parts_of: array = array("q")
         self.root: dict[str, int] = {}  # the nodes of parts
@@ -279,6 +293,7 @@ class Encoder:
         self.part: dict[int, str] = {}
         self.nodes = self.used = self.held = 0
         self.steps, self.at, self.size = np.full(1024, UNKNOWN, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.chars = np.zeros(1024, np.uint8)  # of the part, if the node is one's root
         self.arena = np.zeros(4096, np.int32)
 
     def _node(self) -> int:
@@ -290,7 +305,7 @@ class Encoder:
         if (more := self.nodes - len(self.steps)) > 0:
             more = max(more, len(self.steps))
             self.steps = np.concatenate([self.steps, np.full(more, UNKNOWN, np.uint8)])
-            self.at, self.size = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.at, self.size))
+            self.at, self.size, self.chars = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.at, self.size, self.chars))
         if (more := len(self.number) - len(self.parts_n)) > 0:
             more = max(more, len(self.parts_n))
             self.parts_at, self.parts_n = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.parts_at, self.parts_n))
@@ -327,29 +342,41 @@ class Encoder:
         """The word, cut where no piece has the characters side by side; a word of letters alone isn't cut."""
         if word[1:].isalpha():
             return [word]
-        beside, cuts = self.model.beside, [0]
-        cuts += [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in beside]
+        beside = map(self.model.beside.__contains__, map(add, word, word[1:]))
+        cuts = [0, *compress(count(1), map(not_, beside))]
         return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)]
 
-    def _numbered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """The node of each part of the words, the number of parts of each word, and the parts that aren't memoised: -1 - k."""
+    def _numbered(self, words: list[str], new_too: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The node of each part of the words, the number of parts of each word, and the parts that aren't memoised: -1 - k.
+
+        new_too: memoise words and parts at once, not when they come again.
+        """
         own = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(own < 0)
         long: list[str] = []
         whole: dict[int, list[int]] = {}  # words of which a part isn't memoised
-        known, number, root, part, of = self.model.known, self.number, self.root, self.part, self.parts_of
+        known, number, root, part, of, seen = self.model.known, self.number, self.root, self.part, self.parts_of, self.seen
         new: list[tuple[int, int, int]] = []
+        roots: list[int] = []
         for i in missing.tolist():
             w = words[i]
             k = number.get(w)
             if k is None:
-                numbers, kept = [], True
+                slot = hash(w) % SLOTS
+                kept = again = new_too or seen[slot]
+                seen[slot] = 1
+                numbers = []
                 for x in (w,) if w[1:].isalpha() else self.parts(w):
                     node = root.get(x)
                     if node is None:
-                        if len(x) <= NARROW and known.issuperset(x):
+                        if x != w:
+                            slot = hash(x) % SLOTS
+                            again = new_too or seen[slot]
+                            seen[slot] = 1
+                        if again and len(x) <= NARROW and known.issuperset(x):
                             root[x] = node = self._node()
                             part[node] = x
+                            roots.append(node)
                             self.held += 280 + len(x)
                         else:
                             long.append(x)
@@ -363,6 +390,7 @@ class Encoder:
                 of.extend(numbers)
             own[i] = k
         self._grow()
+        self.chars[roots] = [len(part[node]) for node in roots]
         if new:
             k, at, n = np.asarray(new).T
             self.parts_at[k], self.parts_n[k] = at, n
@@ -408,7 +436,7 @@ class Encoder:
 
     def _walk(self, root: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
         """The node of each occurrence of a memoised part."""
-        mask = masks(occurrence, self.p)
+        mask = masks(occurrence, self.p, self.chars[root])
         node, rest, active = root.copy(), mask.copy(), np.arange(len(root))
         stuck: list[np.ndarray] = []
         while len(active) or stuck:
@@ -448,7 +476,7 @@ class Encoder:
             ends.append(len(words))
         if not words:
             return [b""] * len(texts)
-        root, count, long = self._numbered(words)
+        root, count, long = self._numbered(words, False)
         bounds = np.concatenate([[0], np.cumsum(count)])[ends]
         del words
         first = mix64(np.asarray([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) ^ mix64(np.asarray([self.seed], np.uint64)))

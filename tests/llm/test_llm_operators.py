@@ -217,6 +217,19 @@ def test_memo_equals_heap():
     assert got == [want[short[i]] for i in own[count[own] == 1]]
 
 
+def test_words_that_come_once_stay_out_of_the_memo():
+    e, every = pieces.Encoder(PIECE, 0.1, 2), pieces.Encoder(PIECE, 0.1, 2)
+    numbered = every._numbered
+    every._numbered = lambda words, new_too: numbered(words)
+    r = random.Random(6)
+    once = " ".join("".join(r.choice("aeinrstlthé") for _ in range(9)) + ".,"[k % 2] for k in range(3000))
+    assert e([once], [1]) == every([once], [1])
+    assert e.held < every.held / 20
+    # From the second time on they are in the memo; the pieces are the same either way.
+    assert e([once], [2]) == every([once], [2]) and e.held > every.held / 2
+    assert e([once, once], [3, 1]) == every([once, once], [3, 1])
+
+
 def test_pieces_awkward(docs, none):
     x = docs.withColumn("ids", pieces.encode(F.col("text"), F.col("doc_id"), PIECE))
     back = x.withColumn("back", pieces.decode(F.col("ids"), PIECE))
