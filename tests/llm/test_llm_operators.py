@@ -134,6 +134,17 @@ def test_shards(tmp_path, bits):
     assert io is not None
 
 
+def test_byte_memo_holds_the_words_of_a_corpus():
+    """Words that come again after 300,000 others aren't encoded again."""
+    e = ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    letters = "abcdefghij"
+    texts = [" ".join(["", *("q" + "".join(letters[int(d)] for d in f"{k:06d}") for k in range(lo, lo + 1000))]) for lo in range(0, 350_000, 1000)]
+    first = e(texts)
+    fill, filled = e.memo.fill, []
+    e.memo.fill = lambda word: filled.append(word) or fill(word)
+    assert e(texts) == first and not filled
+
+
 def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
