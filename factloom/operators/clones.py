@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .graph import settled
 from .joins import contained
@@ -44,33 +49,222 @@ def sub_groups(instances: DataFrame, bin_width: int | None = None) -> DataFrame:
 
 
 def similar_sets(rows: DataFrame, key: str, element: str, similarity: float, within: list[str] | None = None) -> DataFrame:
-    """a, b, common, distance of keys whose sets of elements are at least so similar, by prefix and positional filtering.
+    """a, b, common, distance of keys whose sets of elements (a row each) are at least so similar. Each candidate pair carries both
+    sets; where these are long, as words of texts are, similar_arrays takes less."""
+    by = within or []
+    sets = rows.select(*by, key, element).dropna().groupBy(*by, key).agg(F.collect_set(element).alias("s"))
+    return similar_arrays(sets, key, "s", similarity, by, grouped=False)
+
+
+#: Places that elements are counted in (for their order alone), bits of a filter of keys, keys of a side that are compared together.
+SLOTS, FILTER_BITS, SIDE = 1 << 22, 1 << 22, 512
+
 
-    Equal sets are one set, named by its least key, until the end. Elements are put in order of rarity; two sets with Jaccard
-    similarity s must share one of their first n - ceil(s n) + 1 elements, so only those are joined, and what follows the first
-    that they share must be able to make up s. Candidates are then compared as arrays, and the pairs of equal sets joined again.
+def similar_arrays(sets: DataFrame, key: str, elements: str, similarity: float, within: list[str] | None = None, marks: DataFrame | None = None, grouped: bool = True) -> DataFrame:
+    """a, b, common, distance of keys whose sets of elements (an array; a key's arrays together) are at least so similar.
+
+    With marks (within, key, mark; any number of rows for a key) also mark_a and mark_b, a row for each pair of them.
+
+    Equal sets are one set, named by its least key, until the end. Elements are put in one order, rare ones first; two sets with
+    Jaccard similarity s must share one of their first n - ceil(s n) + 1 elements, so only those are joined, and what follows the
+    first that they share must be able to make up s. Pairs whose sketches differ too much leave. Here elements are hashes: equal ones
+    can only bring more candidates.
+    Candidates are then compared by the elements themselves, if grouped in groups of neighbours, so that a set is sent once for a
+    group and not for each pair. Whole sets are read from the source again, never kept as a table.
     """
     by = within or []
-    sets = rows.select(*by, key, element).dropna().groupBy(*by, key).agg(F.array_sort(F.collect_set(element)).alias("s"))
-    named = settled(sets.join(sets.groupBy(*by, "s").agg(F.min(key).alias("rep")).hint("merge"), [*by, "s"]).select(*by, F.col(key).alias("k"), "rep", "s"))
-    one = named.filter("k = rep").select(*by, "rep", "s", F.size("s").cast("long").alias("n"))
-    x = one.select(*by, "rep", "n", F.explode("s").alias("e"))
-    df = x.groupBy(*by, "e").agg(F.count(F.lit(1)).alias("df"))
-    ranked = x.join(df, [*by, "e"]).withColumn("r", F.row_number().over(W.partitionBy(*by, "rep").orderBy("df", "e")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select(*by, "e", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"))
+    whole = (F.array_compact(elements) if sets.schema[elements].dataType.containsNull else F.col(elements)).cast("array<string>")
+    rows = sets.select(*by, F.col(key).alias("k"), whole.alias("s")).dropna(subset=[*by, "k"])
+    many = settled(rows.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*by, "k"))
+    if not many.isEmpty():
+        together = rows.join(many, [*by, "k"], "left_semi").groupBy(*by, "k").agg(F.flatten(F.collect_list("s")).alias("s"))
+        rows = rows.join(many, [*by, "k"], "left_anti").select(*by, "k", "s").unionByName(together)
+    rows = rows.withColumn("s", F.sort_array(F.array_distinct("s")))
+    shape = rows.schema
+    keys = StructType([shape[c] for c in [*by, "k"]])
+    hashed = F.transform("s", lambda e: F.xxhash64(e)).alias("h")
+
+    first = settled(_first_elements(rows.select(*by, "k", "s", hashed), keys, similarity, _commonness(sets.select(F.transform(elements, lambda e: F.xxhash64(e.cast("string"))).alias("h")))))
+    reps = first.groupBy(*by, "digest").agg(F.min("k").alias("rep"))
+    named = settled(first.select(*by, "k", "n", "digest").join(reps, [*by, "digest"]).select(*by, "k", "n", "rep"))
+    prefix = first.join(named.filter("k = rep").select(*by, "k"), [*by, "k"], "left_semi").select(*by, F.col("k").alias("x"), F.col("n").alias("nx"), F.posexplode("prefix").alias("rx", "e"))
     other = prefix.select(*by, "e", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("rx").alias("ry"))
     sized = (F.col("nx") >= similarity * F.col("ny") - 1e-9) & (F.col("ny") >= similarity * F.col("nx") - 1e-9)
-    enough = 1 + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9
-    met = prefix.join(other, [*by, "e"]).filter((F.col("x") < F.col("y")) & sized & enough).select(*by, "x", "y").distinct()
-    side = lambda c: one.select(*by, F.col("rep").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    common = met.join(side("x"), [*by, "x"]).join(side("y"), [*by, "y"]).select(*by, "x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
-    alike = common.filter(F.col("common") / (F.col("nx") + F.col("ny") - F.col("common")) >= similarity - 1e-9)
-    many = named.filter("k <> rep").select(*by, "rep").distinct()
-    equal = one.join(many, [*by, "rep"], "left_semi").select(*by, F.col("rep").alias("x"), F.col("rep").alias("y"), F.col("n").alias("nx"), F.col("n").alias("ny"), F.col("n").alias("common"))
-    member = lambda c, k: named.select(*by, F.col("rep").alias(c), F.col("k").alias(k))
+    enough = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) >= similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9
+    met = prefix.join(other, [*by, "e"]).filter((F.col("x") < F.col("y")) & sized & enough).select(*by, "x", "y", "nx", "ny").distinct()
+    met = settled(_not_far(met, first.select(*by, "k", "sketch"), by, similarity))
+    alike = (_common_elements(met, rows, by, keys) if grouped else _common_arrays(met, rows, by)).filter(F.col("common") / (F.col("nx") + F.col("ny") - F.col("common")) >= similarity - 1e-9)
+
+    several = named.filter("k <> rep").select(*by, F.col("rep").alias("k")).distinct()
+    equal = named.join(several, [*by, "k"], "left_semi").select(*by, F.col("k").alias("x"), F.col("k").alias("y"), F.col("n").alias("nx"), F.col("n").alias("ny"), F.col("n").alias("common"))
+    names, said = named.select(*by, "k", "rep"), []
+    if marks is not None:
+        names, said = names.join(marks.select(*by, F.col(key).alias("k"), "mark"), [*by, "k"]), ["mark"]
+    member = lambda c, k: names.select(*by, F.col("rep").alias(c), F.col("k").alias(k), *(F.col(m).alias(f"{m}_{k}") for m in said))
     pairs = alike.unionByName(equal).join(member("x", "p"), [*by, "x"]).join(member("y", "q"), [*by, "y"]).filter("x <> y OR p < q")
     sim = F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "common", (1 - sim).alias("distance"))
+    of = [F.when(F.col("p") < F.col("q"), F.col(f"{m}_{one}")).otherwise(F.col(f"{m}_{two}")).alias(f"{m}_{c}") for m in said for c, one, two in (("a", "p", "q"), ("b", "q", "p"))]
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "common", (1 - sim).alias("distance"), *of)
+
+
+def _commonness(hashes: DataFrame) -> np.ndarray:
+    """How often elements occur, for each of SLOTS places that their hashes (h: arrays) fall to, as eighths of its logarithm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False) & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 100_000):
+            some = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["at", "c"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy(zero_copy_only=False).astype(t).tobytes()], pa.binary()) for c, t in (("at", np.int32), ("level", np.uint8))], names=["at", "level"])
+
+    counts = hashes.mapInArrow(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).select("at", F.floor(8 * F.log2("c")).cast("int").alias("level"))
+    level = np.zeros(SLOTS, np.uint8)
+    for r in counts.mapInArrow(pack, "at binary, level binary").collect():
+        level[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["level"], np.uint8)
+    return level
+
+
+def _first_elements(rows: DataFrame, keys: StructType, similarity: float, level: np.ndarray) -> DataFrame:
+    """keys, n, digest (of the elements themselves), sketch, prefix (the first hashes, of the least common elements) of rows (keys, s, h).
+
+    A sketch has about a bit for each element, which every element that falls to it turns over; two sketches differ in no more bits
+    than their sets in elements. The number of its bits is a power of two, so the longer of two can be folded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                b = b.filter(pc.greater(pc.list_value_length(b.column("h")), 0))
+                s, h = b.column("s"), b.column("h")
+                n = pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
+                h, row = h.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+                wide = 2 ** np.maximum(6, np.ceil(np.log2(n))).astype(np.int64)
+                ends = np.cumsum(wide)
+                bits = np.bincount((ends - wide)[row] + (h & (wide - 1)[row]), minlength=int(wide.sum())) & 1
+                bits = np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+                sketch = [bits[e - w : e] for e, w in zip((ends // 8).tolist(), (wide // 8).tolist(), strict=True)]
+                h = h[np.lexsort((h, row * 256 + level[h & (SLOTS - 1)]))]
+                size = n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1
+                begin = np.cumsum(n) - n
+                kept = np.arange(len(h)) - np.repeat(begin, n) < np.repeat(size, n)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[kept]))
+                digest = [hashlib.sha256(p).digest() for p in _packed(s)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys.names), pa.array(n), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), prefix], names=[*keys.names, "n", "digest", "sketch", "prefix"])
+
+    return rows.mapInArrow(run, StructType([*keys, StructField("n", LongType()), StructField("digest", BinaryType()), StructField("sketch", BinaryType()), StructField("prefix", ArrayType(LongType()))]))
+
+
+def _not_far(met: DataFrame, sketches: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """met (by, x, y, nx, ny) without the pairs whose sketches (by, k, sketch) differ in more bits than alike sets do in elements."""
+    of = lambda c: sketches.select(*by, F.col("k").alias(c), F.col("sketch").alias(f"s{c}"))
+
+    columns = met.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for nx, ny, one, two in zip(*(b.column(c).to_pylist() for c in ("nx", "ny", "sx", "sy")), strict=True):
+                one, two = sorted((one, two), key=len)
+                x, y, bits = int.from_bytes(one, "little"), int.from_bytes(two, "little"), 8 * len(two)
+                while bits > 8 * len(one):
+                    bits //= 2
+                    y = (y >> bits) ^ (y & ((1 << bits) - 1))
+                near.append((x ^ y).bit_count() <= (nx + ny) * (1 - similarity) / (1 + similarity) + 1e-9)
+            yield b.filter(pa.array(near, pa.bool_())).select(columns)
+
+    return met.join(of("x"), [*by, "x"]).join(of("y"), [*by, "y"]).select(*met.columns, "sx", "sy").mapInArrow(run, met.schema)
+
+
+def _packed(arrays: pa.Array) -> Iterator[bytes]:
+    """Each array of strings as one string of bytes: their number, their lengths, and their bytes one after another."""
+    texts = arrays.flatten()
+    texts = texts.cast(pa.string()) if pa.types.is_large_string(texts.type) else texts
+    if not len(texts):
+        return
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2]) if texts.buffers()[2] is not None else memoryview(b"")
+    at = 0
+    for n in pc.list_value_length(arrays).to_pylist():
+        lengths = np.diff(ends[at : at + n + 1])
+        yield np.int32(n).tobytes() + lengths.tobytes() + bytes(data[ends[at] : ends[at + n]])
+        at += n
+
+
+def _unpacked(packed: bytes) -> set[bytes]:
+    n = int(np.frombuffer(packed, np.int32, 1)[0])
+    ends = np.cumsum(np.frombuffer(packed, np.int32, n, 4)).tolist()
+    begin = 4 + 4 * n
+    return {packed[begin + s : begin + e] for s, e in zip([0, *ends], ends, strict=False)}
+
+
+def _common_arrays(met: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    side = lambda c: rows.select(*by, F.col("k").alias(c), F.col("s").alias(f"s{c}"))
+    both = met.join(side("x"), [*by, "x"]).join(side("y"), [*by, "y"])
+    return both.select(*by, "x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).cast("long").alias("common"))
+
+
+def _common_elements(met: DataFrame, rows: DataFrame, by: list[str], keys: StructType) -> DataFrame:
+    """met (by, x, y, nx, ny) with `common`, the number of elements that both sets (rows: by, k, s) have.
+
+    A key's least neighbour names its group. A pair of groups with more than SIDE keys on a side is cut into parts of so many.
+    """
+    ends = met.select(*by, F.col("x").alias("k"), F.col("y").alias("o")).unionByName(met.select(*by, F.col("y").alias("k"), F.col("x").alias("o")))
+    label = settled(ends.groupBy(*by, "k").agg(F.min("o").alias("o")).select(*by, "k", F.least("k", "o").alias("label")))
+    named = lambda c: label.select(*by, F.col("k").alias(c), F.col("label").alias(f"l{c}"))
+    pairs = settled(met.join(named("x"), [*by, "x"]).join(named("y"), [*by, "y"]))
+    group = [*by, "lx", "ly"]
+    large = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SIDE).select(*group)
+    sizes = pairs.join(large, group, "left_semi").groupBy(*group).agg(*(F.ceil(F.count_distinct(c) / SIDE).alias(f"m{c}") for c in ("x", "y")))
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce(f"m{c}", F.lit(1))).alias(f"i{c}")
+    pairs = settled(pairs.join(sizes, group, "left").select(*group, part("x"), part("y"), "x", "y", "nx", "ny"))
+    group = [*group, "ix", "iy"]
+
+    # Sets that are in no candidate aren't sent: their keys miss a filter of fixed size.
+    bit = F.pmod(F.xxhash64(*by, "k"), F.lit(FILTER_BITS))
+    words = label.select(bit.alias("b")).groupBy(F.expr("b div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b % 32 AS INT))")).alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 32, np.int64)
+    bits[[r["w"] for r in words]] = [r["m"] for r in words]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = whole.column("bit").to_numpy(zero_copy_only=False)
+            some = whole.filter(pc.and_(pa.array((bits[at // 32] >> (at % 32)) & 1 == 1), pc.greater(pc.list_value_length(whole.column("s")), 0)))
+            for k in range(0, some.num_rows, 1000):
+                b = some.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys.names), pa.array([zlib.compress(p, 1) for p in _packed(b.column("s"))], pa.binary())], names=[*keys.names, "packed"])
+
+    packed = rows.select(*by, "k", "s", bit.alias("bit")).mapInArrow(pack, StructType([*keys, StructField("packed", BinaryType())]))
+    held = pairs.select(*group, F.col("x").alias("k")).unionByName(pairs.select(*group, F.col("y").alias("k"))).distinct().join(packed.hint("merge"), [*by, "k"])
+    kind = keys["k"].dataType
+    one = held.select(*group, F.col("k").alias("x"), F.lit(None).cast(kind).alias("y"), F.lit(0).cast("long").alias("nx"), F.lit(0).cast("long").alias("ny"), "packed")
+    two = pairs.select(*group, "x", "y", "nx", "ny", F.lit(None).cast("binary").alias("packed"))
+    out = [*by, "x", "y", "nx", "ny", "common"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known = None, {}
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in (*group, "x", "y", "packed")]
+            kept, common = [], []
+            for i, (*g, x, y, p) in enumerate(zip(*cols, strict=True)):
+                if g != here:
+                    here, known = g, {}
+                if p is not None:
+                    known[x] = _unpacked(zlib.decompress(p))
+                else:
+                    kept.append(i)
+                    common.append(len(known[x] & known[y]))
+            some = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in out[:-1]), pa.array(common, pa.int64())], names=out)
+
+    dealt = one.unionByName(two).repartition(*group).sortWithinPartitions(*group, F.col("packed").isNull())
+    return dealt.mapInArrow(count, StructType([*(met.schema[c] for c in out[:-1]), StructField("common", LongType())]))
 
 
 def clone_type(gaps: Column, differences: Column, kinds_beyond_names: Column) -> Column:

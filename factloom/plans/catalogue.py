@@ -338,11 +338,15 @@ def subclone_groups(spark, d):
 _TOKENS = "t AS (SELECT DISTINCT doc_id, lang, w FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(text, '[ \\t-\\r]+')) AS w FROM documents) WHERE w <> ''), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.lang = b.lang AND a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)"
 
 
+def _words(docs):
+    """doc_id, lang, w: the words of documents, as arrays."""
+    return docs.select("doc_id", "lang", F.array_remove(F.split("text", "[ \\t-\\r]+"), "").alias("w"))
+
+
 @query(f"WITH {_TOKENS} SELECT a, b, c::BIGINT AS common, round(1 - c::DOUBLE / (x.n + y.n - c), 6) AS distance FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8")
 def near_clone_pairs(spark, d):
     """Documents of one language whose sets of words are at least 0.8 alike."""
-    w = table(spark, d, "documents").select("doc_id", "lang", F.explode(F.split("text", "[ \\t-\\r]+")).alias("w")).filter("w <> ''")
-    return clones.similar_sets(w, "doc_id", "w", 0.8, ["lang"]).select("a", "b", "common", r6("distance").alias("distance"))
+    return clones.similar_arrays(_words(table(spark, d, "documents")), "doc_id", "w", 0.8, ["lang"]).select("a", "b", "common", r6("distance").alias("distance"))
 
 
 @query(f"WITH {_TOKENS}, q AS (SELECT a, b, x.n AS na, y.n AS nb, c FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8) SELECT q.a, q.b, CASE WHEN d.text = e.text THEN 'type 1' WHEN na = c AND nb = c THEN 'type 2' ELSE 'type 3' END AS type FROM q JOIN documents d ON d.doc_id = q.a JOIN documents e ON e.doc_id = q.b")
