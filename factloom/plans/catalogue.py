@@ -353,11 +353,9 @@ def near_clone_pairs(spark, d):
 def clone_type(spark, d):
     """The type of near clones: the same text, the same words, or words missing."""
     docs = table(spark, d, "documents")
-    w = docs.select("doc_id", "lang", F.explode(F.split("text", "[ \\t-\\r]+")).alias("w")).filter("w <> ''")
-    p = clones.similar_sets(w, "doc_id", "w", 0.8, ["lang"])
-    h = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    x = p.join(h.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(h.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
-    return x.select("a", "b", clones.clone_type((F.col("distance") > 1e-9).cast("int"), (F.col("ha") != F.col("hb")).cast("int"), F.lit(0)).alias("type"))
+    text = docs.select("doc_id", "lang", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("mark"))
+    x = clones.similar_arrays(_words(docs), "doc_id", "w", 0.8, ["lang"], text)
+    return x.select("a", "b", clones.clone_type((F.col("distance") > 1e-9).cast("int"), (F.col("mark_a") != F.col("mark_b")).cast("int"), F.lit(0)).alias("type"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(parts) AS value, unnest(range(len(parts))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)), o AS (SELECT *, coalesce(sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l) SELECT doc_id, (n + 1)::INTEGER AS line, s::BIGINT AS start, (s + length(value))::BIGINT AS \"end\" FROM o")
