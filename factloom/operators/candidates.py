@@ -10,6 +10,7 @@ from ..functions.names import identifier_words
 from ..functions.sets import distance_of_sizes
 from .cluster import concepts, hierarchical
 from .facts import Thresholds
+from .graph import settled
 from .metrics import modal
 
 
@@ -49,13 +50,32 @@ def conceptual_bindings(parameters: DataFrame, associations: DataFrame, calls: D
     return parameters.join(calls, ["entity", "parameter"]).join(held, (F.col("receiver_field") == F.col("field")) & (F.col("type") == F.col("held_type"))).select("entity", "target").distinct()
 
 
-def ranked(candidates: DataFrame, target: str = "target_deps", ties: tuple[str, ...] = ("source", "entity", "target")) -> DataFrame:
+def ranked(candidates: DataFrame, target: str = "target_deps", ties: tuple[str, ...] = ("source", "entity", "target"), tasks: int | None = None) -> DataFrame:
     """With their rank: fewest source dependencies, most target dependencies, then names, so that no two are equal.
 
-    The rank is a position in one order of all rows, computed over candidates, which are few beside the facts.
+    The rank is a position in one order of all rows, computed over candidates, which are few beside the facts; where they aren't,
+    by so many tasks.
     """
     order = ["source_deps", F.desc(target), *ties]
-    return candidates.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    if tasks is None:
+        return candidates.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    # A row's number within its range, and the rows of the ranges before.
+    dealt = settled(settled(candidates).repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    first = F.element_at(F.array(*map(F.lit, before or [0])), (part + 1).cast("int"))
+    return dealt.select(*candidates.columns, (first + within + 1).cast("int").alias("rank"))
+
+
+def most_used(targets: DataFrame) -> DataFrame:
+    """Of targets (source, entity, target, source_deps, target_deps), all of which an entity may move to and uses more than its
+    source: those that it uses most. No target before them stops the search, nor does the source, which comes later."""
+    most = F.max("target_deps").over(W.partitionBy("entity"))
+    return targets.withColumn("most", most).filter("target_deps = most").drop("most")
 
 
 def pair_distances(sets: DataFrame, group: str = "class") -> DataFrame:
