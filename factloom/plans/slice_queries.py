@@ -15,7 +15,7 @@ from ..operators import slices
 from ..operators.facts import Thresholds
 from ..operators.flow import straight_dependences
 from ..operators.graph import settled
-from ..sources.tables import table
+from ..sources.tables import partitions_for, table
 from .catalogue import query
 
 T = Thresholds(min_slice=2, max_slice_slack=2, max_duplication=4, max_duplication_ratio=0.5)
@@ -24,12 +24,52 @@ KIND = "CASE WHEN event_type = 'view' THEN 'predicate' WHEN event_type = 'purcha
 USES = "event_type IN ('click', 'purchase', 'view') OR (event_type = 'error' AND v % 4 = 2)"
 
 
+def _events(spark, d, tasks=None):
+    """method, node, event_type, v, o, kind, use, new, change of all events, dealt by method to so many tasks."""
+    k = F.row_number().over(W.partitionBy("method").orderBy("ts", "event_id")).cast("long")
+    e = table(spark, d, "events").select(F.col("user_id").alias("method"), "ts", "event_id", "event_type", F.floor("value").cast("long").alias("v"))
+    if tasks:
+        e = e.repartition(tasks, "method")
+    e = e.select("method", k.alias("node"), "event_type", "v")
+    e = e.withColumn("o", F.concat(F.lit("o"), (F.col("v") % 6).cast("string"))).withColumn("kind", F.expr(KIND)).withColumn("use", F.expr(USES))
+    return e.withColumns({"new": F.col("event_type") == "signup", "change": F.col("event_type") == "click"})
+
+
+def _methods(spark, d):
+    """The same facts as a row for each user (see slices.whole_method_rules). Events are dealt by user once."""
+    names = lambda c: F.when(c, F.array("o")).otherwise(F.array().cast("array<string>"))
+    local, defines = ~F.col("o").isin("o0", "o1"), F.col("new") | F.col("change")
+    w = W.partitionBy("method", "o").orderBy("node")
+    definition = F.when(defines & F.col("o").isNotNull(), F.col("node"))
+    tasks = partitions_for(table(spark, d, "events"), 50_000)  # rows are few beside the work on them
+    e = _events(spark, d, tasks).filter("method IS NOT NULL").withColumns({
+        "before": F.last(definition, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "after": F.first(definition, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+    })
+    one = F.struct(
+        "node", "kind", F.expr(f"sequence(0L, (node - 1) div {BLOCK})").alias("blocks"), names(F.col("change")).alias("changes"), names(F.col("use")).alias("uses"), names(F.col("new") & local).alias("declares"),
+        names(F.col("new") & ~local).alias("renews"), names(F.col("kind") == "try").alias("closes"), names(F.col("new")).alias("creates"), names(F.col("event_type").isin("click", "purchase")).alias("touches"),
+        F.when(defines, F.array(F.struct(F.col("o").alias("name"), (F.col("o") == "o0").alias("is_field"), F.col("change").alias("composite")))).alias("defines"),
+        F.col("o").alias("owner"), F.when(F.col("use"), F.col("before")).alias("before"), F.col("after"), F.col("use"), defines.alias("def"),
+    )
+    m = e.groupBy("method").agg(F.sort_array(F.collect_list(one)).alias("e"))
+    up = lambda x: F.when(x["node"] > 1, F.get(F.col("e"), F.shiftright(x["node"], 1).cast("int") - 1))
+    loop = lambda x: F.when(up(x)["kind"] == "predicate", up(x)["node"])
+    m = m.withColumn("e", F.transform("e", lambda x: x.withField("loop", loop(x))))
+    edge = lambda src, dst, dep, variable: F.struct(src.alias("src"), dst.alias("dst"), F.lit(dep).alias("dep"), variable.alias("variable"))
+    edges = F.transform("e", lambda x: F.array(
+        edge(F.coalesce(x["loop"], F.lit(0).cast("long")), x["node"], "control", F.lit(None).cast("string")), edge(x["before"], x["node"], "data", x["owner"]),
+        F.when(x["use"], edge(x["node"], x["after"], "anti", x["owner"])), F.when(x["def"], edge(x["node"], x["after"], "output", x["owner"])),
+    ))
+    whole = F.filter(F.flatten(edges), lambda x: x["src"].isNotNull() & x["dst"].isNotNull())
+    fields = ["node", "kind", "loop", "blocks", "changes", "uses", "declares", "renews", "closes", "creates", "touches", "defines"]
+    nodes = F.transform("e", lambda x: F.struct(*(x[c].alias(c) for c in fields)))
+    returned = F.array_distinct(F.transform(F.filter("e", lambda x: x["kind"] == "exit"), lambda x: x["owner"]))
+    return m.select("method", nodes.alias("nodes"), whole.alias("edges"), F.array(F.lit("o0")).alias("fields"), F.array(F.lit("o1")).alias("parameters"), returned.alias("returned"))
+
+
 def _facts(spark, d):
     """heads, state, nodes, variables, edges and region of all users."""
-    k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    e = table(spark, d, "events").select(F.col("user_id").alias("method"), k.alias("node"), "event_type", F.floor("value").cast("long").alias("v"))
-    e = e.withColumn("o", F.concat(F.lit("o"), (F.col("v") % 6).cast("string"))).withColumn("kind", F.expr(KIND)).withColumn("use", F.expr(USES))
-    e = settled(e.withColumns({"up": F.expr("shiftright(node, 1)"), "new": F.col("event_type") == "signup", "change": F.col("event_type") == "click"}))
+    e = settled(_events(spark, d).withColumn("up", F.expr("shiftright(node, 1)")))
     views = e.filter("kind = 'predicate'").select("method", F.col("node").alias("up"), F.col("node").alias("loop"))
     e = settled(e.join(views, ["method", "up"], "left"))
     local = ~F.col("o").isin("o0", "o1")
@@ -114,10 +154,4 @@ r AS (SELECT n.m AS method, n.o AS variable, n.b AS block, n = ms OR (n = ms - 1
 SELECT *, NOT ({' OR '.join(slices.OBJECT_SLICE)}) AS applicable FROM r""")
 def object_slice_rules(spark, d):
     """The fifteen rules over every such slice."""
-    heads, state, nodes, variables, edges, region = _facts(spark, d)
-    nodes = settled(nodes)
-    members = slices.object_slices(heads, state, nodes, variables, edges, region)
-    returned = nodes.filter("kind = 'exit'").select("method", F.explode("owner").alias("variable"))
-    sizes = nodes.groupBy("method").agg(F.count(F.lit(1)).alias("method_size"))
-    got = slices.object_slice_rules(heads, members, sizes, nodes, edges, region, returned, T)
-    return got.select("method", "variable", F.col("slice.block").alias("block"), *slices.OBJECT_SLICE, "applicable")
+    return slices.whole_method_rules(_methods(spark, d), T).select("method", "variable", "block", *slices.OBJECT_SLICE, "applicable")
