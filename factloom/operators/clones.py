@@ -221,7 +221,8 @@ def _common_elements(met: DataFrame, rows: DataFrame, by: list[str], keys: Struc
     pairs = settled(met.join(named("x"), [*by, "x"]).join(named("y"), [*by, "y"]))
     group = [*by, "lx", "ly"]
     large = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SIDE).select(*group)
-    sizes = pairs.join(large, group, "left_semi").groupBy(*group).agg(*(F.ceil(F.count_distinct(c) / SIDE).alias(f"m{c}") for c in ("x", "y")))
+    # Settled, so that a large group's rows can be dealt to several tasks when they meet its sizes.
+    sizes = settled(pairs.join(large, group, "left_semi").groupBy(*group).agg(*(F.ceil(F.count_distinct(c) / SIDE).alias(f"m{c}") for c in ("x", "y"))))
     part = lambda c: F.pmod(F.xxhash64(c), F.coalesce(f"m{c}", F.lit(1))).alias(f"i{c}")
     pairs = settled(pairs.join(sizes, group, "left").select(*group, part("x"), part("y"), "x", "y", "nx", "ny"))
     group = [*group, "ix", "iy"]
